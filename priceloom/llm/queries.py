@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = {
     "op3_mixing": "mixing",
+    "op5_decontaminate": "decontaminate",
     "op8_chats": "chats",
     "op9_sharding": "sharding",
     "op10_quality": "quality",
