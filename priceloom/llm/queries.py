@@ -3,8 +3,10 @@
 from importlib import import_module
 
 MODULES = {
+    "op1_substrings": "substrings",
     "op3_mixing": "mixing",
     "op5_decontaminate": "decontaminate",
+    "op6_neardups": "neardups",
     "op8_chats": "chats",
     "op9_sharding": "sharding",
     "op10_quality": "quality",
