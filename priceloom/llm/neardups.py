@@ -7,9 +7,10 @@ minhashes each. A key can be shared only if both its sketches are, so sketches t
 At a similarity of 0.8 a pair is missed by all tables with a probability of 2 * (1 - 0.8 ** 2) ** SIDE, below 1e-4.
 
 Candidates are confirmed on full sets. Every member of a bucket is compared with the bucket's smallest member, its
-pivot. Members that those links leave in different components are compared with each other unless the distances to the
-pivot rule the link out (Jaccard distance is a metric), so no link in a bucket is lost, and a large group of copies costs
-one comparison a member and pivot instead of one a pair. Components come from alternating large and small stars.
+pivot; for most groups that settles it. Where it leaves the members of a pivot's buckets in several components, those
+outside the largest one are held against all members in blocks: a task counts the common shingles of two blocks as a
+product of 0/1 matrices, and only links leave it. So no link in a bucket is lost, and no pairs are emitted. Components
+come from alternating large and small stars.
 
 Null and empty texts have no shingles and link with nothing. A text with fewer words than a shingle is one shingle.
 Rows that share a doc_id are documents of their own; a component is named by the smallest id that is not null, and a
@@ -27,6 +28,8 @@ from priceloom.llm.shared import settle, table
 SHINGLE, SIDE, SIMILAR = 4, 10, 80
 #: Rows up to which a list of documents to fetch is sent to every task; a longer one is joined by a shuffle.
 SEND_ROWS = 200_000
+#: The most rows and bytes of a block of texts, and how many shingles are counted at a time.
+BLOCK_ROWS, BLOCK_BYTES, SLAB = 384, 2 << 20, 4096
 _SALT, _ODD = W.constants(4 * SIDE, 11), W.constants(4 * SIDE, 12)
 
 
@@ -45,7 +48,7 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
 
 
 def _sketch(batches, width: int):
-    for batch in batches:
+    for batch in W.pieces(batches):
         sets = shingle_sets(batch.column("text"), width)
         size = np.array([len(s) for s in sets])
         some = np.flatnonzero(size)
@@ -90,7 +93,7 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def _jaccard(batches, width: int):
-    for batch in batches:
+    for batch in W.pieces(batches, ("text_a", "text_b")):
         a, b = shingle_sets(batch.column("text_a"), width), shingle_sets(batch.column("text_b"), width)
         same = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
         every = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64) - same
@@ -121,28 +124,68 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def _cross(rest: pa.Table, others: pa.Table, similar: int, width: int) -> pa.Table:
+    """Links between two blocks of nodes in different components: for each of `rest`, one to each other component."""
+    a, b = (shingle_sets(x.column("text"), width) for x in (rest, others))
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    same = np.zeros((len(a), len(b)), np.float32)
+    at = [[np.searchsorted(common, s[np.isin(s, common, assume_unique=True)]) for s in side] for side in (a, b)]
+    for low in range(0, len(common), SLAB):
+        ones = []
+        for side in at:
+            part = np.zeros((len(side), SLAB), np.float32)
+            for k, own in enumerate(side):
+                part[k, own[np.searchsorted(own, low) : np.searchsorted(own, low + SLAB)] - low] = 1
+            ones.append(part)
+        same += ones[0] @ ones[1].T
+    size_a, size_b = (np.array([len(s) for s in side]) for side in (a, b))
+    same = same.astype(np.int64)
+    root_a, root_b = rest.column("root").to_numpy(), others.column("root").to_numpy()
+    linked = (100 * same >= similar * (size_a[:, None] + size_b[None, :] - same)) & (root_a[:, None] != root_b[None, :])
+    i, j = np.nonzero(linked)
+    _, one = np.unique(np.stack([i, root_b[j]], axis=1), axis=0, return_index=True)
+    return pa.table({"a": rest.column("node").take(pa.array(i[one])), "b": others.column("node").take(pa.array(j[one]))})
+
+
+def _across(star: DataFrame, root: DataFrame, texts: DataFrame, similar: int, width: int) -> DataFrame:
+    """a, b: links that join members of one pivot's buckets beyond those to the pivot itself.
+
+    The members outside the most frequent component of a pivot are held against all members, block by block.
+    """
+    at = star.select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = at.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    per_root = at.groupBy("pivot", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    per_pivot = per_root.groupBy("pivot").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    open_ = per_pivot.filter("roots > 1").select(
+        "pivot",
+        F.col("top.root").alias("main"),
+        blocks(F.col("n"), F.col("bytes")).alias("n_all"),
+        blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("n_rest"),
+    )
+    at = settle(at.join(open_, "pivot").drop("bytes"))
+    texts = texts.join(at.select("node").distinct(), "node", "left_semi")
+    at = at.join(texts, "node")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rest = at.filter("root <> main").select("pivot", "node", "root", "text", block("n_rest").alias("i"), upto("n_all").alias("j"))
+    new = [F.col(c).alias(c) for c in ("pivot", "node", "root", "text")]
+    every = at.select(*new, upto("n_rest").alias("i"), block("n_all").alias("j"))
+    keys = ["pivot", "i", "j"]
+
+    def cross(rest, every):
+        some = rest.num_rows and every.num_rows
+        return _cross(rest, every, similar, width) if some else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    return rest.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(cross, "a long, b long")
+
+
 def links(members: DataFrame, texts: DataFrame, similar: int = SIMILAR, width: int = SHINGLE) -> DataFrame:
     """a, b: links between nodes that join all that similar pairs of a bucket would join."""
-    good = F.expr(f"100 * same >= {similar} * every")
     star = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = settle(compared(star, texts, width))
-    found = star.filter(good).select("a", "b")
-    # What is left: members of a bucket that those links do not join.
-    root = components(found)
-    at = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at = at.join(star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("same") / F.col("every")).alias("far")), ["pivot", "node"], "left")
-    at = at.withColumn("far", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    open_ = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    at = settle(at.join(open_, "key", "left_semi"))
-    pivots = at.filter("node = pivot").select("key", F.col("root").alias("main"))
-    rest = at.join(pivots, "key").filter("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"))
-    margin = 1 - similar / 100 + 1e-9
-    pairs = rest.join(at.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("far").alias("far_b"), "pivot"), "key")
-    # Links to the pivot itself are known. Of two members off the pivot's component, one order is enough.
-    pairs = pairs.filter((F.col("root_a") != F.col("root_b")) & (F.col("b") != F.col("pivot")) & (F.abs(F.col("far_a") - F.col("far_b")) <= margin))
-    pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = compared(pairs, texts, width).filter(good).select("a", "b")
-    return settle(found.union(more))
+    found = star.filter(F.expr(f"100 * same >= {similar} * every")).select("a", "b")
+    return found.union(settle(_across(star, components(found), texts, similar, width)))
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = SHINGLE) -> DataFrame:

@@ -43,7 +43,7 @@ def _count(batches, depth: int, opened: np.ndarray, width: int):
     """How many suffixes there are by prefix, below the prefixes `opened` of two words less."""
     cells = 1 << (2 * BITS)
     sums = np.zeros((len(opened), cells), np.int64)
-    for batch in batches:
+    for batch in W.pieces(batches):
         words = W.split(batch.column("text"), W.SPACED)
         code = _codes(W.fingerprints(words, fold=False), depth)[words.windows(width)]
         at = np.minimum(np.searchsorted(opened, code >> (2 * BITS)), len(opened) - 1)

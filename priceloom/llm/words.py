@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes hashed at a time; bounds the eight-byte temporaries.
@@ -149,7 +150,11 @@ def covered(marks: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def batches(tables, schema: pa.Schema):
-    """Arrow record batches with that schema from dictionaries of columns."""
-    for columns in tables:
-        yield pa.RecordBatch.from_pydict(columns, schema=schema)
+def pieces(batches, columns: tuple[str, ...] = ("text",), limit: int = 4 << 20):
+    """The rows of the batches in slices of at most about `limit` bytes of text, or of one row."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        part = (np.cumsum(size) - size) // limit
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(size)], strict=True):
+            yield batch.slice(int(a), int(b - a))
