@@ -4,9 +4,12 @@ from importlib import import_module
 
 MODULES = {
     "op1_substrings": "substrings",
+    "op2_licences": "licences",
     "op3_mixing": "mixing",
+    "op4_languages": "languages",
     "op5_decontaminate": "decontaminate",
     "op6_neardups": "neardups",
+    "op7_pages": "pages",
     "op8_chats": "chats",
     "op9_sharding": "sharding",
     "op10_quality": "quality",
