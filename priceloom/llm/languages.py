@@ -27,7 +27,7 @@ BACKOFF, SMOOTH, SHARPEN = 0.4, 0.5, 0.25
 UNKNOWN = "und"
 LETTER = r"\p{L}+"
 #: Words scored so far that a task remembers.
-CACHE = 300_000
+CACHE = 150_000
 
 
 class Model:
@@ -114,18 +114,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def judge(batches):
         cache, known = {}, []
-        for batch in W.pieces(batches, limit=2 << 20):
+        with_text = (pa.RecordBatch.from_arrays([b.column("row"), b.column("row").field("text")], ["row", "text"]) for b in batches)
+        for batch in W.pieces(with_text, limit=2 << 20):
             if len(cache) > CACHE:
                 cache, known = {}, []
             if sent.value.languages:
                 names, scores = _judge(sent.value, batch.column("text"), cache, known)
             else:
                 names, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "text", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double"
-    return rows.mapInArrow(judge, kind).drop("text")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(judge, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

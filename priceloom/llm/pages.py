@@ -1,7 +1,7 @@
 """Main-text extraction from HTML with a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks: runs of text between the borders of block elements. Each block has features of its
-ancestors (tags, roles, words of class and id) and of its text (length, links, punctuation, place). The field has two
+ancestors (tags, roles, words of class and id) and of its text (length, links, punctuation). The field has two
 labels, main text or not, weights for the features and for pairs of neighbouring labels, and is decoded by Viterbi.
 It is trained on labelled pages, which `labelled_pages` lays out from a seed in many variants of the usual furniture.
 
@@ -129,7 +129,7 @@ def path_features(path: tuple) -> list[str]:
     return sorted(out)
 
 
-def text_features(text: str, linked: int, k: int, n: int) -> list[str]:
+def text_features(text: str, linked: int) -> list[str]:
     size, n_words = len(text), text.count(" ") + 1
     return [
         "bias",
@@ -138,8 +138,6 @@ def text_features(text: str, linked: int, k: int, n: int) -> list[str]:
         f"end:{text[-1] in '.!?…。'}",
         f"rights:{'©' in text or 'ights reserved' in text}",
         f"bars:{text.count('|') + text.count('»') > 1}",
-        f"from start:{min(3, k)}",
-        f"from end:{min(3, n - 1 - k)}",
     ]
 
 
@@ -150,18 +148,18 @@ class Field:
         self.weights, self.pairs = weights, pairs
         self.of_path: dict[tuple, float] = {}
 
-    def score(self, block: tuple[str, int, tuple], k: int, n: int) -> float:
+    def score(self, block: tuple[str, int, tuple]) -> float:
         if block[2] not in self.of_path:
             if len(self.of_path) > 100_000:
                 self.of_path.clear()
             self.of_path[block[2]] = sum(self.weights.get(f, 0.0) for f in path_features(block[2]))
-        return self.of_path[block[2]] + sum(self.weights.get(f, 0.0) for f in text_features(block[0], block[1], k, n))
+        return self.of_path[block[2]] + sum(self.weights.get(f, 0.0) for f in text_features(block[0], block[1]))
 
     def decode(self, blocks: list[tuple[str, int, tuple]]) -> list[int]:
         """Viterbi."""
         pairs, best, back = self.pairs.tolist(), [0.0, 0.0], []
         for k, block in enumerate(blocks):
-            own = (0.0, self.score(block, k, len(blocks)))
+            own = (0.0, self.score(block))
             if not k:
                 best = list(own)
                 continue
@@ -186,7 +184,7 @@ def train(pages: list[tuple[str, list[str]]], rounds: int = 150, rate: float = 0
             labels.append(int(is_main))
             if is_main:
                 left.pop(0)
-            for f in [*path_features(block[2]), *text_features(block[0], block[1], k, len(blocks))]:
+            for f in [*path_features(block[2]), *text_features(block[0], block[1])]:
                 rows.append(len(labels) - 1)
                 cols.append(names.setdefault(f, len(names)))
         if left:
@@ -293,7 +291,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[str]]]:
                 body.append(furniture(rng.choice(("advert", "notice", "form", "side", "advert"))))
         article = rng.choice(ARTICLE).format("".join(body) + (furniture("comments") if rng.random() < 0.1 else ""))
         some = lambda kinds, p: "".join(furniture(k) for k in kinds if rng.random() < p)
-        before, after = some(("header", "menu", "notice", "advert", "side", "form"), 0.4), some(("comments", "side", "advert", "form", "menu", "footer"), 0.45)
+        before, after = some(("header", "menu", "notice", "advert", "side", "form"), rng.choice((0, 0.3, 0.5))), some(("comments", "side", "advert", "form", "menu", "footer"), 0.45)
         pages.append((f"<html><head><title>{word()}</title></head><body>{before}{article}{after}</body></html>", main))
     return pages
 
