@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from priceloom.functions import text as X
 
@@ -55,7 +56,7 @@ def tiers(candidates: DataFrame, score: str = "overlap") -> DataFrame:
     return per_name.select("product_name", "top", lead.alias("lead"), tier.alias("tier"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """How much of both texts SequenceMatcher finds in common; the order of the arguments matters."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -23,7 +23,11 @@ SQL: dict[str, str] = {}
 
 CORE = ["supplier", "supplier_code", "product_id", "product_name", "price", "category"]
 _CORE = ", ".join(CORE)
-_LISTED = F.col("supplier") < "Supplier#000000005"
+def _listed():
+    """The suppliers that the queries name."""
+    return F.col("supplier") < "Supplier#000000005"
+
+
 _KEY = "trim(regexp_replace(regexp_replace(lower(product_name), '^\\s*\\[[^\\]]*\\]', ''), '\\s+', ' ', 'g'))"
 
 
@@ -87,13 +91,13 @@ def dup_id_row_count(rows):
 @query("""SELECT supplier, supplier_code, CASE WHEN supplier >= 'Supplier#000000005' OR k = 1 THEN product_id END AS product_id, price
   FROM (SELECT *, row_number() OVER (PARTITION BY supplier, product_id ORDER BY price, pos) AS k FROM offers)""")
 def clear_dup_ids_within_supplier(rows):
-    return K.clear_repeated_ids(rows, _LISTED).select("supplier", "supplier_code", "product_id", "price")
+    return K.clear_repeated_ids(rows, _listed()).select("supplier", "supplier_code", "product_id", "price")
 
 
 @query(f"""SELECT {_CORE} FROM offers LEFT JOIN (SELECT product_id AS many FROM offers WHERE product_id IS NOT NULL GROUP BY product_id HAVING count(DISTINCT supplier) > 1) ON product_id = many
   WHERE NOT (supplier < 'Supplier#000000005' AND many IS NOT NULL)""")
 def drop_dup_suppliers(rows):
-    return K.drop_suppliers_of_repeated_ids(rows, _LISTED, F.col("supplier")).select(*CORE)
+    return K.drop_suppliers_of_repeated_ids(rows, _listed(), F.col("supplier")).select(*CORE)
 
 
 # Export
@@ -141,7 +145,7 @@ def visibility_anti(rows):
 
 @query(f"SELECT {_CORE} FROM offers WHERE supplier >= 'Supplier#000000005' OR contains(lower(product_name), 'widget')")
 def pc_only_filter(rows):
-    return E.only_matching_for(rows, _LISTED, E.contains_any(F.col("product_name"), ("widget",))).select(*CORE)
+    return E.only_matching_for(rows, _listed(), E.contains_any(F.col("product_name"), ("widget",))).select(*CORE)
 
 
 # Market and prices
