@@ -13,13 +13,19 @@ is shuffled. Null and empty texts have no words and fail. Repeated rows are judg
 for nothing. Other columns are not read.
 """
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priceloom.llm.shared import ASCII_WORD, table
+from priceloom.llm.shared import ASCII_SPACE, ASCII_WORD, table
 
 SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, LOUD = "#*$%&|<>", "!#$%&*"
+#: Without one of these characters a line can only fail as boilerplate.
+SUSPECT = "[#*$%&|<>»›•·!]"
 MIN_WORDS, REPEATED, WINDOW, KEEP = 10, 20, 5, 0.5
 
 # Phrases of page furniture, lower case.
@@ -32,28 +38,32 @@ BOILERPLATE = (
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ASCII_WORD), F.lit(0))
+    return F.array_remove(F.split(text, ASCII_SPACE), "")
 
 
 def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    return F.regexp_replace(text, f"[{re.escape(characters)}]", "")
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with at least one word fails."""
+    """Whether a line with at least one word fails. The cheap tests come first: few lines reach the counting."""
     marks = F.length(line) - F.length(_without(line, "|>»›•·"))
     n_words = F.regexp_count(line, F.lit(ASCII_WORD))
     solid = F.length(_without(line, SPACES))
     symbols = F.length(line) - F.length(_without(line, SYMBOLS))
-    loud = F.greatest(*[F.regexp_count(line, F.lit(rf"[{m}]([\x20\x09-\x0D]|$)")) for m in "!#$%&*"])
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE)) & (n_words <= 25)
-    return ((marks >= 3) & (n_words <= 4 * (marks + 1))) | boilerplate | (3 * symbols > solid) | ((n_words >= 3) & (3 * loud > 2 * n_words))
+    enders = F.length(line) - F.length(_without(line, LOUD))
+    loud = F.greatest(*[F.regexp_count(line, F.lit(rf"[{m}]([\x20\x09-\x0D]|$)")) for m in LOUD])
+    # exists() over one element lower-cases the line once for all phrases.
+    boilerplate = F.exists(F.array(F.lower(line)), lambda low: reduce(or_, [low.contains(phrase) for phrase in BOILERPLATE])) & (n_words <= 25)
+    navigation = (marks >= 3) & (n_words <= 4 * (marks + 1))
+    shouting = (enders >= 3) & (n_words >= 3) & (3 * enders > 2 * n_words) & (3 * loud > 2 * n_words)
+    return (line.rlike(SUSPECT) & (navigation | (3 * symbols > solid) | shouting)) | boilerplate
 
 
 def _repeated_words(words: Column) -> Column:
     """How many words lie in windows of five that occur twice or more among these words."""
     n = F.size(words) - WINDOW + 1
-    marks = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    marks = F.transform(F.slice(words, 1, n), lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WINDOW)]))
     return F.when(n >= 2, marks)
 
 
@@ -63,25 +73,24 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(ASCII_WORD))
     base = docs.select("doc_id", text.alias("text")).select(
         "doc_id",
-        F.length(_without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
         (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         _words(F.col("text")).alias("words"),
         lines.alias("lines"),
     )
-    base = base.withColumns({"n_words": F.size("words").cast("long"), "windows": _repeated_words(F.col("words"))})
+    base = base.withColumns({"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"), "windows": _repeated_words(F.col("words"))})
     base = base.withColumn("n_distinct", F.size(F.array_distinct("windows")))
     # Only rows with a repeated window pay for sorting.
-    pairs = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     base = base.withColumn("pairs", F.when(F.col("n_distinct") < F.size("windows"), pairs))
     near = F.zip_with("pairs", F.slice("pairs", 2, F.greatest(F.size("pairs") - 1, F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.array_sort(F.array_distinct(F.flatten(F.array_compact(near))))
+    at = F.sort_array(F.array_distinct(F.flatten(F.array_compact(near))))
     base = base.withColumn("at", F.when(F.col("pairs").isNotNull(), at))
     widths = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     total = F.aggregate(widths, F.lit(0), lambda acc, x: acc + x)
     base = base.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long"))
     dups = F.size("lines") - F.size(F.array_distinct("lines"))
-    good = F.aggregate(F.filter("lines", lambda x: ~line_fails(x)), F.lit(0), lambda acc, x: acc + F.regexp_count(x, F.lit(ASCII_WORD)))
-    return base.select("doc_id", "n_words", "word_chars", "n_symbols", dups.cast("long").alias("n_dup_lines"), "n_repeat_words", good.cast("long").alias("kept_words"))
+    failing = F.aggregate(F.filter("lines", line_fails), F.lit(0), lambda acc, x: acc + F.regexp_count(x, F.lit(ASCII_WORD)))
+    return base.select("doc_id", "n_words", "word_chars", "n_symbols", dups.cast("long").alias("n_dup_lines"), "n_repeat_words", (F.col("n_words") - failing).alias("kept_words"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
