@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from priceloom.functions import pricing
 from priceloom.functions import text as X
 from priceloom.operators import catalog as C
+from priceloom.operators import categories as G
 from priceloom.operators import consolidate as K
 from priceloom.operators import export as E
 from priceloom.operators import journal as J
 from priceloom.operators import market as M
 from priceloom.operators import matching as N
 from priceloom.operators import paging as P
+from priceloom.operators import review as R
 from priceloom.operators import snapshots as S
 from priceloom.sources.tables import CATALOG, OFFERS, catalog, offers, table
 from priceloom.streaming import events as V
@@ -451,6 +453,76 @@ def match_scores(spark, sf_dir):
     return N.match_names(_pairs(spark, sf_dir).select("product_name", "product_id", "name"))
 
 
+# Categories and review work
+
+_RULES = [(r"\b(bolt|rod|ring)\b", "Fasteners"), (r"\b(large|small) ", "Sized"), (r"^(old|new) ", "Aged")]
+_INFERRED = "CASE WHEN regexp_matches(lower(product_name), '\\b(bolt|rod|ring)\\b') THEN 'Fasteners' WHEN regexp_matches(lower(product_name), '\\b(large|small) ') THEN 'Sized' WHEN regexp_matches(lower(product_name), '^(old|new) ') THEN 'Aged' ELSE upper(string_split(product_name, ' ')[1]) END"
+
+
+@query(f"SELECT product_name, {_INFERRED} AS category, count(*) AS n FROM offers GROUP BY ALL")
+def category_infer(rows):
+    return rows.groupBy("product_name", G.by_rules(F.col("product_name"), _RULES).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT category, CASE lower(category) WHEN 'economy' THEN 'Budget' WHEN 'promo' THEN 'Budget' ELSE category END AS known_as, count(*) AS n FROM offers GROUP BY ALL")
+def category_alias_map(rows):
+    return rows.groupBy("category", G.under_one_name(F.col("category"), {"Economy": "Budget", "Promo": "Budget"}).alias("known_as")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT supplier, category, {_INFERRED} AS inferred, coalesce(CASE WHEN product_id IS NOT NULL AND category <> 'PROMO' THEN category END, CASE WHEN supplier = 'Supplier#000000001' THEN 'Chosen' END,
+  CASE WHEN category = 'PROMO' THEN {_INFERRED} END, category) AS holds, count(*) AS n FROM offers GROUP BY ALL""")
+def category_precedence(rows):
+    listed = F.when(F.col("product_id").isNotNull() & (F.col("category") != "PROMO"), F.col("category"))
+    chosen = F.when(F.col("supplier") == "Supplier#000000001", "Chosen")
+    inferred = G.by_rules(F.col("product_name"), _RULES)
+    holds = G.resolve(listed, F.lit(None).cast("string"), chosen, inferred, F.col("category"), F.col("category") == "PROMO")
+    return rows.groupBy("supplier", "category", inferred.alias("inferred"), holds.alias("holds")).agg(F.count("*").alias("n"))
+
+
+@query(f""", t AS (SELECT category, unnest({_TOKENS.format('name', 2)}) AS token FROM catalog), c AS (SELECT category, token, count(*) AS tf FROM t GROUP BY ALL),
+m AS (SELECT category, token, tf, size, count(*) OVER (PARTITION BY token) AS df, (SELECT count(DISTINCT category) FROM c) AS total FROM c JOIN (SELECT category, count(*) AS size FROM catalog GROUP BY category) USING (category)),
+d AS (SELECT DISTINCT product_name, {_TOKENS.format('product_name', 2)} AS words FROM offers), u AS (SELECT product_name, len(words) AS n, unnest(words) AS token FROM d),
+s AS (SELECT product_name, category, round(0.72 * sum(tf / size * (1 + ln(1 + (1 + total) / (1 + df)))) + 0.28 * count(*) / any_value(n), 9) AS score FROM u JOIN m USING (token) WHERE size >= 2 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY product_name ORDER BY score DESC, category))
+SELECT product_name, category, round(least(0.99, score / (score + 0.8) * 0.82 + least(0.17, score - second)), 3) AS confidence FROM r WHERE k = 1""")
+def category_predict(spark, sf_dir):
+    return G.predict(offers(spark, sf_dir), P.local_category_model(catalog(spark, sf_dir)))
+
+
+@query(f""", k AS (SELECT DISTINCT 'sname:' || lower(supplier) || ':' || lower(product_name) AS a, 'name:' || lower(product_name) AS b FROM offers),
+f AS (SELECT DISTINCT a AS key FROM k WHERE a LIKE 'sname:supplier#000000001:blue%'), n AS (SELECT DISTINCT b AS key FROM k JOIN f ON a = f.key)
+SELECT key FROM n UNION SELECT a FROM k JOIN n ON b = n.key""")
+def override_closure(spark, sf_dir):
+    keys = offers(spark, sf_dir).select(G.item_keys(F.col("supplier"), F.col("product_name")).alias("keys"))
+    return G.closure(keys, keys.select(F.get("keys", F.lit(0)).alias("key")).filter("key LIKE 'sname:supplier#000000001:blue%'"))
+
+
+@query("""SELECT name_key, q.supplier, added FROM (SELECT lower(product_name) AS name_key, supplier, max(l_shipdate)::DATE AS added FROM offers WHERE product_id IS NULL GROUP BY ALL) q
+  JOIN (SELECT lower(product_name) AS name_key, supplier, arg_max(coalesce(product_id, ''), pos) AS last_id FROM offers GROUP BY ALL) o USING (name_key, supplier) WHERE last_id = ''""")
+def review_queue_list(rows):
+    queue = rows.filter("product_id IS NULL").groupBy(X.name_key(F.col("product_name")).alias("name_key"), "supplier").agg(F.max(F.col("pos.l_shipdate").cast("date")).alias("added"))
+    return R.open_entries(queue, rows).select("name_key", "supplier", "added")
+
+
+@query()
+def replacement_candidates(spark, sf_dir):
+    return R.replacements(_pairs(spark, sf_dir).withColumnRenamed("overlap", "score").select("product_name", "product_id", "name", "score"))
+
+
+_PARTS = R.Family(r"(anvil|bolt|gear|gizmo|plate|ring|rod|widget)$", {"part": r"\b([a-z]+)$"}, {"size": (r"\b(large|small)\b", 0.03, 0.12), "colour": (r"\b(blue|red)\b", 0.01, 0.05)})
+
+
+@query(""", p AS (SELECT DISTINCT product_name FROM offers), i AS (SELECT DISTINCT product_id, name FROM catalog),
+e AS (SELECT product_name, product_id, CASE WHEN product_name = name THEN 1.0 ELSE least(0.999, 0.9
+  + CASE WHEN product_name[1:5] IN ('large', 'small') AND name[1:5] IN ('large', 'small') THEN CASE WHEN product_name[1:5] = name[1:5] THEN 0.03 ELSE -0.12 END ELSE 0 END
+  + CASE WHEN string_split(product_name, ' ')[1] IN ('red', 'blue') AND string_split(name, ' ')[1] IN ('red', 'blue') THEN CASE WHEN string_split(product_name, ' ')[1] = string_split(name, ' ')[1] THEN 0.01 ELSE -0.05 END ELSE 0 END) END AS s
+  FROM p JOIN i ON string_split(product_name, ' ')[2] = string_split(name, ' ')[2]),
+r AS (SELECT product_name, product_id, round(s::DOUBLE, 3) AS score, row_number() OVER (PARTITION BY product_name ORDER BY s DESC, length(product_id), product_id)::INT AS rank FROM e)
+SELECT * FROM r WHERE rank <= 5""")
+def family_candidates(spark, sf_dir):
+    return R.family_candidates(offers(spark, sf_dir), catalog(spark, sf_dir), _PARTS)
+
+
 # Journal
 
 @query(f"SELECT supplier, supplier_code, CASE WHEN contains(lower(product_name), 'bolt') THEN NULL ELSE product_id END AS product_id FROM offers")

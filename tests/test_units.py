@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from priceloom.functions import pricing
 from priceloom.functions import text as X
+from priceloom.operators import categories, review
 from priceloom.operators import catalog, consolidate, journal, matching
 from priceloom.sources import tables
 from priceloom.streaming import events
@@ -89,3 +91,53 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     got = {(r.start, r.event_type, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.start, r.event_type, r.n) for r in events.per_window(source.withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     assert got and got <= want  # the newest windows stay open until the watermark passes them
+
+
+def test_family_candidates_share_brand_and_model(spark):
+    names = spark.createDataFrame([("Palit GeForce RTX 4070 Ti Super 16GB OC",), ("Mouse",), (None,)], "product_name string")
+    items = [("1", "Palit RTX 4070 Ti Super 16 GB"), ("2", "Palit RTX 4070 12GB"), ("3", "MSI RTX 4070 Ti Super 16GB"), ("4", "Palit RTX 4070 Ti Super 8GB"), ("5", None)]
+    found = review.family_candidates(names, spark.createDataFrame(items, "product_id string, name string"), review.FAMILIES["gpu"])
+    assert [(r.product_id, r.score) for r in found.orderBy("rank").collect()] == [("1", 0.94), ("4", 0.78)]
+
+
+@pytest.mark.parametrize(
+    ("family", "name", "same", "other"),
+    [
+        ("cpu", "AMD Ryzen 5 7600X Box", "AMD Ryzen 5 7600X Tray", "AMD Ryzen 5 7500F Box"),
+        ("board", "MSI B650 WiFi DDR5 mATX", "MSI B650 Wi-Fi DDR5 motherboard", "MSI B650 DDR5"),
+        ("ram", "Kingston DDR5 2x16GB 6000MHz", "Kingston Fury DDR5 2x16GB", "Kingston DDR4 2x16GB 3200MHz"),
+        ("psu", "Chieftec 750W Gold power supply", "Chieftec PSU 750W Gold ATX", "Chieftec 650W Gold"),
+        ("hdd", "HDD Toshiba 4TB", "HDD Toshiba P300 4 TB", "HDD Toshiba 6TB"),
+        ("cooler", "DeepCool liquid cooler LS720", "DeepCool LS720 AIO", "DeepCool cooler AK400"),
+        ("printer", "Printer HP M111w", "HP LaserJet M111w", "HP LaserJet M141w"),
+        ("monitor", "Monitor LG 27GP850 27 inch", "LG monitor 27GP850", "LG monitor 32GP850"),
+    ],
+)
+def test_family_keys(spark, family, name, same, other):
+    items = spark.createDataFrame([("1", same), ("2", other)], "product_id string, name string")
+    found = review.family_candidates(spark.createDataFrame([(name,)], "product_name string"), items, review.FAMILIES[family])
+    assert [r.product_id for r in found.collect()] == ["1"]
+
+
+def test_closure_follows_chains_and_nulls(spark):
+    rows = spark.createDataFrame([(["a", "b"],), (["b", "c"],), (["c", "d", None],), (["x", "y"],), (None,)], "keys array<string>")
+    seeds = spark.createDataFrame([("a",), ("lone",), (None,)], "key string")
+    assert sorted(r.key for r in categories.closure(rows, seeds).collect()) == ["a", "b", "c", "d", "lone"]
+
+
+def test_resolve_prefers_in_order(spark):
+    rows = spark.createDataFrame([("A", "B", "C", "D", "E"), (" ", "B", "C", "D", "E"), (None, None, "C", "D", "E"), (None, None, "", "D", "vague"), (None, None, None, "D", "E"), (None,) * 5], "a string, b string, c string, d string, e string")
+    held = categories.resolve(*[F.col(c) for c in "abcde"], F.col("e") == "vague")
+    assert [r.held for r in rows.select(held.alias("held")).collect()] == ["A", "B", "C", "D", "E", None]
+
+
+def test_replacements_drop_hard_conflicts(spark):
+    rows = [("SSD AB-12345678", "1", "SSD AB-12345678", 0.5), ("SSD AB-12345678", "2", "SSD AB-99999999", 0.9), ("SSD AB-12345678", "3", "Mouse pad", 0.2)]
+    found = review.replacements(spark.createDataFrame(rows, "product_name string, product_id string, name string, score double"))
+    assert [(r.product_id, r.score) for r in found.orderBy("rank").collect()] == [("1", 0.925), ("3", 0.2)]
+
+
+def test_open_entries(spark):
+    offers = spark.createDataFrame([("S", "Cable", None, 1), ("S", "Cable", "9", 2), ("S", "Mouse", "8", 1), ("S", "Mouse", None, 2), ("T", "Pad", None, 3)], "supplier string, product_name string, product_id string, pos int")
+    queue = spark.createDataFrame([("cable", "S", 1), ("mouse", "S", 2), ("pad", None, 3), ("gone", "S", 4)], "name_key string, supplier string, added int")
+    assert [(r.name_key, r.pos) for r in review.open_entries(queue, offers).collect()] == [("gone", None), ("pad", 3), ("mouse", 2)]
