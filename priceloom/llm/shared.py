@@ -1,29 +1,8 @@
 """Helpers that several training-data operators share."""
 
-import tempfile
+from priceloom.sources.tables import settle, table
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ASCII_SPACE", "ASCII_WORD", "settle", "table"]
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir, so that a lost executor costs a reread.
-
-    Where the setting is missing, a local session gets a temporary folder; a cluster session is refused,
-    because its executors could not read a folder of the driver's machine.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="priceloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
