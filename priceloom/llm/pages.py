@@ -6,11 +6,14 @@ labels, main text or not, weights for the features and for pairs of neighbouring
 It is trained on labelled pages, which `labelled_pages` lays out from a seed in many variants of the usual furniture.
 
 Null and empty pages give an empty text. Scripts, styles, templates, comments and the head have no blocks; the rest is
-only left out by the field's verdict. Unclosed and unmatched tags are taken as browsers do, roughly. Character references are
-decoded, white space becomes one space. Repeated rows are handled alike, and other columns are not read.
+only left out by the field's verdict. Unclosed and unmatched tags are taken as browsers do, roughly: the head ends at the
+first thing that it can't hold, svg and math at the first HTML element. Of an element that holds text only (title, noscript)
+and is never closed, only the text up to the next block is left out. Formulas are text; their annotations are not. Character
+references are decoded, white space becomes one space. Repeated rows are handled alike, and other columns are not read.
 """
 
 import random
+import re
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -24,7 +27,15 @@ from priceloom.llm.shared import table
 
 # HTML elements by what they mean for the text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video textarea select".split())
+INLINE |= frozenset("math annotation annotation-xml maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+SILENT = frozenset("script style template noscript head title svg annotation annotation-xml iframe object canvas audio video textarea select".split())
+#: What a head can hold; elements that hold text only; HTML that ends svg and math, but not within the parts that hold HTML.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+TEXT_ONLY = frozenset("title textarea noscript noframes iframe".split())
+FOREIGN = frozenset("svg math".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_SELECT = frozenset("input keygen select textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -45,7 +56,9 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []
-        self.silent = self.links = self.linked = 0
+        self.silent = self.links = self.linked = self.foreign = self.unended = self.at = 0
+        self.begun, self.within = False, ""  # whether the body has begun; the text-only element that is open
+        self.ends: dict[str, int] = {}
         self.parts: list[str] = []
         self.found: list[tuple[str, int, tuple]] = []
         self.path: tuple = ()
@@ -56,7 +69,61 @@ class Blocks(HTMLParser):
             self.found.append((text, self.linked, self.path))
         self.parts, self.linked = [], 0
 
+    def parse_starttag(self, i):
+        self.at = i
+        return super().parse_starttag(i)
+
+    def set_cdata_mode(self, elem):
+        if not self.within:
+            super().set_cdata_mode(elem)
+
+    def _ended(self, tag: str) -> bool:
+        """Whether an end tag comes after this start tag."""
+        if -1 < self.ends.get(tag, 0) <= self.at:
+            found = re.compile(rf"</{tag}[\s/>]", re.I).search(self.rawdata, self.at)
+            self.ends[tag] = found.start() if found else -1
+        return self.ends[tag] > self.at
+
+    def _begin(self):
+        """The body begins at the first thing that a head can't hold, whether or not the head was closed."""
+        open_ = [t for t, _ in self.stack]
+        if "template" not in open_:
+            self.begun = True
+            if "head" in open_:
+                self._cut(open_.index("head"))
+
+    def _leave(self):
+        """End svg and math, unless a part of them that holds HTML lies between."""
+        first = None
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in HOLDS_HTML:
+                break
+            if self.stack[k][0] in FOREIGN:
+                first = k
+        if first is not None:
+            self._cut(first)
+
+    def _end(self, tags: frozenset):
+        """End the outermost open element of those tags."""
+        for k, (tag, _) in enumerate(self.stack):
+            if tag in tags:
+                return self._cut(k)
+
     def handle_starttag(self, tag, attrs):
+        if self.within or (tag == "head" and self.begun):
+            return
+        if self.foreign and tag in ENDS_FOREIGN:
+            self._leave()
+        if self.unended and tag not in INLINE:
+            self._end(TEXT_ONLY)
+        if not self.begun and tag not in IN_HEAD:
+            self._begin()
+        if self.silent and tag in ENDS_SELECT:
+            self._end(frozenset({"select"}))
+        if tag in TEXT_ONLY and self._ended(tag):
+            self.flush()
+            self.within = tag
+            return
         if tag == "br":
             self.parts.append(" ")
             return
@@ -74,6 +141,8 @@ class Blocks(HTMLParser):
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and "none" in (v or "")) for k, v in attrs)
         self.stack.append((tag, " ".join([*marks, *["~hidden"] * hidden])))
         self.silent += tag in SILENT
+        self.foreign += tag in FOREIGN
+        self.unended += tag in TEXT_ONLY
         self.links += tag == "a"
         if tag not in INLINE:
             self.path = tuple(x for x in self.stack if x[0] not in INLINE)
@@ -90,11 +159,16 @@ class Blocks(HTMLParser):
     def _cut(self, k: int):
         for tag, _ in self.stack[k:]:
             self.silent -= tag in SILENT
+            self.foreign -= tag in FOREIGN
+            self.unended -= tag in TEXT_ONLY
             self.links -= tag == "a"
         del self.stack[k:]
         self.path = tuple(x for x in self.stack if x[0] not in INLINE)
 
     def handle_endtag(self, tag):
+        if self.within:
+            self.within = "" if tag == self.within else self.within
+            return
         if tag == "br":
             self.parts.append(" ")
         if tag not in INLINE:
@@ -105,6 +179,10 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.within:
+            return
+        if not self.begun and data.strip() and (not self.stack or self.stack[-1][0] in ("html", "head")):
+            self._begin()
         if not self.silent:
             self.parts.append(data)
             if self.links:
@@ -112,6 +190,7 @@ class Blocks(HTMLParser):
 
     def read(self, html: str) -> list[tuple[str, int, tuple]]:
         self.feed(html)
+        self.ends.clear()
         self.close()
         self.flush()
         return self.found

@@ -141,6 +141,33 @@ def test_pages_held_out():
     assert pages.main_text("<article><p>a&nbsp;&amp; b\n c.</p><p>Second one.<script>x</script></article><footer>&copy; x</footer>", by) == "a & b c.\n\nSecond one."
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>T</title><body><article><p>First here.</p></article></body></html>", "First here."),
+        ("<title>T</title><meta charset=utf-8><article><p>First here.</p></article>", "First here."),
+        ("<html><head><title>T<body><article><p>First here.</p></article></html>", "First here."),
+        ("<head><title>On <div> tags</title><noscript><div>Turn it on.</div></noscript><link rel=x></head><article><p>First here.</p></article>", "First here."),
+        ("<head><noscript><style>x</style><body><article><p>First here.</p></article>", "First here."),
+        ("<head><template><p>Later.</p></template><script>a</script><article><p>First here.</p></article>", "First here."),
+        ("<article><noscript>Off.<p>First here.</p><p>Second here.</p></article>", "First here.\n\nSecond here."),
+        ("<article><svg><path d='m'><p>First here.</p><p>Second here.</p></article>", "First here.\n\nSecond here."),
+        ("<article><svg><foreignObject><div>Label</div></foreignObject></svg><p>First here.</p></article>", "First here."),
+        ("<article><form><select><option>One<input></form><p>First here.</p></article>", "First here."),
+        ("<article><p>So <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation>a = 2</annotation></semantics></math> holds.</p></article>", "So a=2 holds."),
+    ],
+)
+def test_pages_lose_no_article(html, text):
+    assert "\n\n".join(b[0] for b in pages.Blocks().read(html)) == text
+
+
+def test_pages_without_head_end():
+    by = pages.field()
+    for html, _ in pages.labelled_pages(100, seed=5):
+        assert pages.main_text(html.replace("</head>", ""), by) == pages.main_text(html, by)
+        assert pages.main_text(html.replace("</title></head><body>", "<body>"), by) == pages.main_text(html, by)
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<p>unclosed"), (3, "v", "<script>never closed")], "page_id long, url string, html string")
     assert pages.extract(rows).count() == 4
