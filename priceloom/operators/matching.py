@@ -27,20 +27,29 @@ def search_ranked(items: DataFrame, words: list[str], most: int = 30) -> DataFra
     return items.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "name", "product_id").limit(most)
 
 
-def token_candidates(names: DataFrame, items: DataFrame, shortest: int = 2, most_common: int = 200) -> DataFrame:
-    """product_name, product_id, shared, overlap: pairs that share a token which at most most_common items have.
+def token_candidates(names: DataFrame, items: DataFrame, shortest: int = 2, most_common: int | None = None) -> DataFrame:
+    """product_name, product_id, name, shared, overlap: the pairs that share a token.
 
-    Rarer tokens do the blocking; overlap (shared tokens over all tokens of both) is taken over all tokens.
+    Names are held against the distinct names of items, and the ids are joined back. With most_common a name's pairs share
+    a token which at most most_common items have; a name without such a pair gets all that share any token with it.
+    Overlap (shared tokens over all tokens of both) is taken over all tokens.
     """
     left = names.select("product_name").distinct().withColumn("a", X.name_tokens(F.col("product_name"), shortest))
-    right = items.select("product_id", "name").withColumn("b", X.name_tokens(F.col("name"), shortest))
-    tokens = right.select("product_id", F.explode("b").alias("token"))
-    rare = tokens.groupBy("token").count().filter(F.col("count") <= most_common).select("token")
-    block = tokens.join(rare, "token", "left_semi")
-    pairs = left.select("product_name", F.explode("a").alias("token")).join(block, "token").select("product_name", "product_id").distinct()
-    both = pairs.join(left, "product_name").join(right, "product_id")
+    items = items.select("product_id", "name").distinct()
+    right = items.groupBy("name").agg(F.count("*").alias("n")).withColumn("b", X.name_tokens(F.col("name"), shortest))
+    words = left.select("product_name", F.explode("a").alias("token"))
+    tokens = right.select("name", "n", F.explode("b").alias("token"))
+    if most_common is None:
+        pairs = words.join(tokens, "token").select("product_name", "name")
+    else:
+        rare = tokens.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") <= most_common).select("token")
+        pairs = words.join(tokens.join(rare, "token", "left_semi"), "token").select("product_name", "name")
+        others = words.join(pairs, "product_name", "left_anti").join(tokens, "token")
+        pairs = pairs.union(others.select("product_name", "name"))
+    both = pairs.distinct().join(left, "product_name").join(right.drop("n"), "name")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.select("product_name", "product_id", "name", shared.alias("shared"), F.round(shared / F.size(F.array_union("a", "b")), 4).alias("overlap"))
+    both = both.select("product_name", "name", shared.alias("shared"), F.round(shared / F.size(F.array_union("a", "b")), 4).alias("overlap"))
+    return both.join(items, "name").select("product_name", "product_id", "name", "shared", "overlap")
 
 
 def top_candidates(pairs: DataFrame, score: Column, most: int = 5) -> DataFrame:

@@ -443,6 +443,32 @@ def candidate_tiers(spark, sf_dir):
     return N.tiers(N.top_candidates(_pairs(spark, sf_dir), F.col("overlap")))
 
 
+_WHOLE = f""", a AS (SELECT DISTINCT product_name, {_TOKENS.format('product_name', 2)} AS a FROM offers), b AS (SELECT product_id, name, {_TOKENS.format('name', 2)} AS b FROM catalog),
+pairs AS (SELECT product_name, product_id, name, len(list_intersect(a, b))::INT AS shared, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 4) AS overlap FROM a, b WHERE list_has_any(a, b)),
+top AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY overlap DESC, length(product_id), product_id)::INT AS rank FROM pairs)"""
+
+
+def _catalog_pairs(spark, sf_dir):
+    return N.token_candidates(offers(spark, sf_dir), catalog(spark, sf_dir))
+
+
+@query(f"{_WHOLE} SELECT * FROM pairs")
+def catalog_candidates(spark, sf_dir):
+    return _catalog_pairs(spark, sf_dir)
+
+
+@query(f"{_WHOLE} SELECT product_name, product_id, overlap, rank FROM top WHERE rank <= 5")
+def catalog_top_candidates(spark, sf_dir):
+    return N.top_candidates(_catalog_pairs(spark, sf_dir), F.col("overlap")).select("product_name", "product_id", "overlap", "rank")
+
+
+@query(f"""{_WHOLE}, g AS (SELECT product_name, max(overlap) AS top, coalesce(max(overlap) FILTER (rank = 2), 0.0) AS second FROM top WHERE rank <= 5 GROUP BY 1),
+h AS (SELECT product_name, top, round(top - second, 4) AS lead FROM g)
+SELECT *, CASE WHEN top >= 1 AND lead > 0.015 THEN 'exact' WHEN top >= 0.84 AND lead <= 0.015 THEN 'ambiguous' WHEN top >= 0.97 AND lead >= 0.02 THEN 'strong' WHEN top >= 0.18 THEN 'possible' ELSE 'none' END AS tier FROM h""")
+def catalog_candidate_tiers(spark, sf_dir):
+    return N.tiers(N.top_candidates(_catalog_pairs(spark, sf_dir), F.col("overlap")))
+
+
 @query()
 def validate_ids(spark, sf_dir):
     return N.validate(offers(spark, sf_dir), catalog(spark, sf_dir))
@@ -450,7 +476,9 @@ def validate_ids(spark, sf_dir):
 
 @query()
 def match_scores(spark, sf_dir):
-    return N.match_names(_pairs(spark, sf_dir).select("product_name", "product_id", "name"))
+    pairs = _catalog_pairs(spark, sf_dir).select("product_name", "product_id", "name")
+    scored = N.match_names(pairs.select("product_name", "name").distinct())
+    return pairs.join(scored, ["product_name", "name"]).select(*pairs.columns, "score", "match", "reason")
 
 
 # Categories and review work
@@ -506,7 +534,7 @@ def review_queue_list(rows):
 
 @query()
 def replacement_candidates(spark, sf_dir):
-    return R.replacements(_pairs(spark, sf_dir).withColumnRenamed("overlap", "score").select("product_name", "product_id", "name", "score"))
+    return R.replacements(_catalog_pairs(spark, sf_dir).withColumnRenamed("overlap", "score").select("product_name", "product_id", "name", "score"))
 
 
 _PARTS = R.Family(r"(anvil|bolt|gear|gizmo|plate|ring|rod|widget)$", {"part": r"\b([a-z]+)$"}, {"size": (r"\b(large|small)\b", 0.03, 0.12), "colour": (r"\b(blue|red)\b", 0.01, 0.05)})

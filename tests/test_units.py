@@ -7,6 +7,7 @@ from priceloom.functions import pricing
 from priceloom.functions import text as X
 from priceloom.operators import categories, review
 from priceloom.operators import catalog, consolidate, journal, matching
+from priceloom.plans import registry
 from priceloom.sources import tables
 from priceloom.streaming import events
 
@@ -141,3 +142,20 @@ def test_open_entries(spark):
     offers = spark.createDataFrame([("S", "Cable", None, 1), ("S", "Cable", "9", 2), ("S", "Mouse", "8", 1), ("S", "Mouse", None, 2), ("T", "Pad", None, 3)], "supplier string, product_name string, product_id string, pos int")
     queue = spark.createDataFrame([("cable", "S", 1), ("mouse", "S", 2), ("pad", None, 3), ("gone", "S", 4)], "name_key string, supplier string, added int")
     assert [(r.name_key, r.pos) for r in review.open_entries(queue, offers).collect()] == [("gone", None), ("pad", 3), ("mouse", 2)]
+
+
+def test_candidates_of_names_with_common_tokens_only(spark):
+    items = spark.createDataFrame([(str(k), f"red bolt{' xx' if k == 9 else ''}") for k in range(10)] + [("20", "nut")], "product_id string, name string")
+    names = spark.createDataFrame([("Red Bolt",), ("bolt xx",), ("zz",), (None,), ("",)], "product_name string")
+    found = {(r.product_name, r.product_id): r.overlap for r in matching.token_candidates(names, items, most_common=5).collect()}
+    assert found == {("Red Bolt", str(k)): 1.0 for k in range(9)} | {("Red Bolt", "9"): 0.6667, ("bolt xx", "9"): 0.6667}
+    whole = {(r.product_name, r.product_id): r.overlap for r in matching.token_candidates(names, items).collect()}
+    assert whole == found | {("bolt xx", str(k)): 0.3333 for k in range(9)}
+
+
+@pytest.mark.parametrize("name", ["catalog_candidates", "match_scores"])
+def test_every_product_name_has_candidates_at_sf001(spark, name):
+    """No token of the names is rare here."""
+    folder = "/root/testdata/sf0.01"
+    got = {r.product_name for r in registry.QUERIES[name](spark, folder).select("product_name").distinct().collect()}
+    assert got == {r.product_name for r in tables.offers(spark, folder).select("product_name").distinct().collect()}
