@@ -16,7 +16,7 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates: that with the smallest doc_id, nulls last."""
     return neardups.drop_near_duplicates(docs)
 
 

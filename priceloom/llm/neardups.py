@@ -14,7 +14,8 @@ come from alternating large and small stars.
 
 Null and empty texts have no shingles and link with nothing. A text with fewer words than a shingle is one shingle.
 Rows that share a doc_id are documents of their own; a component is named by the smallest id that is not null, and a
-null doc_id is kept only if its component has no other. An empty table gives an empty result. Other columns are not read.
+null doc_id is kept only if its component has no other. `kept` marks all rows with that id; drop_near_duplicates leaves
+one row of a component. An empty table gives an empty result. Other columns are not read.
 """
 
 import numpy as np
@@ -188,8 +189,8 @@ def links(members: DataFrame, texts: DataFrame, similar: int = SIMILAR, width: i
     return found.union(settle(_across(star, components(found), texts, similar, width)))
 
 
-def near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = SHINGLE) -> DataFrame:
-    """doc_id, mark, n_shingles, component_id, kept for every row of docs; mark is the xxhash64 of the text."""
+def _judged(docs: DataFrame, similar: int, width: int) -> DataFrame:
+    """The columns of near_duplicates and root, a number of the component; null for rows without shingles."""
     rows = settle(sketches(docs, width))
     classes = rows.filter("n_shingles > 0").groupBy("whole").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "mark")).alias("one"), F.first("left").alias("left"), F.first("right").alias("right")
@@ -204,17 +205,35 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = SHINGL
     root = components(links(members, texts, similar, width))
     named = classes.select("whole", "node", "first_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(names, "root").select("whole", "component_id")
+    named = named.join(names, "root").select("whole", "component_id", "root")
     joined = rows.filter("n_shingles > 0").select("doc_id", "mark", "n_shingles", "whole").join(named, "whole").drop("whole")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = rows.filter("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without those for which another of their component stays; rows with one doc_id share their fate."""
-    gone = near_duplicates(docs, **options).filter("NOT kept").select("doc_id", "mark").distinct()
-    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    return marked.join(gone, marked["id"].eqNullSafe(gone["doc_id"]) & (marked["mark"] == gone["mark"]), "left_anti").select("row.*")
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = SHINGLE) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, kept for every row of docs; mark is the xxhash64 of the text."""
+    return _judged(docs, similar, width).drop("root")
+
+
+def drop_near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = SHINGLE) -> DataFrame:
+    """One row of each component of docs, and all rows without shingles.
+
+    The row with the smallest doc_id stays, nulls last, then the smallest mark. Of rows equal in both, one stays: the one
+    with the smallest hash of its columns (without maps, which have none).
+    """
+    linked = _judged(docs, similar, width).filter("root IS NOT NULL")
+    names = settle(linked.groupBy("doc_id", "mark").agg(F.first("root").alias("root"), F.count("*").alias("n")))
+    best = names.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("best")).select("best.doc_id", "best.mark")
+    met = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["mark"] == y["mark"])
+    alone, repeated = names.filter("n = 1"), names.filter("n > 1")
+    gone = repeated.select("doc_id", "mark").union(alone.join(best, met(alone, best), "left_anti").select("doc_id", "mark"))
+    once = repeated.join(best, met(repeated, best), "left_semi").select("doc_id", "mark")
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row = F.struct(*[docs[c] for c in docs.columns])
+    marked = docs.select(row.alias("row"), F.xxhash64(*hashed).alias("least"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"))
+    first = marked.join(once, met(marked, once), "left_semi").groupBy("doc_id", "mark").agg(F.min_by("row", "least").alias("row"))
+    return marked.join(gone, met(marked, gone), "left_anti").select("row").union(first.select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,23 @@ def test_neardups_in_a_family_of_unlike_copies(spark, monkeypatch):
     assert got == want
 
 
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(100))
+    near = lambda k: f"{text(k)} end"
+    rows = [
+        *[(1, text(1), "a"), (1, text(1), "a"), (1, text(1), "b"), (2, text(1), "a"), (None, text(1), "a")],  # repeated rows
+        *[(5, text(2), "a"), (5, near(2), "a"), (6, near(2), "a")],  # near copies of one id
+        *[(None, text(3), "a"), (None, text(3), "b"), (None, near(3), "a")],  # no id at all
+        *[(1, text(4), "a"), (None, text(5), "a")],
+        *[(7, None, "a"), (7, None, "a"), (8, "", "a")],  # these link with nothing
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("tags", F.create_map(F.lit("k"), F.lit(1)))
+    got = neardups.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    found = [(r.doc_id, (r.text or "-")[:2]) for r in got.collect()]
+    assert sorted(found, key=str) == sorted([(1, "t1"), (5, "t2"), (None, "t3"), (1, "t4"), (None, "t5"), (7, "-"), (7, "-"), (8, "-")], key=str)
+
+
 def test_licences_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     extra = [(-1, f"x {licences.TEMPLATES['bsd']} y"), (-2, "GNU general, public License? cc by cc BY mit license"), (-3, "the license of this work and that"), (-4, licences.TEMPLATES["lgpl"])]
