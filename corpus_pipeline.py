@@ -10,9 +10,9 @@ ORACLE_SQL = None
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in no language that the labelled ones teach."""
+    """Drops the documents in no language that the labelled ones teach: those of which the model knows next to nothing."""
     model = languages.learn(docs.filter(~languages.held_out(docs["doc_id"])).select("text", "lang"))
-    return languages.identify(docs, model).filter(f"lang_pred <> '{languages.UNKNOWN}'").select("row.*")
+    return languages.identify(docs, model).filter(f"lang_pred <> '{languages.UNKNOWN}' AND known >= {languages.LEAST_KNOWN}").select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

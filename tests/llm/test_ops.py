@@ -149,6 +149,23 @@ def test_languages_held_out(spark):
     assert [(r.lang_pred, r.score) for r in languages.identify(odd, model).collect()] == [("und", 0.0)] * 3
 
 
+def test_only_learned_languages_pass(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60))
+    chinese = lambda: "，".join("".join(rng.choices("的一是不了人我在有他这为之大来以个中上们", k=rng.randint(4, 12))) for _ in range(30))
+    strange = ["съешь ещё этих мягких французских булок да выпей чаю " * 40, "わたしはガラスを食べられます、それは私を傷つけません。" * 40, "ξεσκεπάζω την ψυχοφθόρα βδελυγμία " * 40, noise]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    more = [(-k, t, None) for k, t in enumerate(strange, 1)] + [(10**6 + k, chinese(), "zh") for k in range(40)]
+    every = docs.union(spark.createDataFrame(more, docs.schema))
+    got = {r.doc_id for r in corpus_pipeline.in_known_language(spark, every, SF).select("doc_id").collect()}
+    with_letters = {r.doc_id for r in every.filter(F.col("text").rlike(r"\p{L}")).collect()}
+    assert got == {d for d in with_letters if d >= 0} and len(got) > 200
+    known = {r.doc_id: r.known for r in languages.identify(every, languages.learn(docs)).select("row.doc_id", "known").collect()}
+    assert known[-1] == known[-2] == known[-3] == 0 < known[-4] < 0.4
+
+
 def test_pages_held_out():
     by = pages.field()
     made = pages.labelled_pages(200, seed=99)
