@@ -1,20 +1,24 @@
 """Chat formatting with cumulative-snapshot collapse, in DataFrame operations only.
 
-Logs often hold a conversation many times: once after every turn. Each turn extends a rolling hash of the turns so
-far; a conversation whose whole hash is a shorter prefix hash of another one is a snapshot and goes, by an anti-join
-on (hash, turns). Of equal conversations the one with the smallest conv_id stays. What remains is rendered.
+Logs often hold a conversation many times: once after every turn. Each turn has the key of the turns so far: their number
+and the sums of two 60-bit hashes of every turn with its place. Sums need no order to be added up, so a conversation of more
+than CHUNK rows is cut by range into chunks that tasks share; counts and sums of the chunks before are added. A conversation
+whose last key is an earlier key of another one is a snapshot and goes, told by counts of keys. Of equal conversations the one
+with the smallest conv_id stays. Only the turns of what remains are gathered and rendered.
 
 Turns are ordered by turn, nulls first, then role and text. Rows of one conversation that are equal in all four
 columns count once. Null roles and texts differ from empty ones in the hash and are rendered as empty. A null conv_id
 is one conversation, and loses against any equal one. An empty table gives an empty result.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceloom.llm.shared import settle, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Rows of a conversation from which it is cut into chunks.
+CHUNK = 20_000
 
 
 def _part(value: Column) -> Column:
@@ -22,38 +26,64 @@ def _part(value: Column) -> Column:
     return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, turns (ordered structs) and prefixes: the rolling hash after each turn. One row per conversation."""
-    one = F.struct("turn", "role", "text", F.sha2(F.concat(_part(F.col("role")), _part(F.col("text"))), 256).alias("mark"))
-    rows = turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.array_sort(F.collect_set(one)).alias("turns"))
-    rolling = F.aggregate(
-        "turns",
-        F.array(F.lit("")),
-        lambda done, t: F.concat(done, F.array(F.sha2(F.concat(F.element_at(done, -1), t["mark"]), 256))),
-    )
-    return rows.withColumn("prefixes", F.slice(rolling, 2, F.size("turns")))
+def _chunked(turns: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The distinct rows with their chunk, and the rows of the conversations that have several chunks."""
+    order = ["conv_id", "turn", "role", "text"]
+    rows = turns.select(*order).distinct()
+    large = settle(turns.groupBy("conv_id").count().filter(F.col("count") > CHUNK).select(F.col("conv_id").alias("large_id")))
+    if large.isEmpty():
+        return rows.withColumn("chunk", F.lit(0)), None
+    # At most one row for CHUNK rows of turns.
+    met = F.col("conv_id").eqNullSafe(F.col("large_id"))
+    parts = max(2, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = rows.join(F.broadcast(large), met, "left_semi").repartitionByRange(parts, *order).withColumn("chunk", F.spark_partition_id())
+    cut = settle(cut)
+    return rows.join(F.broadcast(large), met, "left_anti").withColumn("chunk", F.lit(0)).unionByName(cut), cut
+
+
+def _and_before(rows: DataFrame, several: DataFrame | None, columns: list[str]) -> DataFrame:
+    """rows with the columns increased by their totals (of n, a, b in several) over the chunks before."""
+    if several is None:
+        return rows
+    totals = several.groupBy("conv_id", "chunk").agg(*[F.sum(c).alias(c) for c in columns])
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("conv_id").alias("of"), F.col("chunk").alias("at"), *[F.sum(c).over(before).alias(f"{c}_before") for c in columns])
+    joined = rows.join(F.broadcast(totals), F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at")), "left")
+    grown = {c: (F.col(c) + F.coalesce(f"{c}_before", F.lit(0))).cast(rows.schema[c].dataType) for c in columns}
+    return joined.withColumns(grown).select(*rows.columns)
+
+
+def placed(turns: DataFrame) -> DataFrame:
+    """conv_id, role, text, k (the place of the turn), a and b: with k, the key of the turns so far."""
+    rows, cut = _chunked(turns)
+    within = Window.partitionBy("conv_id", "chunk").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")])
+    rows = rows.withColumn("k", F.row_number().over(within).cast("long"))
+    rows = _and_before(rows, cut.withColumn("k", F.lit(1)) if cut is not None else None, ["k"])
+    mark = F.sha2(F.concat("k", F.lit(":"), _part(F.col("role")), _part(F.col("text"))), 256)
+    number = lambda first: F.conv(F.substring("mark", first, 15), 16, 10).cast("decimal(20,0)")
+    rows = rows.withColumn("mark", mark).select("conv_id", "chunk", "role", "text", "k", number(1).alias("a"), number(16).alias("b"))
+    if cut is not None:
+        rows = settle(rows)
+    several = rows.join(F.broadcast(cut.select(F.col("conv_id").alias("large_id")).distinct()), F.col("conv_id").eqNullSafe(F.col("large_id")), "left_semi") if cut is not None else None
+    so_far = Window.partitionBy("conv_id", "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumns({c: F.sum(c).over(so_far).cast("decimal(38,0)") for c in ("a", "b")})
+    return settle(_and_before(summed, several, ["a", "b"]).drop("chunk"))
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """The conversations that no longer one begins with, with n_copies: how many equal ones each stands for."""
-    rows = settle(conversations(turns))
-    keyed = rows.select("conv_id", F.element_at("prefixes", -1).alias("whole"), F.size("turns").alias("n_turns"))
+def chat_texts(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns, n_copies, text: the rendered conversations that no longer one begins with, and how many equal ones each stands for."""
+    rows, key = placed(turns), ["k", "a", "b"]
+    sizes = rows.groupBy("conv_id").agg(F.max(F.struct(*key)).alias("last"))
     # Equal conversations meet as one row per task before they are shuffled.
-    best = keyed.groupBy("whole", "n_turns").agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id")).alias("best"), F.count("*").alias("n_copies"))
-    inner = rows.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("whole")).distinct()
-    kept = best.join(inner, "whole", "left_anti").select(F.col("best.conv_id").alias("kept_id"), "n_copies")
-    return rows.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-
-
-def render(turns: Column) -> Column:
+    best = sizes.groupBy("last.k", "last.a", "last.b").agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id")).alias("best"), F.count("*").alias("n_copies"))
+    # A key that more turns have than conversations end with is within some conversation.
+    every = rows.groupBy(*key).agg(F.count("*").alias("n_seen"))
+    kept = best.join(every, key).filter("n_seen = n_copies").select(F.col("best.conv_id").alias("kept_id"), F.col("k").alias("n_turns"), "n_copies")
     blank = lambda c: F.coalesce(c, F.lit(""))
-    line = lambda t: F.concat(F.lit(OPEN), blank(t["role"]), F.lit("\n"), blank(t["text"]), F.lit(f"{CLOSE}\n"))
-    return F.array_join(F.transform(turns, line), "")
-
-
-def chat_texts(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies, text: the rendered maximal conversations."""
-    return maximal(turns).select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", render(F.col("turns")).alias("text"))
+    line = F.concat(F.lit(OPEN), blank(F.col("role")), F.lit("\n"), blank(F.col("text")), F.lit(f"{CLOSE}\n"))
+    shown = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).groupBy("conv_id", "n_turns", "n_copies")
+    gathered = shown.agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("lines"))
+    return gathered.select("conv_id", "n_turns", "n_copies", F.array_join("lines.line", "").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Market statistics and markups."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions import pricing
@@ -43,6 +43,7 @@ def apply_markups(offers: DataFrame, config: DataFrame, missing_market: str = "w
 
 def nearest_offers(prices: DataFrame, most: int = 8) -> DataFrame:
     """Of each product the `most` cheapest offers within 2 % of the minimum, as an ordered list."""
-    low = prices.groupBy("product_id").agg(F.min("price").alias("low"))
-    near = prices.join(low, "product_id").filter(F.col("price") <= F.col("low") * 1.02)
-    return near.groupBy("product_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("price", "supplier"))), 1, most).alias("near"))
+    rank = F.row_number().over(Window.partitionBy("product_id").orderBy("price", "supplier"))
+    cheapest = prices.filter("price IS NOT NULL").withColumn("rank", rank).filter(F.col("rank") <= most)
+    rows = cheapest.groupBy("product_id").agg(F.min("price").alias("low"), F.array_sort(F.collect_list(F.struct("price", "supplier"))).alias("near"))
+    return rows.select("product_id", F.filter("near", lambda x: x["price"] <= F.col("low") * 1.02).alias("near")).filter("size(near) > 0")

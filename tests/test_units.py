@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from priceloom.functions import pricing
 from priceloom.functions import text as X
 from priceloom.operators import categories, review
-from priceloom.operators import catalog, consolidate, journal, matching
+from priceloom.operators import catalog, consolidate, journal, market, matching
 from priceloom.plans import registry
 from priceloom.sources import tables
 from priceloom.streaming import events
@@ -159,3 +159,9 @@ def test_every_product_name_has_candidates_at_sf001(spark, name):
     folder = "/root/testdata/sf0.01"
     got = {r.product_name for r in registry.QUERIES[name](spark, folder).select("product_name").distinct().collect()}
     assert got == {r.product_name for r in tables.offers(spark, folder).select("product_name").distinct().collect()}
+
+
+def test_nearest_offers(spark):
+    rows = [("a", 100.0, f"s{k:02}") for k in range(12)] + [("a", 99.0, "t"), ("b", 10.0, "x"), ("b", 10.2, "y"), ("b", 10.3, "z"), ("b", None, "n"), ("c", None, "n")]
+    got = {r.product_id: [tuple(x) for x in r.near] for r in market.nearest_offers(spark.createDataFrame(rows, "product_id string, price double, supplier string")).collect()}
+    assert got == {"a": [(99.0, "t")] + [(100.0, f"s{k:02}") for k in range(7)], "b": [(10.0, "x"), (10.2, "y")]}
