@@ -41,14 +41,16 @@ CACHE = 150_000
 
 class Model:
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.languages, self.words, self.grams = languages, words, grams
+        self.languages, self.grams = languages, grams
+        # With the share known, so that what tasks remember of these words is no copy.
+        self.words = {word: np.append(scores, 1.0) for word, scores in words.items()}
         self.floor = np.full(len(languages), log(1e-7))
 
     def word(self, word: str) -> np.ndarray:
         """The score in each language, and how much of the word is known."""
         known = self.words.get(word)
         if known is not None:
-            return np.append(known, 1.0)
+            return known
         padded, rows = f" {word} ", []
         seen = [False] * len(padded)
         at = 0
