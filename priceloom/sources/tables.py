@@ -1,6 +1,7 @@
 """Readers: offers from the test tables, raw price files, positional snapshots and nested price payloads."""
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,23 +14,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir, so that a lost executor costs a reread.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application in spark.checkpoint.dir.
 
     Where the setting is missing, a local session gets a temporary folder; a cluster session is refused,
     because its executors could not read a folder of the driver's machine.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="priceloom-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder, so that a lost executor costs a reread. For rows of any kind."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a written table in the shared folder: cuts the lineage as settle does, for an operator's own columns.
+
+    Spark knows the size of such a table, so it packs small files into few tasks and chooses joins by size; both sides of
+    a join of two such tables are plain exchanges, of which it splits skewed partitions. discard() frees the disk.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored() tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as supplier offers. pos orders them: the place of a row in its price list."""
     line, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
