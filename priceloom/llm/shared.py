@@ -1,8 +1,8 @@
 """Helpers that several training-data operators share."""
 
-from priceloom.sources.tables import settle, table
+from priceloom.sources.tables import discard, settle, stored, table
 
-__all__ = ["ASCII_SPACE", "ASCII_WORD", "settle", "table"]
+__all__ = ["ASCII_SPACE", "ASCII_WORD", "discard", "settle", "stored", "table"]
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
