@@ -13,8 +13,8 @@ in blocks: a task counts the common shingles of two blocks as a product of 0/1 m
 components leave it. So no link in a bucket is lost, and no pairs are emitted. Members meet their pivot in blocks too, so
 a pivot's text is sent once for BLOCK_BYTES of members and no group of copies meets in one task.
 
-Components come from rounds that give each node its smallest neighbour as parent, hang the parents on each other and
-halve all paths. Aggregates are written before they are joined, so that both sides of a join are plain exchanges: Spark
+Components come from rounds that give each node its smallest neighbour as parent, hang its other neighbours on that and
+shorten all paths to a third. Aggregates are written before they are joined, so that both sides of a join are plain exchanges: Spark
 splits the partitions of a node or pivot with very many rows. Tables that nothing reads again are deleted.
 
 Null and empty texts have no shingles and link with nothing. A text with fewer words than a shingle is one shingle.
@@ -144,8 +144,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
         parent = stored(now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        above = parent.select(F.col("u").alias("m"), F.col("m").alias("top"))
-        hung = parent.select("u", "m").join(above, "m", "left").select("u", F.coalesce("top", "m").alias("v"), F.col("top").isNotNull().alias("moved"))
+        above = lambda at, top: parent.select(F.col("u").alias(at), F.col("m").alias(top))
+        hung = parent.select("u", "m").join(above("m", "up"), "m", "left").join(above("up", "top"), "up", "left")
+        hung = hung.select("u", F.coalesce("top", "up", "m").alias("v"), F.col("up").isNotNull().alias("moved"))
         several = not parent.filter("n > 1").isEmpty()
         if several:
             # The other neighbours of a node hang on its parent from now on.
