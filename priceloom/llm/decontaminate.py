@@ -1,17 +1,22 @@
 """Benchmark decontamination: an FM-index per shard of documents is searched for every benchmark window.
 
-Windows are WIDTH consecutive words of an item; a shorter item is one window. A shard is an Arrow batch of documents.
-An occurrence consists of benchmark words only, so the index is built over the shard's runs of benchmark words that
-are long enough, set apart by separators; nothing that could match is left out. Windows are found by backward search,
+Windows are WIDTH consecutive words of an item; a shorter item is one window. A shard is a slice of documents of about
+SHARD_BYTES. An occurrence consists of benchmark words only, so the index is built over the shard's runs of benchmark words
+that are long enough, set apart by separators; nothing that could match is left out. Windows are found by backward search,
 their places by sampled suffix positions, and overlapping ones are merged into removal spans.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text each (several items, or one). Every block is
-one more step on the same pass over the documents, so a large benchmark costs time, not memory; nothing is shuffled.
+The benchmark is cut into pieces that overlap by a window, and the pieces are dealt to blocks of about BLOCK_BYTES. Tasks
+build the windows of a block as arrays; the driver hands each block on to the others and holds one at a time. A task searches
+a shard for one block after the other and holds one block, so a large benchmark costs time, not memory. PASS blocks, with a
+bounded size, go with one pass over the documents; more take a further pass. Nothing of the documents is shuffled.
 
-Null and empty texts have no words and no hits; null and empty items have no windows. Equal items are all counted.
-Repeated rows are handled alike. Other columns are not read.
+Null and empty texts have no words and no hits; null and empty items have no windows. Item ids may be of any type that is
+a string when cast; items with one id are one item, and so are all items without an id, which has no name but counts.
+Repeated rows are handled alike. Other columns are not read. An empty benchmark hits nothing.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +27,10 @@ from priceloom.llm.fmindex import FMIndex
 from priceloom.llm.shared import table
 
 WIDTH = 10
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in a block and in a piece of an item, and blocks of one pass.
+BLOCK_BYTES, PIECE_BYTES, PASS = 4 << 20, 1 << 20, 32
+#: Bytes of documents searched at a time.
+SHARD_BYTES = 8 << 20
 #: Symbols of an index; a shard with more benchmark words gets several.
 INDEX_SYMBOLS = 1 << 20
 
@@ -30,23 +38,26 @@ INDEX_SYMBOLS = 1 << 20
 class Phrases:
     """The distinct windows of some items, by length, in symbols of their own vocabulary."""
 
-    def __init__(self, item_ids: list, texts: list, width: int = WIDTH):
-        split = W.split(pa.array(texts, pa.large_string()), W.ALNUM)
-        marks = W.fingerprints(split, fold=True)
+    def __init__(self, items: list, texts: pa.Array, width: int = WIDTH):
+        words = W.split(texts, W.ALNUM)
+        marks = W.fingerprints(words, fold=True)
         self.vocabulary = np.unique(marks)
-        symbols = np.searchsorted(self.vocabulary, marks) + 1
-        rows = []
-        for item, first, last in zip(item_ids, split.base[:-1], split.base[1:], strict=True):
-            n = min(width, last - first)
-            rows += [(item, symbols[k : k + n]) for k in range(first, last - n + 1) if n]
-        self.groups: list[tuple[np.ndarray, list[list]]] = []
-        for n in sorted({len(r[1]) for r in rows}):
-            own = [r for r in rows if len(r[1]) == n]
-            distinct, which = np.unique(np.stack([r[1] for r in own]), axis=0, return_inverse=True)
-            items: list[set] = [set() for _ in distinct]
-            for k, (item, _) in zip(which.ravel(), own, strict=True):
-                items[k].add(item)
-            self.groups.append((distinct, [sorted(x) for x in items]))
+        symbols = (np.searchsorted(self.vocabulary, marks) + 1).astype(np.int32)
+        #: The names of the items, None for those without an id.
+        self.names = sorted({i for i in items if i is not None}) + [None] * (None in items)
+        number = {name: k for k, name in enumerate(self.names)}
+        item = np.array([number[i] for i in items], np.int64)[words.document()]
+        length = np.minimum(words.counts, width)[words.document()]
+        starts = np.arange(len(symbols))
+        starts = starts[np.repeat(words.base[1:], words.counts) - starts >= length]
+        #: For each length the distinct windows, and of each the items that hold it: owners[offsets[k] : offsets[k + 1]].
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(length):
+            own = starts[length[starts] == n]
+            windows = symbols[own[:, None] + np.arange(n)]
+            distinct, which = np.unique(windows, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), item[own]], axis=1), axis=0)
+            self.groups.append((distinct, np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1]))
         self.shortest = min((g[0].shape[1] for g in self.groups), default=0)
         self.likely = np.zeros(1 << 20, bool)
         self.likely[self.vocabulary >> np.uint64(44)] = True
@@ -60,11 +71,12 @@ class Phrases:
         out[maybe[same]] = at[same] + 1
         return out
 
-    def occurrences(self, words: W.Words) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, list]]]:
-        """First word and length of each occurrence in the shard, and the groups' (first words, items)."""
+    def occurrences(self, words: W.Words, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word and length of each occurrence in the shard; and first word and item of each occurrence of an item."""
+        none = np.zeros(0, np.int64)
         if not self.groups or not len(words.starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        symbols = self.symbols(W.fingerprints(words, fold=True))
+            return none, none, none, none
+        symbols = self.symbols(marks)
         begins = np.zeros(len(symbols) + 1, bool)
         begins[words.base] = True
         known = symbols > 0
@@ -73,51 +85,51 @@ class Phrases:
         ends = np.flatnonzero((edge == -1) | (begins & np.append(False, known)))
         long = ends - starts >= self.shortest
         starts, ends = starts[long], ends[long]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        by_item = []
+        found: list[tuple[np.ndarray, ...]] = []
         total = np.cumsum(ends - starts + 1)
-        for k in range(int(total[-1] // INDEX_SYMBOLS) + 1 if len(total) else 0):
+        for k in np.unique(total // INDEX_SYMBOLS):
             mine = total // INDEX_SYMBOLS == k
-            if not mine.any():
-                continue
             s, e = starts[mine], ends[mine]
             size = e - s + 1  # with a separator
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             where = np.where(at < np.repeat(e - s, size), np.repeat(s, size) + at, -1)
             index = FMIndex(np.where(where >= 0, symbols[where], 0))
-            for phrases, items in self.groups:
+            for phrases, offsets, owners in self.groups:
                 low, high = index.search(phrases)
                 n = high - low
                 which = np.repeat(np.arange(len(phrases)), n)
-                rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                first = where[index.locate(rows)]
-                found.append((first, np.full(len(first), phrases.shape[1])))
-                by_item.append((first, [items[w] for w in which]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        return np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found]), by_item
+                first = where[index.locate(_ranges(low, n))]
+                several = np.diff(offsets)[which]
+                found.append((first, np.full(len(first), phrases.shape[1]), np.repeat(first, several), owners[_ranges(offsets[which], several)]))
+        return tuple(np.concatenate([f[k] for f in found]) if found else none for k in range(4))
+
+
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... for n numbers, each after the other."""
+    return np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-FOUND = pa.struct([("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.int64())), ("n_words", pa.int64())])
-FOUND_SQL = "struct<spans:array<struct<first:bigint,last:bigint>>,items:array<bigint>,n_words:bigint>"
+FOUND = pa.struct([("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string())), ("n_words", pa.int64())])
+FOUND_SQL = "struct<spans:array<struct<first:bigint,last:bigint>>,items:array<string>,n_words:bigint>"
 
 
-def _scan(phrases: Phrases, texts: pa.Array, earlier: list | None) -> pa.Array:
+def _scan(blocks, texts: pa.Array, earlier: list | None) -> pa.Array:
     """One shard: the spans (first word, word after the last) and items of each document, with those found earlier."""
     words = W.split(texts, W.ALNUM)
-    first, length, by_item = phrases.occurrences(words)
+    marks = W.fingerprints(words, fold=True)
     doc_of = lambda at: np.searchsorted(words.base, at, "right") - 1
     spans: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
     items: list[set] = [set() for _ in range(len(texts))]
-    for d, (a, b) in zip(doc_of(first), np.stack([first, first + length], axis=1), strict=True):
-        spans[d].append((int(a - words.base[d]), int(b - words.base[d])))
-    for at, own in by_item:
-        for d, more in zip(doc_of(at), own, strict=True):
-            items[d].update(more)
+    for phrases in blocks:
+        first, length, at, item = phrases.occurrences(words, marks)
+        for d, a, b in np.unique(np.stack([doc_of(first), first, first + length], axis=1), axis=0).tolist():
+            spans[d].append((a - int(words.base[d]), b - int(words.base[d])))
+        for d, i in np.unique(np.stack([doc_of(at), item], axis=1), axis=0).tolist():
+            items[d].add(phrases.names[i])
     for d, old in enumerate(earlier or ()):
         spans[d] += [(x["first"], x["last"]) for x in old["spans"]]
         items[d].update(old["items"])
-    rows = [{"spans": merge(s), "items": sorted(i), "n_words": int(n)} for s, i, n in zip(spans, items, words.counts, strict=True)]
+    rows = [{"spans": merge(s), "items": sorted(i, key=lambda x: (x is None, x)), "n_words": int(n)} for s, i, n in zip(spans, items, words.counts, strict=True)]
     return pa.array(rows, FOUND)
 
 
@@ -131,27 +143,56 @@ def merge(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
-    """Parts of the benchmark by a hash of the id, each of at most about `limit` bytes."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = max(1, -(-2 * total // limit))
-    return [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+def pieces(benchmark: DataFrame, width: int = WIDTH, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """item, text: the items' words in pieces that overlap by a window less one word, each distinct piece once."""
+
+    def cut(batches):
+        for batch in W.pieces(batches):
+            words = W.split(batch.column("text"), W.ALNUM)
+            items, texts = [], []
+            for item, first, last in zip(batch.column("item").to_pylist(), words.base[:-1], words.base[1:], strict=True):
+                while first < last:
+                    end = int(np.searchsorted(words.ends[:last], words.starts[first] + piece_bytes, "right"))
+                    end = min(last, max(end, first + width))
+                    items.append(item)
+                    texts.append(words.text(first, end).decode())
+                    first = last if end == last else end - width + 1
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string())], ["item", "text"])
+
+    named = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text IS NOT NULL")
+    return named.mapInArrow(cut, "item string, text string").distinct()
+
 
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int):
+    """The pickled Phrases of each block, one after the other."""
+    rows = pieces(benchmark, width, min(PIECE_BYTES, block_bytes))
+    total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def build(group):
+        return pa.table({"packed": pa.array([pickle.dumps(Phrases(group.column("item").to_pylist(), group.column("text"), width))], pa.binary())})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-total // block_bytes)))))
+    return (bytes(r.packed) for r in dealt.groupBy("block").applyInArrow(build, "packed binary").toLocalIterator())
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of docs in a struct `row`, with `found`: spans (first word, word after the last), items, n_words."""
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), F.lit(None).cast(FOUND_SQL).alias("found"))
-    context = docs.sparkSession.sparkContext
-    for block in _blocks(benchmark.select("item_id", "text").filter("text IS NOT NULL"), block_bytes):
-        own = block.orderBy("item_id", "text").collect()  # at most about block_bytes
-        sent = context.broadcast(Phrases([r.item_id for r in own], [r.text for r in own], width))
+    sent = [docs.sparkSession.sparkContext.broadcast(packed) for packed in _blocks(benchmark, width, block_bytes)]
+    for k in range(0, max(1, len(sent)), PASS):
+
+        def search(batches, own=sent[k : k + PASS]):
+            only = pickle.loads(own[0].value) if len(own) == 1 else None
+
+            def one_by_one():
+                for block in own:
+                    yield only or pickle.loads(block.value)
+                    vars(block).pop("_value", None)  # the next block takes its place
 
-        def search(batches, sent=sent):
-            for batch in W.pieces(batches):
+            for batch in W.pieces(batches, limit=shard_bytes):
                 texts, found = batch.column("text"), batch.column("found")
                 earlier = None if found.null_count == len(found) else found.to_pylist()
-                done = _scan(sent.value, texts, earlier)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), texts, done], ["row", "text", "found"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), texts, _scan(one_by_one(), texts, earlier)], ["row", "text", "found"])
 
         rows = rows.mapInArrow(search, rows.schema)
     return rows.select("row", "found")
@@ -165,13 +206,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"])
-    items = F.concat_ws(",", F.array_sort(F.transform("found.items", lambda x: x.cast("string"))))
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         F.col("found.n_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("found.items").cast("long").alias("n_items"),
-        F.sha2(items, 256).alias("items_sha256"),
+        F.sha2(F.concat_ws(",", F.array_sort("found.items")), 256).alias("items_sha256"),
         (F.size("found.spans") > 0).alias("contaminated"),
     )
 
