@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from priceloom.llm import words as W
 from priceloom.llm.shared import table
 
 MOST_ROWS, WORDS, GRAMS, LONGEST = 4000, 20_000, 20_000, 4
@@ -35,35 +36,90 @@ KNOWN, LEAST_KNOWN = 3, 0.4
 #: Scripts without spaces between words: Thai and Lao, Tibetan, Myanmar, Khmer, ideographs and kana.
 UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 LETTER = r"\p{L}+"
-#: Words scored so far that a task remembers.
-CACHE = 150_000
+#: Bytes of text judged at a time.
+PIECE_BYTES = 4 << 20
+
+
+def _hashed(codes: np.ndarray) -> list[np.ndarray]:
+    """For n from 1 to LONGEST a 64-bit hash of the n characters from each place on; the last places lack some."""
+    out = [W.mix(codes.astype(W.U64) + W.U64(1))]
+    for n in range(1, LONGEST):
+        out.append(W.mix(out[-1][:-1] * W.U64(0x9E3779B97F4A7C15) + codes[n:].astype(W.U64) + W.U64(1)) if len(codes) > n else np.zeros(0, W.U64))
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Model:
+    """words and grams: the score in each language of each key."""
+
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.languages, self.grams = languages, grams
-        # With the share known, so that what tasks remember of these words is no copy.
-        self.words = {word: np.append(scores, 1.0) for word, scores in words.items()}
+        self.languages = languages
+        self.words = pa.array(list(words), pa.string())
+        self.word_scores = np.array([*words.values(), np.zeros(len(languages))])
+        self.gram_scores = np.array([*grams.values(), np.zeros(len(languages))])
         self.floor = np.full(len(languages), log(1e-7))
-
-    def word(self, word: str) -> np.ndarray:
-        """The score in each language, and how much of the word is known."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        padded, rows = f" {word} ", []
-        seen = [False] * len(padded)
-        at = 0
-        while at < len(padded):
-            for n in range(min(LONGEST, len(padded) - at), 0, -1):
-                own = self.grams.get(padded[at : at + n])
-                if own is not None:
-                    rows.append(own + (LONGEST - n) * log(BACKOFF))
-                    for k in range(at, at + n):
-                        seen[k] = seen[k] or n >= KNOWN or any(low <= ord(padded[k]) <= high for low, high in UNSPACED)
-                    break
-            at += max(1, n - 1)
-        return np.append(np.mean(rows, axis=0) if rows else self.floor, sum(seen[1:-1]) / len(word))
+        #: By length, the hashes of the n-grams in order and the row of each.
+        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in range(1, LONGEST + 1):
+            own = [(k, g) for k, g in enumerate(grams) if len(g) == n]
+            hashes = np.array([_hashed(_codes(g))[n - 1][0] for _, g in own], W.U64)
+            order = np.argsort(hashes)
+            self.by_length.append((hashes[order], np.array([k for k, _ in own], np.int64)[order]))
+
+    def _longest(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At each place the length and row of the longest known n-gram that ends no later than `end`; length 0 for none."""
+        length, row = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        for n, (h, (known, rows)) in enumerate(zip(_hashed(codes), self.by_length, strict=True), 1):
+            if len(known) and len(h):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero((known[at] == h) & (np.arange(len(h)) + n <= end[: len(h)]))
+                length[hit], row[hit] = n, rows[at[hit]]
+        return length, row
+
+    def unseen(self, words: pa.Array) -> np.ndarray:
+        """Of each word the score in each language by its n-grams, and how much of it is known. All words take a step at a time."""
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = _codes(" " + "  ".join(words.to_pylist()) + " ")
+        stop = np.cumsum(size + 2)
+        start = stop - size - 2
+        length, row = self._longest(codes, np.repeat(stop, size + 2))
+        unspaced = np.zeros(len(codes), bool)
+        for low, high in UNSPACED:
+            unspaced |= (codes >= low) & (codes <= high)
+        total, steps = np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
+        wide, single = np.zeros(len(codes) + 1, np.int64), np.zeros(len(codes), bool)
+        at, live = start.copy(), np.arange(len(words))
+        while len(live):
+            p = at[live]
+            n = length[p]
+            hit = n > 0
+            total[live[hit]] += self.gram_scores[row[p[hit]]] + ((LONGEST - n[hit]) * log(BACKOFF))[:, None]
+            steps[live[hit]] += 1
+            long = n >= KNOWN
+            wide[p[long]] += 1
+            wide[(p + n)[long]] -= 1
+            for k in range(1, KNOWN):
+                some = p[hit & (n >= k)] + k - 1
+                single[some] |= unspaced[some]
+            at[live] = p + np.maximum(1, n - 1)
+            live = live[at[live] < stop[live]]
+        seen = np.append(0, np.cumsum((np.cumsum(wide[:-1]) > 0) | single))
+        share = (seen[stop - 1] - seen[start + 1]) / np.maximum(size, 1)
+        scores = np.where(steps[:, None] > 0, total / np.maximum(steps, 1)[:, None], self.floor)
+        return np.column_stack([scores, share])
+
+    def score(self, words: pa.Array) -> np.ndarray:
+        """Of each distinct word the score in each language, and how much of it is known."""
+        known = pc.index_in(words, value_set=self.words)
+        at = pc.fill_null(known, len(self.words)).to_numpy(zero_copy_only=False)
+        out = np.column_stack([self.word_scores[at], np.ones(len(words))])
+        rest = np.flatnonzero(at == len(self.words))
+        if len(rest):
+            out[rest] = self.unseen(words.take(pa.array(rest)))
+        return out
 
 
 def _logs(rows: list, languages: list[str]) -> dict[str, np.ndarray]:
@@ -93,27 +149,21 @@ def learn(labelled: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     return Model(languages, _logs(word_rows, languages), _logs(gram_rows, languages))
 
 
-def _judge(model: Model, texts: pa.Array, cache: dict[str, int], table_: list[np.ndarray]) -> tuple[list, list, list]:
+def _judge(model: Model, texts: pa.Array) -> tuple[list, list, list]:
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
     lists = pc.split_pattern_regex(lower, r"\PL+")
-    encoded = lists.values.dictionary_encode() if len(lists) else None
-    names = encoded.dictionary.to_pylist()
-    number = np.empty(len(names), np.int64)
-    for k, name in enumerate(names):
-        at = cache.get(name)
-        if at is None:
-            at = cache[name] = len(table_)
-            table_.append(model.word(name) if name else np.zeros(len(model.languages) + 1))
-        number[k] = at
-    scores = np.stack([table_[k] for k in number])
+    encoded = lists.values.dictionary_encode()
+    is_word = pc.not_equal(encoded.dictionary, "").to_numpy(zero_copy_only=False)
+    scores = np.zeros((len(encoded.dictionary), len(model.languages) + 1))
+    if is_word.any():
+        scores[is_word] = model.score(encoded.dictionary.filter(pa.array(is_word)))
     indices = encoded.indices.to_numpy(zero_copy_only=False)
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    is_word = np.array([bool(n) for n in names])[indices]
     sums = np.zeros((len(lists), len(model.languages)))
     for k in range(len(model.languages)):
-        running = np.append(0.0, np.cumsum(scores[indices, k] - scores[indices, 0]))
+        running = np.append(0.0, np.cumsum((scores[:, k] - scores[:, 0])[indices]))
         sums[:, k] = running[offsets[1:]] - running[offsets[:-1]]
-    n = np.append(0, np.cumsum(is_word))
+    n = np.append(0, np.cumsum(is_word[indices]))
     n = n[offsets[1:]] - n[offsets[:-1]]
     running = np.append(0.0, np.cumsum(scores[indices, -1]))
     known = np.clip((running[offsets[1:]] - running[offsets[:-1]]) / np.maximum(n, 1), 0, 1)
@@ -125,18 +175,13 @@ def _judge(model: Model, texts: pa.Array, cache: dict[str, int], table_: list[np
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs in a struct `row`, with lang_pred, score and known."""
-    from priceloom.llm import words as W
-
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
 
     def judge(batches):
-        cache, seen = {}, []
         with_text = (pa.RecordBatch.from_arrays([b.column("row"), b.column("row").field("text")], ["row", "text"]) for b in batches)
-        for batch in W.pieces(with_text, limit=2 << 20):
-            if len(cache) > CACHE:
-                cache, seen = {}, []
+        for batch in W.pieces(with_text, limit=PIECE_BYTES):
             if sent.value.languages:
-                names, scores, known = _judge(sent.value, batch.column("text"), cache, seen)
+                names, scores, known = _judge(sent.value, batch.column("text"))
             else:
                 names, scores, known = [UNKNOWN] * len(batch), [0.0] * len(batch), [0.0] * len(batch)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())], ["row", "lang_pred", "score", "known"])
