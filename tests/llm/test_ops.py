@@ -208,42 +208,6 @@ def test_pages_table(spark):
     assert pages.extract(rows.limit(0)).count() == 0
 
 
-def test_chats_keep_the_longest(spark):
-    turns = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (None, 0, None, None), (4, 0, "user", "a"), (4, 1, "assistant", None)]
-    got = chats.chat_texts(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
-    assert sorted((r.conv_id or -1, r.n_turns, r.n_copies) for r in got) == [(-1, 1, 1), (2, 2, 2), (4, 2, 1)]
-    assert chats.chat_texts(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
-
-
-@pytest.mark.parametrize("chunk", [3, 20_000])
-def test_chats_in_chunks(spark, monkeypatch, chunk):
-    """Conversations of several chunks against a brute force; null conv_ids, ties and copies among them."""
-    monkeypatch.setattr(chats, "CHUNK", chunk)
-    rng = random.Random(2)
-    long = [(k // 2 if k > 3 else None, rng.choice(("user", "bot", None)), rng.choice((None, "", f"text {k}", "again"))) for k in range(60)]
-    turns = [(conv, *t) for conv, n in ((1, 60), (2, 60), (3, 41), (4, 7), (5, 1), (None, 60)) for t in long[:n]]
-    turns += [(6, *t) for t in long[1:]] + [(7, 0, "user", "x"), (7, 0, "user", "x")]
-    rng.shuffle(turns)
-    first = lambda v: (v is not None, v if v is not None else 0)
-    convs: dict = {}
-    for conv, *t in set(turns):
-        convs.setdefault(conv, []).append(tuple(t))
-    lists = {c: [t[1:] for t in sorted(ts, key=lambda t: (first(t[0]), (t[1] is not None, t[1] or ""), (t[2] is not None, t[2] or "")))] for c, ts in convs.items()}
-    want = set()
-    for c, own in lists.items():
-        same = sorted((d for d in lists if lists[d] == own), key=lambda d: (d is None, d or 0))
-        if same[0] == c and not any(len(o) > len(own) and o[: len(own)] == own for o in lists.values()):
-            want.add((c, len(own), len(same), "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in own)))
-    got = chats.chat_texts(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
-
-
-def test_long_chats_finish(spark):
-    """Two conversations of 40,000 turns, one of them a snapshot of the other."""
-    rows = spark.range(80_000).selectExpr("id % 2 AS conv_id", "cast(id div 2 AS int) AS turn", "'user' AS role", "concat('t', id div 2) AS text")
-    assert [(r.conv_id, r.n_turns, r.n_copies) for r in chats.chat_texts(rows.filter("conv_id = 0 OR turn < 39000")).collect()] == [(0, 40_000, 1)]
-
-
 def test_mix_meets_its_targets(spark):
     found = mixing.query(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id")
     for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most"), F.max(F.col("copies")).alias("copies")).collect():
