@@ -8,7 +8,9 @@ trees need no nodes: a maximal repeat is a chain of such windows, and its span i
 
 Documents are dealt to blocks by a hash of id and text. A block sends each distinct suffix once, with the smallest id
 that has it, so however often a passage or a copy occurs, a group gets one leaf for it from each block. Back goes one
-bit a leaf: whether another block has it with a smaller id. Words are told apart by 64-bit fingerprints.
+bit a leaf: whether another block has it with a smaller id. Suffixes go as 64-bit fingerprints of their words and are told
+apart within their group only, which is named by hashes of other seeds: with some million suffixes in a group, a false
+repeat is expected in fewer than one of a million groups. Sent as words, they would take ten times the text.
 
 Null texts have no words. A null doc_id is larger than any other. Rows with one doc_id do not remove words from each
 other. An empty table gives an empty result. Other columns are not read.
@@ -41,36 +43,46 @@ def _codes(h: np.ndarray, depth: int) -> np.ndarray:
 
 def _count(batches, depth: int, opened: np.ndarray, width: int):
     """How many suffixes there are by prefix, below the prefixes `opened` of two words less."""
-    cells = 1 << (2 * BITS)
-    sums = np.zeros((len(opened), cells), np.int64)
     for batch in W.pieces(batches):
         words = W.split(batch.column("text"), W.SPACED)
         code = _codes(W.fingerprints(words, fold=False), depth)[words.windows(width)]
-        at = np.minimum(np.searchsorted(opened, code >> (2 * BITS)), len(opened) - 1)
-        mine = opened[at] == code >> (2 * BITS)
-        sums += np.bincount((at * cells + (code & (cells - 1)))[mine], minlength=sums.size).reshape(sums.shape)
-    which, cell = np.nonzero(sums)
-    yield pa.RecordBatch.from_pydict({"code": opened[which] * cells + cell, "n": sums[which, cell]})
+        above = code >> (2 * BITS)
+        at = np.minimum(np.searchsorted(opened, above), len(opened) - 1)
+        codes, n = np.unique(code[opened[at] == above], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"code": codes, "n": n.astype(np.int64)})
+
+
+def _bins(cells: pa.Table, group: int, last: bool) -> pa.Table:
+    """Of the prefixes below one: those to extend, and those at which a group of about `group` suffixes begins."""
+    cells = cells.sort_by("code")
+    code, n = cells.column("code").to_numpy(), cells.column("n").to_numpy()
+    large = (n > group) & (not last)
+    bin_of = np.cumsum(np.where(large, group, n)) // group
+    begins = np.append(True, np.diff(bin_of) > 0)
+    return pa.table({"code": np.concatenate([code[large], code[begins]]), "extend": np.append(np.ones(large.sum(), bool), np.zeros(begins.sum(), bool))})
+
+
+def _binned(group: int, last: bool):
+    return lambda cells: _bins(cells, group, last)
 
 
 def prefix_groups(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> tuple[int, np.ndarray]:
     """The depth of the longest prefix in words, and the codes (at that depth) at which a new group begins.
 
-    The list has an entry for every `group` suffixes of the corpus, so it stays small on the driver.
+    A prefix is extended only if it has over `group` suffixes, and each extended one gives a group's beginning for every
+    `group` of them and one more: what comes to the driver and goes to the tasks is a few numbers for each group.
     """
-    depth, opened, counted = 0, np.zeros(1, np.int64), np.zeros((0, 2), np.int64)
+    depth, opened, begins = 0, np.zeros(1, np.int64), np.zeros(0, np.int64)
     while len(opened):
         depth += 2
+        last = depth >= min(DEEPEST, width - 1)
         counts = docs.select("text").mapInArrow(lambda b, d=depth, o=opened: _count(b, d, o, width), "code long, n long")
-        rows = counts.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-        codes, n = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        large = (n > group) & (depth < min(DEEPEST, width - 1))
-        opened = np.sort(codes[large])
-        counted[:, 0] <<= 2 * BITS
-        counted = np.concatenate([counted, np.stack([codes[~large], n[~large]], axis=1)])
-    counted = counted[np.argsort(counted[:, 0])]
-    bin_of = np.cumsum(counted[:, 1]) // group
-    return depth, counted[1:, 0][np.diff(bin_of) > 0]
+        counts = counts.groupBy("code").agg(F.sum("n").alias("n"), F.expr(f"code div {1 << (2 * BITS)}").alias("above"))
+        rows = counts.groupBy("above").applyInArrow(_binned(group, last), "code long, extend boolean").toPandas()
+        codes, extend = rows["code"].to_numpy(np.int64), rows["extend"].to_numpy(bool)
+        opened = np.sort(codes[extend])
+        begins = np.concatenate([begins << (2 * BITS), codes[~extend]])
+    return depth, np.unique(begins)[1:]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -141,6 +153,18 @@ def _subtree(rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in parts], pa.int32()), "suffixes": pa.array([group] * len(parts), pa.int32()), "bits": pa.array([np.packbits(f).tobytes() for _, f in parts], pa.binary())})
 
 
+def _spans(gone: np.ndarray, base: np.ndarray) -> pa.Array:
+    """The runs of words that go, document by document: first word and word after the last."""
+    cut = np.zeros(len(gone) + 1, bool)
+    cut[base] = True
+    starts = np.flatnonzero(gone & (cut[:-1] | ~np.append(False, gone[:-1])))
+    ends = np.flatnonzero(gone & (cut[1:] | ~np.append(gone[1:], False))) + 1
+    doc = np.searchsorted(base, starts, "right") - 1
+    offsets = np.searchsorted(doc, np.arange(len(base)))
+    runs = pa.StructArray.from_arrays([pa.array(starts - base[doc]), pa.array(ends - base[doc])], ["first", "last"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)
+
+
 def _kept_texts(words: W.Words, kept: np.ndarray) -> pa.Array:
     """The kept words of each document, joined by one space."""
     size = (words.ends - words.starts + 1)[kept]
@@ -155,11 +179,11 @@ def _kept_texts(words: W.Words, kept: np.ndarray) -> pa.Array:
     return pa.array([raw[a : max(a, b - 1)].decode() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.string())
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept string"
+RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept string"
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
-    """doc_id, n_words, n_removed and kept: the words that stay, joined by one space."""
+    """doc_id, n_words, n_removed, spans (the maximal runs of words that go) and kept: the words that stay, joined by one space."""
     depth, bounds = prefix_groups(docs, width, group)
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
@@ -177,7 +201,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLO
         bits = dict(zip(answers.column("suffixes").to_pylist(), answers.column("bits").to_pylist(), strict=True))
         gone = W.covered(own.repeated(bits), width, len(own.words.starts))
         removed = np.diff(np.append(0, np.cumsum(gone))[own.words.base])
-        return pa.table({"doc_id": own.rows.column("doc_id"), "n_words": own.words.counts.astype(np.int64), "n_removed": removed.astype(np.int64), "kept": _kept_texts(own.words, ~gone)})
+        return pa.table({"doc_id": own.rows.column("doc_id"), "n_words": own.words.counts.astype(np.int64), "n_removed": removed.astype(np.int64), "spans": _spans(gone, own.words.base), "kept": _kept_texts(own.words, ~gone)})
 
     leaves = rows.groupBy("block").applyInArrow(index, "block int, suffixes int, n long, keys binary, ids binary")
     answers = leaves.groupBy("suffixes").applyInArrow(_subtree, "block int, suffixes int, bits binary")

@@ -60,7 +60,8 @@ def test_substrings_in_small_groups(spark):
         if d % 3 == 0:
             own[len(own) // 2 : len(own) // 2] = passage[rng.randint(0, 12) :]
         rows.append((d, " ".join(own)))
-    got = {r.doc_id: r.kept for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=900, group=50).collect()}
+    found = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=900, group=50).collect()
+    got, spans = {r.doc_id: r.kept for r in found}, {r.doc_id: {p for s in r.spans for p in range(s["first"], s["last"])} for r in found}
     seen: dict[tuple, int] = {}
     for d, text in rows:
         words = text.split()
@@ -70,6 +71,7 @@ def test_substrings_in_small_groups(spark):
         words = text.split()
         gone = {p for i in range(len(words) - 12) if seen[tuple(words[i : i + 13])] < d for p in range(i, i + 13)}
         assert got[d] == " ".join(w for i, w in enumerate(words) if i not in gone)
+        assert spans[d] == gone
 
 
 def test_neardups_in_a_family_of_unlike_copies(spark, monkeypatch):
