@@ -37,6 +37,8 @@ SHINGLE, SIDE, SIMILAR = 4, 10, 80
 SEND_ROWS = 200_000
 #: The most rows and bytes of a block of texts, and how many shingles are counted at a time.
 BLOCK_ROWS, BLOCK_BYTES, SLAB = 384, 2 << 20, 4096
+#: The most members that meet their pivot in one block.
+PIVOT_ROWS = 128
 _SALT, _ODD = W.constants(4 * SIDE, 11), W.constants(4 * SIDE, 12)
 
 
@@ -111,8 +113,8 @@ def _alike(size_a: np.ndarray, size_b: np.ndarray, same: np.ndarray, similar: in
     return 100 * same >= similar * (size_a + size_b - same)
 
 
-def _parts(n: Column, size: Column) -> Column:
-    return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+def _parts(n: Column, size: Column, rows: int) -> Column:
+    return F.greatest(F.ceil(n / rows), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
 def _block(n: Column) -> Column:
@@ -121,7 +123,7 @@ def _block(n: Column) -> Column:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR, width: int = SHINGLE) -> DataFrame:
     """a, b: those of the pairs (pivot, node, bytes) that are similar. Members meet their pivot in blocks."""
-    split = stored(pairs.groupBy("pivot").agg(_parts(F.count("*"), F.sum("bytes")).alias("parts")).filter("parts > 1"))
+    split = stored(pairs.groupBy("pivot").agg(_parts(F.count("*"), F.sum("bytes"), PIVOT_ROWS).alias("parts")).filter("parts > 1"))
     dealt = stored(pairs.join(split, "pivot", "left").select("pivot", "node", _block(F.coalesce("parts", F.lit(1))).alias("block")))
     of = lambda rows, at: rows.join(texts.select(F.col("node").alias("text_of"), "text"), F.col(at) == F.col("text_of")).select("pivot", "block", F.col(at).alias("node"), "text")
     rows = of(dealt, "node").union(of(dealt.select("pivot", "block").distinct(), "pivot"))
@@ -212,20 +214,19 @@ def _cross(rest: pa.Table, others: pa.Table, similar: int, width: int) -> pa.Tab
 
 
 def _across(star: DataFrame, roots: DataFrame, texts: DataFrame, similar: int, width: int) -> DataFrame:
-    """a, b: links between roots that join members of one pivot's buckets (star: pivot, node, bytes), the pivot among them.
+    """a, b: links between roots that join members of one pivot's buckets (star: pivot, node, bytes).
 
-    The members outside the most frequent component of a pivot are held against all members, block by block.
+    The members outside the most frequent component of a pivot are held against all members, block by block; the pivot was
+    held against all of them before.
     """
-    own = texts.select(F.col("node").alias("pivot"), "node", "bytes").join(star.select("pivot").distinct(), "pivot", "left_semi")
-    every = star.select("pivot", "node", "bytes").unionByName(own)
-    at = stored(_at_roots(every, roots, "node").withColumnRenamed("root_node", "root"))
+    at = stored(_at_roots(star.select("pivot", "node", "bytes"), roots, "node").withColumnRenamed("root_node", "root"))
     per_root = at.groupBy("pivot", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     per_pivot = per_root.groupBy("pivot").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots"))
     open_ = per_pivot.filter("roots > 1").select(
         "pivot",
         F.col("top.root").alias("main"),
-        _parts(F.col("n"), F.col("bytes")).alias("n_all"),
-        _parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("n_rest"),
+        _parts(F.col("n"), F.col("bytes"), BLOCK_ROWS).alias("n_all"),
+        _parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"), BLOCK_ROWS).alias("n_rest"),
     )
     open_ = stored(open_)
     met = at.join(open_, "pivot").join(texts.select("node", "text"), "node")

@@ -77,6 +77,7 @@ def test_substrings_in_small_groups(spark):
 def test_neardups_in_a_family_of_unlike_copies(spark, monkeypatch):
     """Copies of copies: many pairs near the limit, held against all pairs, in blocks of a few rows."""
     monkeypatch.setattr(neardups, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(neardups, "PIVOT_ROWS", 3)
     rng = random.Random(5)
     base = [f"b{k}" for k in range(150)]
     rows = []
