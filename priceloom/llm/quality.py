@@ -2,9 +2,9 @@
 
 Every line is judged by itself. A line fails
 - navigation: it has three or more `|`, `>`, `»`, `›`, `•` or `·` between short items (three words an item or fewer),
-- boilerplate: it is short (up to 25 words) and holds a phrase of BOILERPLATE,
-- punctuation: over a third of its characters that are not white space are symbols of SYMBOLS, or over two thirds of
-  its words end in the same mark (`!`, `#`, `$`, `%`, `&`, `*`).
+- boilerplate: it is short (up to SHORT characters) and holds a phrase of BOILERPLATE, in any of four languages,
+- punctuation: it has UNENDED words or more and does not end like a sentence, or over a third of its characters that are not
+  white space are symbols of SYMBOLS, or over two thirds of its words end in the same mark (`!`, `#`, `$`, `%`, `&`, `*`).
 Failing lines are removed; a document that keeps less than KEEP of its words is rejected. Before that come the base
 rules: fewer than MIN_WORDS words, or more than REPEATED of the words in 5-word windows that occur again.
 
@@ -27,6 +27,9 @@ SYMBOLS, LOUD = "#*$%&|<>", "!#$%&*"
 #: Without one of these characters a line can only fail as boilerplate.
 SUSPECT = "[#*$%&|<>»›•·!]"
 MIN_WORDS, REPEATED, WINDOW, KEEP = 10, 20, 5, 0.5
+SHORT, UNENDED = 160, 5
+#: The last characters of a line that ends like a sentence, a heading of a list or a quotation.
+ENDS = (".", "!", "?", "…", ":", ";", "。", "！", "？", '"', "”", "’", "»", ")", "]")
 
 # Phrases of page furniture, lower case.
 BOILERPLATE = (
@@ -34,6 +37,9 @@ BOILERPLATE = (
     "follow us on", "javascript is disabled", "log in to", "lorem ipsum", "our newsletter", "powered by",
     "privacy policy", "sign up for", "skip to content", "subscribe to", "terms of service", "terms of use",
     "uses cookies", "we use cookies",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nach oben", "newsletter abonnieren", "nutzungsbedingungen", "zum inhalt springen",
+    "accepter les cookies", "aller au contenu", "haut de page", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    "aceptar las cookies", "aviso legal", "política de privacidad", "saltar al contenido", "todos los derechos reservados", "términos de uso", "volver arriba",
 )
 
 
@@ -54,10 +60,11 @@ def line_fails(line: Column) -> Column:
     enders = F.length(line) - F.length(_without(line, LOUD))
     loud = F.greatest(*[F.regexp_count(line, F.lit(rf"[{m}]([\x20\x09-\x0D]|$)")) for m in LOUD])
     # exists() over one element lower-cases the line once for all phrases.
-    boilerplate = F.exists(F.array(F.lower(line)), lambda low: reduce(or_, [low.contains(phrase) for phrase in BOILERPLATE])) & (n_words <= 25)
+    boilerplate = (F.length(line) <= SHORT) & F.exists(F.array(F.lower(line)), lambda low: reduce(or_, [low.contains(phrase) for phrase in BOILERPLATE]))
+    unended = ~F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)).isin(*ENDS) & (n_words >= UNENDED)
     navigation = (marks >= 3) & (n_words <= 4 * (marks + 1))
     shouting = (enders >= 3) & (n_words >= 3) & (3 * enders > 2 * n_words) & (3 * loud > 2 * n_words)
-    return (line.rlike(SUSPECT) & (navigation | (3 * symbols > solid) | shouting)) | boilerplate
+    return (line.rlike(SUSPECT) & (navigation | (3 * symbols > solid) | shouting)) | boilerplate | unended
 
 
 def _repeated_words(words: Column) -> Column:
@@ -126,9 +133,10 @@ lf AS (SELECT r, len(regexp_extract_all(x, '{_W}')) AS n,
               length(x) - length(translate(x, '|>»›•·', '')) AS marks,
               length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS solid,
               length(x) - length(translate(x, '#*$%&|<>', '')) AS symbols,
-              greatest({_LOUD}) AS loud, regexp_matches(lower(x), '{"|".join(BOILERPLATE)}') AS furniture FROM ln),
+              greatest({_LOUD}) AS loud, length(x) <= {SHORT} AND regexp_matches(lower(x), '{"|".join(BOILERPLATE)}') AS furniture,
+              right(rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ({", ".join(f"'{e}'" for e in ENDS)}) AS unended FROM ln),
 good AS (SELECT r, sum(n)::BIGINT AS kept_words FROM lf
-         WHERE NOT ((marks >= 3 AND n <= 4 * (marks + 1)) OR (furniture AND n <= 25) OR 3 * symbols > solid OR (n >= 3 AND 3 * loud > 2 * n))
+         WHERE NOT ((marks >= 3 AND n <= 4 * (marks + 1)) OR furniture OR (unended AND n >= {UNENDED}) OR 3 * symbols > solid OR (n >= 3 AND 3 * loud > 2 * n))
          GROUP BY r),
 m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
              (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
