@@ -27,3 +27,9 @@ def low_margin(price: Column, rrp: Column) -> Column:
 def suspicious(price: Column, rrp: Column) -> Column:
     bad_price, bad_rrp = price.isNull() | (price <= 0), rrp.isNull() | (rrp <= 0)
     return F.when(bad_price, "invalid_price").when(bad_rrp, "invalid_rrp").when(rrp <= price, "rrp_not_above_price").when(low_margin(price, rrp), "low_margin")
+
+
+def whole_price(price: Column) -> Column:
+    """The price as shown beside a row: a whole number, 0 if not positive, null if not finite. Not round_to_tens."""
+    finite = ~F.isnan(price) & (F.abs(price) < float("inf"))
+    return F.when(finite, F.when(price > 0, F.floor(price)).otherwise(0)).cast("long")

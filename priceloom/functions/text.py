@@ -27,15 +27,22 @@ def compact_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^0-9a-zа-яё]+", "")
 
 
-def name_tokens(name: Column, shortest: int = 2) -> Column:
+def words(name: Column, shortest: int = 2) -> Column:
     """The distinct words of a name in order."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(name), F.lit("([0-9a-zа-яё]+)")), lambda t: F.length(t) >= shortest))
 
 
 def capacity_tokens(name: Column) -> Column:
-    """Sizes such as 1tb or 500gb, without a fraction of zeros."""
-    found = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+(?:\.[0-9]+)? ?(?:tb|gb|mb))"))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, " ", ""), r"\.0+([a-z])", "$1"))))
+    """Sizes such as 1tb or 500gb, without a fraction of zeros; a kit of 2 x 16 gb is one of 32gb."""
+    low = F.regexp_replace(F.lower(name), ",", ".")
+    kit = r"\b([0-9]{1,2})\s*[xх]\s*([0-9]+(?:\.[0-9]+)?)\s*gb\b"
+    bare = lambda n: F.regexp_replace(n, r"\.0+$|(\.[0-9]*?)0+$", "$1")
+    part = lambda text, pattern, k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    kits = F.zip_with(part(low, kit, 1), part(low, kit, 2), lambda n, size: F.concat(bare((n.cast("double") * size.cast("double")).cast("string")), F.lit("gb")))
+    single = r"([0-9]+(?:\.[0-9]+)?)\s*(tb|gb)"
+    rest = F.regexp_replace(low, kit, " ")
+    singles = F.zip_with(part(rest, single, 1), part(rest, single, 2), lambda n, unit: F.concat(F.when(n.contains("."), bare(n)).otherwise(n), unit))
+    return F.array_sort(F.array_distinct(F.concat(kits, singles)))
 
 
 def article_tokens(name: Column, shortest: int = 8) -> Column:

@@ -1,6 +1,6 @@
 """Offers against a reference catalog: lookups, overlays, upserts and checks."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
@@ -46,13 +46,13 @@ def fill_from_cache(offers: DataFrame, cache: DataFrame, most_keys: int = 20) ->
 
 def postings(catalog: DataFrame, shortest: int = 4) -> DataFrame:
     """token, product_id."""
-    return catalog.select("product_id", F.explode(X.name_tokens(F.col("name"), shortest)).alias("token"))
+    return catalog.select("product_id", F.explode(X.words(F.col("name"), shortest)).alias("token"))
 
 
 def unique_token_ids(offers: DataFrame, catalog: DataFrame) -> DataFrame:
     """For each name the id of its first token that only one product has: product_name, token, found_id."""
     single = postings(catalog).groupBy("token").agg(F.count("*").alias("n"), F.min("product_id").alias("found_id")).filter("n = 1").drop("n")
-    tokens = offers.select("product_name").distinct().select("product_name", F.posexplode(X.name_tokens(F.col("product_name"), 4)).alias("place", "token"))
+    tokens = offers.select("product_name").distinct().select("product_name", F.posexplode(X.words(F.col("product_name"), 4)).alias("place", "token"))
     return tokens.join(single, "token").groupBy("product_name").agg(F.min_by(F.struct("token", "found_id"), "place").alias("m")).select("product_name", "m.*")
 
 
@@ -72,13 +72,50 @@ def check_names(offers: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.withColumn("action", action)
 
 
-def key_closure(rows: DataFrame, start: DataFrame, settle) -> DataFrame:
-    """All keys that the start keys reach through rows (item, key) with a key in common; settle cuts the lineage."""
-    found = settle(start.select("key").distinct())
-    size = found.count()
-    while True:
-        items = rows.join(found, "key", "left_semi").select("item").distinct()
-        found = settle(rows.join(items, "item", "left_semi").select("key").union(found).distinct())
-        if (now := found.count()) == size:
-            return found
-        size = now
+def upsert_one(catalog: DataFrame, changes: DataFrame) -> DataFrame:
+    """The catalog (product_id, name, url) after single changes: a name that only repeats the id, and a blank url, keep what was there."""
+    new = changes.select("product_id", F.when(F.col("name") != F.col("product_id"), F.col("name")).alias("new_name"), F.when(F.col("url") != "", F.col("url")).alias("new_url"))
+    joined = catalog.select("product_id", "name", "url").join(new, "product_id", "full")
+    return joined.select("product_id", F.coalesce("new_name", "name", "product_id").alias("name"), F.coalesce("new_url", "url").alias("url"))
+
+
+def insert_ignore(index: DataFrame, new: DataFrame) -> DataFrame:
+    """The name index (name_key, product_id) with the new entries whose key it lacks; of new ones with one key the smallest id."""
+    fresh = new.filter("name_key <> ''").groupBy("name_key").agg(F.min("product_id").alias("product_id"))
+    return index.select("name_key", "product_id").unionByName(fresh.join(index, "name_key", "left_anti").select("name_key", "product_id"))
+
+
+def from_offers(offers: DataFrame, skipped: Column) -> tuple[DataFrame, DataFrame]:
+    """Catalog rows and index rows that offers give: the first name of each id, and the first id of each name key; not of the suppliers skipped."""
+    rows = offers.filter(F.col("product_id").isNotNull() & ~F.coalesce(skipped, F.lit(False))).withColumn("name_key", X.name_key(F.col("product_name")))
+    items = rows.groupBy("product_id").agg(F.min_by(F.struct("product_name", "category"), "pos").alias("first")).select("product_id", F.col("first.product_name").alias("name"), "first.category")
+    index = rows.filter("name_key <> ''").groupBy("name_key").agg(F.min_by("product_id", "pos").alias("product_id"))
+    return items, index
+
+
+def import_rows(catalog: DataFrame, index: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """catalog and index after an import of rows (product_id, name, category), and its counts: inserted, existing, skipped (no id or no name). A row is known by its name and by "category name" too."""
+    good = rows.filter("product_id <> '' AND name <> ''")
+    last = good.groupBy("product_id").agg(F.max(F.struct("name", "category")).alias("row")).select("product_id", "row.*")
+    keys = lambda c: good.select(X.name_key(c).alias("name_key"), "product_id")
+    entries = keys(F.col("name")).unionByName(keys(F.concat_ws(" ", "category", "name")))
+    known = last.join(catalog.select("product_id", F.lit(True).alias("known")), "product_id", "left")
+    counts = known.agg(F.count_if(F.col("known").isNull()).alias("inserted"), F.count_if(F.col("known").isNotNull()).alias("existing"))
+    skipped = rows.agg(F.count_if(~F.coalesce((F.col("product_id") != "") & (F.col("name") != ""), F.lit(False))).alias("skipped"))
+    return upsert(catalog, last), insert_ignore(index, entries), counts.join(F.broadcast(skipped))
+
+
+def enforce(offers: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Offers with the ids that the name index gives: blanks are filled, conflicts corrected, ids of unknown names cleared; `action` says which."""
+    held = check_names(offers, catalog)
+    action = F.when((F.col("action") == "unverified") & F.col("product_id").isNotNull(), "cleared").otherwise(F.col("action"))
+    return held.withColumn("action", action).withColumn("product_id", F.col("found_id")).drop("found_id", "name_key")
+
+
+def overlap_ids(names: DataFrame, catalog: DataFrame, least: float = 0.55) -> DataFrame:
+    """product_name, token, found_id: the id of the first token that only one product has; else that of the product with which a name shares the largest part of its tokens, if that is `least` or more (token null)."""
+    unique = unique_token_ids(names, catalog)
+    rest = names.select("product_name").distinct().join(unique, "product_name", "left_anti").withColumn("tokens", X.words(F.col("product_name"), 4))
+    shared = rest.select("product_name", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(postings(catalog), "token").groupBy("product_name", "product_id").agg((F.count("*") / F.first("n")).alias("part"))
+    best = shared.filter(F.col("part") >= least).groupBy("product_name").agg(F.min_by("product_id", F.struct(-F.col("part"), F.length("product_id"), "product_id")).alias("found_id"))
+    return unique.unionByName(best.select("product_name", F.lit(None).cast("string").alias("token"), "found_id"))

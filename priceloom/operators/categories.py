@@ -9,7 +9,7 @@ from priceloom.sources.tables import settle
 
 def by_rules(name: Column, rules: list[tuple[str, str]]) -> Column:
     """The category of the first rule (pattern, category) that a name fulfils; else its first word in capitals."""
-    first = F.upper(F.get(X.name_tokens(name), F.lit(0)))
+    first = F.upper(F.get(X.words(name), F.lit(0)))
     return F.coalesce(*[F.when(F.lower(name).rlike(pattern), category) for pattern, category in rules], first)
 
 
@@ -43,7 +43,7 @@ def predict(names: DataFrame, model: DataFrame, least_size: int = 2) -> DataFram
     The model is (category, token, tf, size, df). A category scores 0.72 of the sum of tf / size * (1 + ln(1 + (1 + N) / (1 + df)))
     over the shared tokens plus 0.28 of the share of the name's tokens; the lead over the second one adds confidence.
     """
-    tokens = names.select("product_name").distinct().withColumn("tokens", X.name_tokens(F.col("product_name")))
+    tokens = names.select("product_name").distinct().withColumn("tokens", X.words(F.col("product_name")))
     tokens = tokens.select("product_name", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     n_categories = model.select(F.count_distinct("category")).scalar()
     weighed = model.filter(F.col("size") >= least_size).select("category", "token", (F.col("tf") / F.col("size") * (1 + F.log1p((1 + n_categories) / (1 + F.col("df"))))).alias("weight"))

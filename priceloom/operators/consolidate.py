@@ -66,6 +66,14 @@ def repeated_row_count(offers: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"))
 
 
+def repeated_id_rows(offers: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """The rows of ids that stand for several names, less those confirmed by hand (product_id, name_key): with the number of names and the other names."""
+    rows = offers.filter("product_id IS NOT NULL").withColumn("name_key", X.name_key(F.col("product_name"))).join(confirmed, ["product_id", "name_key"], "left_anti")
+    names = rows.groupBy("product_id").agg(F.collect_set("name_key").alias("names"), F.count("*").alias("n_rows")).filter("size(names) > 1")
+    others = F.array_join(F.slice(F.array_sort(F.array_remove("names", F.col("name_key"))), 1, 5), "; ")
+    return rows.join(names, "product_id").select("product_id", "supplier", "supplier_code", "product_name", F.size("names").alias("n_names"), "n_rows", others.alias("others"))
+
+
 def drop_suppliers_of_repeated_ids(offers: DataFrame, suppliers: Column, by: Column) -> DataFrame:
     """Without the offers of the suppliers given whose id goes with two or more values of `by`."""
     many = offers.filter("product_id IS NOT NULL").groupBy("product_id").agg(F.countDistinct(by).alias("n")).filter("n > 1").select("product_id", F.lit(True).alias("many"))

@@ -21,3 +21,14 @@ def rollback(offers: DataFrame, changes: DataFrame) -> DataFrame:
 def latest(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The last row of each key, by `at`."""
     return events.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in events.columns if c not in keys]), at).alias("row")).select(*keys, "row.*")
+
+
+def fresh(events: DataFrame, keys: list[str], at: str, now, seconds: int) -> DataFrame:
+    """The last row of each key that is no older than `seconds` before now."""
+    return latest(events, keys, at).filter(F.col(at) >= F.lit(now) - F.make_dt_interval(secs=F.lit(seconds)))
+
+
+def cascade(offers: DataFrame, changes: DataFrame, cache: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cache (key, product_id) and bindings (name_key, bound_id) without the ids that the changes took away from every offer."""
+    gone = changes.select(F.col("old_id").alias("product_id")).distinct().join(offers.select("product_id").distinct(), "product_id", "left_anti")
+    return cache.join(gone, "product_id", "left_anti"), bindings.join(gone.withColumnRenamed("product_id", "bound_id"), "bound_id", "left_anti")

@@ -1,30 +1,51 @@
 """Candidates for names: token search, blocked joins, scores and tiers."""
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from priceloom.functions import text as X
+from priceloom.operators.matcher import match_names
 
 
 def search_all(items: DataFrame, words: list[str]) -> DataFrame:
     """Items in whose name every word starts some token."""
-    tokens = X.name_tokens(F.col("name"), 1)
+    tokens = X.words(F.col("name"), 1)
     for start in map(str.lower, words):
         items = items.filter(F.size(F.filter(tokens, lambda t: F.startswith(t, F.lit(start)))) > 0)  # noqa: B023
     return items
 
 
+def search_score(name: Column, words: list[str]) -> Column:
+    """1000 for the phrase; for each word 80 and its length (20 at most), or 60 and its length where only the compact name holds it; long names lose a little."""
+    low, compact = F.lower(name), X.compact_name(name)
+    score = F.when(low.contains(" ".join(words).lower()), 1000).otherwise(0)
+    for w in map(str.lower, words):
+        bare = "".join(c for c in w if c.isalnum())
+        score = score + F.when(low.contains(w), 80 + min(len(w), 20)).when(compact.contains(bare) if bare else F.lit(False), 60 + min(len(bare), 20)).otherwise(0)
+    return score - F.least(F.length(low), F.lit(250)) / 1000
+
+
 def search_ranked(items: DataFrame, words: list[str], most: int = 30) -> DataFrame:
-    """Items with some of the words: 1000 for the phrase, 80 a word that is a token, 60 for one within a token."""
-    name, tokens = F.lower("name"), X.name_tokens(F.col("name"), 1)
-    score = F.when(name.contains(" ".join(words).lower()), 1000).otherwise(0)
-    for w in words:
-        score = score + F.when(F.array_contains(tokens, w.lower()), 80).when(name.contains(w.lower()), 60).otherwise(0)
-    return items.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "name", "product_id").limit(most)
+    """The items whose names score best for the words, of those that hold some."""
+    return items.withColumn("score", F.round(search_score(F.col("name"), words), 3)).filter("score > 0").orderBy(F.desc("score"), "name", "product_id").limit(most)
+
+
+def search_any(items: DataFrame, words: list[str], most: int = 160) -> DataFrame:
+    """product_id, name, hits, rank: the items of which some token begins with a word (words of under three characters: is it), by BM25 with k1 = 1.2, b = 0.75.
+
+    Postings are joined with the few words; frequencies are sums over them, and no item is held against another.
+    """
+    asked = items.sparkSession.createDataFrame([(w.lower(),) for w in dict.fromkeys(words)], "word string")
+    tokens = items.select("product_id", "name", F.explode(F.regexp_extract_all(F.lower("name"), F.lit("([0-9a-zа-яё]+)"))).alias("token"))
+    fits = F.when(F.length("word") >= 3, F.col("token").startswith(F.col("word"))).otherwise(F.col("token") == F.col("word"))
+    tf = tokens.join(F.broadcast(asked), fits).groupBy("product_id", "name", "word").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    size = F.size(F.regexp_extract_all(F.lower("name"), F.lit("([0-9a-zа-яё]+)")))
+    total = items.agg(F.count("*").alias("total"), F.avg(size).alias("mean"))
+    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * size / F.col("mean")))
+    scored = tf.join(F.broadcast(df), "word").join(F.broadcast(total)).groupBy("product_id", "name").agg(F.count("*").alias("hits"), F.round(F.sum(idf * gain), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "product_id").limit(most)
 
 
 def token_candidates(names: DataFrame, items: DataFrame, shortest: int = 2, most_common: int | None = None) -> DataFrame:
@@ -34,9 +55,9 @@ def token_candidates(names: DataFrame, items: DataFrame, shortest: int = 2, most
     a token which at most most_common items have; a name without such a pair gets all that share any token with it.
     Overlap (shared tokens over all tokens of both) is taken over all tokens.
     """
-    left = names.select("product_name").distinct().withColumn("a", X.name_tokens(F.col("product_name"), shortest))
+    left = names.select("product_name").distinct().withColumn("a", X.words(F.col("product_name"), shortest))
     items = items.select("product_id", "name").distinct()
-    right = items.groupBy("name").agg(F.count("*").alias("n")).withColumn("b", X.name_tokens(F.col("name"), shortest))
+    right = items.groupBy("name").agg(F.count("*").alias("n")).withColumn("b", X.words(F.col("name"), shortest))
     words = left.select("product_name", F.explode("a").alias("token"))
     tokens = right.select("name", "n", F.explode("b").alias("token"))
     if most_common is None:
@@ -57,42 +78,27 @@ def top_candidates(pairs: DataFrame, score: Column, most: int = 5) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
 
 
-def tiers(candidates: DataFrame, score: str = "overlap") -> DataFrame:
-    """Per name the best score, its lead over the second, and exact, ambiguous, strong, possible or none."""
-    per_name = candidates.groupBy("product_name").agg(F.max(score).alias("top"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col(score))), F.lit(0.0)).alias("second"))
-    lead = F.round(F.col("top") - F.col("second"), 4)
-    tier = F.when((F.col("top") >= 1) & (lead > 0.015), "exact").when((F.col("top") >= 0.84) & (lead <= 0.015), "ambiguous").when((F.col("top") >= 0.97) & (lead >= 0.02), "strong").when(F.col("top") >= 0.18, "possible").otherwise("none")
-    return per_name.select("product_name", "top", lead.alias("lead"), tier.alias("tier"))
-
+#: Reasons that make a leading candidate a strong one.
+STRONG = ("apple_article", "motherboard_model", "numeric_model", "strict_article", "tgpc_code_exact")
 
-@F.pandas_udf(DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How much of both texts SequenceMatcher finds in common; the order of the arguments matters."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
+def tiers(candidates: DataFrame, score: str = "overlap") -> DataFrame:
+    """Per name the best score of its candidates that are not rejected, its lead over the second, and a tier.
 
-def match_names(pairs: DataFrame) -> DataFrame:
-    """Adds score, match and reason to pairs (product_name, name).
-
-    Articles decide where both names have some. Otherwise 0.58 of the token overlap (of the smaller set), 0.24 of the
-    likeness of the sorted tokens and 0.18 of that of the texts; a size in common adds 0.10, different sizes take 0.14.
+    exact: the best has exact set; ambiguous: 0.84 or more with a lead of 0.015 at most; strong: 0.97 or more for a STRONG
+    reason, alone or with a lead of 0.02; else possible; none without a candidate. The columns exact, reason and rejected may
+    be missing: then none is exact, strong or rejected.
     """
-    a, b = X.name_tokens(F.col("product_name")), X.name_tokens(F.col("name"))
-    overlap = F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    text = likeness(F.substring(X.name_key(F.col("product_name")), 1, 260), F.substring(X.name_key(F.col("name")), 1, 260))
-    ordered = likeness(F.substring(F.array_join(F.array_sort(a), " "), 1, 300), F.substring(F.array_join(F.array_sort(b), " "), 1, 300))
-    rows = pairs.withColumns({"_o": overlap, "_t": text, "_s": ordered})
-    article, other = X.article_tokens(F.col("product_name")), X.article_tokens(F.col("name"))
-    sizes, other_sizes = X.capacity_tokens(F.col("product_name")), X.capacity_tokens(F.col("name"))
-    both = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0)
-    size = F.when(both(sizes, other_sizes), F.when(F.arrays_overlap(sizes, other_sizes), 0.10).otherwise(-0.14)).otherwise(0.0)
-    blend = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.58 * F.col("_o") + 0.24 * F.col("_s") + 0.18 * F.col("_t") + size)), 3)
-    empty = (F.size(a) == 0) | (F.size(b) == 0)
-    decided = both(article, other)
-    score = F.when(empty, 0.0).when(decided & F.arrays_overlap(article, other), 1.0).when(decided, 0.16).otherwise(blend)
-    reason = F.when(empty, "no_name").when(decided & F.arrays_overlap(article, other), "article").when(decided, "article_conflict").otherwise("blend")
-    match = (score >= 0.64) | ((reason == "blend") & ((F.col("_o") >= 0.78) | (F.col("_t") >= 0.84)))
-    return rows.select(*pairs.columns, score.alias("score"), match.alias("match"), reason.alias("reason"))
+    given = lambda c, kind: F.col(c) if c in candidates.columns else F.lit(None).cast(kind)
+    rows = candidates.select("product_name", F.col(score).alias("top"), F.coalesce(given("exact", "boolean"), F.lit(False)).alias("exact"), given("reason", "string").alias("reason"), F.coalesce(given("rejected", "boolean"), F.lit(False)).alias("rejected"), "product_id")
+    order = Window.partitionBy("product_name").orderBy("rejected", F.desc("exact"), F.desc("top"), F.length("product_id"), "product_id")
+    rows = rows.withColumns({"k": F.row_number().over(order), "second": F.lead("top").over(order), "after": F.lead("rejected").over(order)}).filter("k = 1")
+    second = F.when(~F.col("after"), F.col("second"))
+    lead = F.round(F.greatest(F.lit(0.0), F.col("top") - F.coalesce(second, F.lit(0.0))), 3)
+    strong = (F.col("top") >= 0.97) & F.col("reason").isin(*STRONG) & (second.isNull() | (lead >= 0.02))
+    tier = F.when(F.col("rejected"), "none").when(F.col("exact"), "exact").when(second.isNotNull() & (F.col("top") >= 0.84) & (lead <= 0.015), "ambiguous").when(strong, "strong").otherwise("possible")
+    active = lambda x: F.when(F.col("rejected"), 0.0).otherwise(x)
+    return rows.select("product_name", active(F.col("top")).alias("top"), active(lead).alias("lead"), tier.alias("tier"))
 
 
 def validate(offers: DataFrame, catalog: DataFrame, least: float = 0.65) -> DataFrame:

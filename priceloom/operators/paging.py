@@ -48,7 +48,88 @@ def supplier_stats(offers: DataFrame) -> DataFrame:
 
 def local_category_model(items: DataFrame) -> DataFrame:
     """category, token, tf (names of the category with it), size (names of the category), df (categories with it)."""
-    tokens = items.select("category", F.explode(X.name_tokens(F.col("name"))).alias("token")).groupBy("category", "token").agg(F.count("*").alias("tf"))
+    tokens = items.select("category", F.explode(X.words(F.col("name"))).alias("token")).groupBy("category", "token").agg(F.count("*").alias("tf"))
     sizes = items.groupBy("category").agg(F.count("*").alias("size"))
     spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
     return tokens.join(sizes, "category").join(spread, "token").select("category", "token", "tf", "size", "df")
+
+
+#: Columns of a page in their order, and those of them that sort by number.
+PAGE = ("product_id", "product_name", "price", "supplier", "warranty", "days", "rrp", "no_discount", "row_idx", "category")
+NUMERIC = ("price", "warranty", "days", "rrp", "no_discount", "row_idx")
+NO_CATEGORY = "Без категории"
+
+
+def in_mode(rows: DataFrame, mode: str = "all", category: str = "", listed: DataFrame | None = None) -> DataFrame:
+    """The rows of a page's mode: all, no_id (of a category, if given), duplicate, export (listed: row_idx) or snapshot (listed: product_name)."""
+    blank = F.coalesce(X.strip(F.col("product_id")), F.lit("")) == ""
+    if mode == "no_id":
+        own = F.lower(F.when(F.coalesce(X.strip(F.col("category")), F.lit("")) == "", NO_CATEGORY).otherwise(X.strip(F.col("category"))))
+        return rows.filter(blank & (F.lit(not category.strip()) | (own == category.strip().lower())))
+    if mode == "duplicate":
+        many = rows.filter(~blank).groupBy("product_id").count().filter("count > 1").select("product_id")
+        return rows.join(many, "product_id", "left_semi").select(*rows.columns)
+    if mode in ("export", "snapshot"):
+        key = "row_idx" if mode == "export" else "product_name"
+        return rows.join(listed.select(key).distinct(), key, "left_semi").select(*rows.columns)
+    return rows
+
+
+def sort_columns(orders: list[tuple[str, bool]], place: str = "row_idx") -> list[Column]:
+    """Sort columns for (column, descending): blanks last upwards and first downwards, words regardless of case, ties by place."""
+    out = []
+    for name, descending in [o for o in orders if o[0] in PAGE] or [("product_name", False)]:
+        value = F.col(name) if name in NUMERIC else F.lower(X.strip(F.col(name)))
+        value = value if name in NUMERIC else F.when(value != "", value)
+        out.append(value.desc_nulls_first() if descending else value.asc_nulls_last())
+    return [*out, F.col(place)]
+
+
+TIERS = ("exact", "strong", "ambiguous", "possible")
+
+
+def tier_page(rows: DataFrame, facets: dict[str, str], words: str = "", start: int = 0, length: int = 50) -> DataFrame:
+    """The rows (tier, score, product_name and the facets' columns) that meet the facets and whose name holds the words: exact first, then by score and name; total counts them all."""
+    for column, value in facets.items():
+        rows = rows.filter(F.col(column) == value)
+    rows = rows.filter(F.lower("product_name").contains(words.strip().lower()))
+    total = rows.agg(F.count("*").alias("total"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")), F.lit(0)), F.lit(len(TIERS) + 1))
+    return page(rows, [place, F.desc("score"), F.col("product_name")], start, length).join(F.broadcast(total))
+
+
+def category_preview(rows: DataFrame, stats: DataFrame, categories: list[str], ids: str = "all", most: int = 10_000) -> DataFrame:
+    """Offers of the categories, with or without ids or all, with their market columns, by category and name, `most` at most."""
+    kept = rows.filter(F.col("category").isin(*categories))
+    kept = {"all": kept, "with_id": kept.filter("product_id IS NOT NULL"), "without_id": kept.filter("product_id IS NULL")}[ids]
+    return kept.join(stats, "product_id", "left").orderBy("category", F.lower("product_name"), "pos").limit(most)
+
+
+def override_items(rows: DataFrame, overrides: DataFrame, words: str, most: int = 50) -> DataFrame:
+    """supplier, product_name, category, manual: distinct items whose name holds the words; overrides: name_key, chosen. 1 to 200 of them."""
+    items = rows.filter(F.lower("product_name").contains(words.strip().lower())).select("supplier", "product_name", "category").distinct()
+    items = items.withColumn("name_key", X.name_key(F.col("product_name"))).join(overrides.select("name_key", "chosen"), "name_key", "left")
+    shown = items.select("supplier", "product_name", F.coalesce("chosen", "category").alias("category"), F.col("chosen").isNotNull().alias("manual"))
+    return shown.orderBy("product_name", "supplier", "category").limit(min(200, max(1, most)))
+
+
+def price_tones(rows: DataFrame) -> DataFrame:
+    """Rows whose id several rows have, with low or high where they have its least or largest price (low where they are one)."""
+    known = rows.filter("product_id IS NOT NULL")
+    edges = known.groupBy("product_id").agg(F.count("*").alias("n"), F.min("price").alias("least"), F.max("price").alias("most")).filter("n > 1")
+    tone = F.when(F.col("price") <= F.col("least"), "low").when(F.col("price") >= F.col("most"), "high").otherwise("middle")
+    return known.join(edges, "product_id").withColumn("tone", tone)
+
+
+def distinct_labels(*sources: DataFrame) -> DataFrame:
+    """label: the distinct values of one-column sources that are not blank, in order."""
+    rows = sources[0].toDF("label")
+    for source in sources[1:]:
+        rows = rows.union(source.toDF("label"))
+    return rows.select(X.strip(F.col("label")).alias("label")).filter("label <> ''").distinct().orderBy(F.lower("label"), "label")
+
+
+def option_kind(label: Column, mode: Column, without_id: Column) -> Column:
+    """Where a category's option goes: sorting, without_id or market."""
+    sorting = label.startswith("Требует сортировки · родитель: ") | (mode == "sorting")
+    return F.when(F.coalesce(sorting, F.lit(False)), "sorting").when(F.coalesce((mode == "without_id") | (without_id > 0), F.lit(False)), "without_id").otherwise("market")

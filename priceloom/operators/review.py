@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
-from priceloom.operators import matching
+from priceloom.operators import matcher
 
 #: Reasons of match_names under which a candidate is out of the question.
-HARD_REASONS = ("article_conflict", "no_name")
+HARD_REASONS = (
+    "no_name", "strict_article_conflict", "model_variant_conflict", "numeric_article_conflict", "tgpc_code_mismatch", "tgpc_gpu_mismatch",
+    "motherboard_brand_mismatch", "motherboard_model_mismatch", "apple_article_conflict", "article_conflict", "category_mismatch",
+)
 
 
 def open_entries(queue: DataFrame, offers: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def replacements(pairs: DataFrame, most: int = 80) -> DataFrame:
     score; else the score given stays. Of equal scores the smaller id comes first.
     """
     given = pairs.select("product_name", "product_id", "name", F.col("score").alias("given"))
-    held = matching.match_names(given).filter(~F.col("reason").isin(*HARD_REASONS))
+    held = matcher.match_names(given).filter(~F.col("reason").isin(*HARD_REASONS))
     score = F.round(F.when(F.col("match"), 0.85 * F.col("score") + 0.15 * F.col("given")).otherwise(F.col("given")), 3)
     one = held.withColumn("score", score).groupBy("product_name", "product_id").agg(F.max_by(F.struct("name", "score", "reason"), F.struct("score", "name")).alias("best"))
     rank = F.row_number().over(Window.partitionBy("product_name").orderBy(F.desc("best.score"), "product_id"))

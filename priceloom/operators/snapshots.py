@@ -29,12 +29,30 @@ def latest_sessions(sessions: DataFrame, most: int = 5) -> DataFrame:
 
 
 def trend(prices: DataFrame, group: str, at: str, value: str) -> DataFrame:
-    """Each value with the one before it in its group, and up, down or same."""
+    """Each value with the one before it in its group, and up, down or same (within 0.0001)."""
     rows = prices.withColumn("before", F.lag(value).over(Window.partitionBy(group).orderBy(*at.split(","))))
-    return rows.withColumn("trend", F.when(F.col(value) > F.col("before"), "up").when(F.col(value) < F.col("before"), "down").when(F.col("before").isNotNull(), "same"))
+    return rows.withColumn("trend", F.when(F.abs(F.col(value) - F.col("before")) < 0.0001, "same").when(F.col(value) > F.col("before"), "up").when(F.col(value) < F.col("before"), "down"))
 
 
 def section_breaks(rows: DataFrame, group: str, order: list[str], category: str) -> DataFrame:
     """Rows at which a list's category changes; the first of each list is one."""
     before = F.lag(category).over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col(category))).drop("before")
+
+
+def history(entries: DataFrame, most: int = 300) -> DataFrame:
+    """The `most` entries that finished last, newest first."""
+    return entries.orderBy(F.desc("finished_at"), "entry").limit(most)
+
+
+def diff_summary(old: DataFrame, new: DataFrame, most: int = 10) -> DataFrame:
+    """Per supplier how many items are new, new without an id, removed and changed, with up to `most` keys of each in order."""
+    rows = diff(old, new)
+    rank = F.row_number().over(Window.partitionBy("supplier", "status").orderBy("key"))
+    ranked = rows.withColumn("rank", rank)
+    of = lambda s: F.count_if(F.col("status") == s)
+    first = lambda s: F.array_join(F.array_sort(F.collect_list(F.when((F.col("status") == s) & (F.col("rank") <= most), F.col("key")))), "; ")
+    return ranked.groupBy("supplier").agg(
+        of("new").alias("n_new"), F.count_if((F.col("status") == "new") & F.col("key").startswith("name:")).alias("n_new_without_id"), of("removed").alias("n_removed"), of("changed").alias("n_changed"),
+        first("new").alias("new_keys"), first("removed").alias("removed_keys"),
+    )

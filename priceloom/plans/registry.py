@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priceloom.functions import models as D
 from priceloom.functions import pricing
+from priceloom.functions import payloads as Y
 from priceloom.functions import text as X
 from priceloom.operators import catalog as C
 from priceloom.operators import categories as G
@@ -13,11 +15,12 @@ from priceloom.operators import consolidate as K
 from priceloom.operators import export as E
 from priceloom.operators import journal as J
 from priceloom.operators import market as M
+from priceloom.operators import matcher
 from priceloom.operators import matching as N
 from priceloom.operators import paging as P
 from priceloom.operators import review as R
 from priceloom.operators import snapshots as S
-from priceloom.sources.tables import CATALOG, OFFERS, catalog, offers, table
+from priceloom.sources.tables import CATALOG, OFFERS, catalog, market_positions, offers, table
 from priceloom.streaming import events as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,9 +83,21 @@ def unmatched_offers(rows):
     return rows.filter("product_id IS NULL").select(*CORE)
 
 
-@query(f"SELECT supplier AS product_id, count(*) AS n_offers, count(DISTINCT {_KEY}) AS n_names, min(price) AS min_price, max(price) AS max_price FROM offers GROUP BY supplier HAVING count(*) > 1 AND count(DISTINCT {_KEY}) > 1")
+#: Ids that stand for several products: the names of the tables have one id each.
+_SHARED, _SHARED_SQL = "cast(pos.l_partkey % 13 AS string)", "(split_part(supplier_code, '-', 1)::BIGINT % 13)::VARCHAR"
+
+
+@query(f"SELECT {_SHARED_SQL} AS product_id, count(*) AS n_offers, count(DISTINCT {_KEY}) AS n_names, min(price) AS min_price, max(price) AS max_price FROM offers GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT {_KEY}) > 1")
 def dup_id_issues(rows):
-    return K.repeated_ids(rows.withColumn("product_id", F.col("supplier")))
+    return K.repeated_ids(rows.withColumn("product_id", F.expr(_SHARED)))
+
+
+@query(f"""SELECT supplier, supplier_code, {_KEY} AS name, id AS product_id, n_names, n_rows FROM (SELECT *, {_SHARED_SQL} AS id FROM offers) JOIN (SELECT {_SHARED_SQL} AS id, count(DISTINCT {_KEY}) AS n_names, count(*) AS n_rows FROM offers
+  WHERE NOT contains(lower(product_name), 'widget') GROUP BY 1 HAVING count(DISTINCT {_KEY}) > 1) USING (id) WHERE NOT contains(lower(product_name), 'widget')""")
+def dup_id_rows(rows):
+    rows = rows.withColumn("product_id", F.expr(_SHARED))
+    confirmed = rows.filter(F.lower("product_name").contains("widget")).select("product_id", X.name_key(F.col("product_name")).alias("name_key")).distinct()
+    return K.repeated_id_rows(rows, confirmed).select("supplier", "supplier_code", X.name_key(F.col("product_name")).alias("name"), "product_id", "n_names", "n_rows")
 
 
 @query("SELECT coalesce(sum(n), 0)::BIGINT AS n_rows FROM (SELECT count(*) AS n FROM offers WHERE product_id IS NOT NULL GROUP BY product_id) WHERE n > 1")
@@ -96,10 +111,11 @@ def clear_dup_ids_within_supplier(rows):
     return K.clear_repeated_ids(rows, _listed()).select("supplier", "supplier_code", "product_id", "price")
 
 
-@query(f"""SELECT {_CORE} FROM offers LEFT JOIN (SELECT product_id AS many FROM offers WHERE product_id IS NOT NULL GROUP BY product_id HAVING count(DISTINCT supplier) > 1) ON product_id = many
-  WHERE NOT (supplier < 'Supplier#000000005' AND many IS NOT NULL)""")
+@query(f"""SELECT supplier, supplier_code, product_name, price FROM (SELECT *, (split_part(supplier_code, '-', 1)::BIGINT % 997)::VARCHAR AS id FROM offers) LEFT JOIN (SELECT (split_part(supplier_code, '-', 1)::BIGINT % 997)::VARCHAR AS id, count(DISTINCT {_KEY}) AS many FROM offers GROUP BY 1) USING (id)
+  WHERE NOT (supplier < 'Supplier#000000005' AND many > 1)""")
 def drop_dup_suppliers(rows):
-    return K.drop_suppliers_of_repeated_ids(rows, _listed(), F.col("supplier")).select(*CORE)
+    rows = rows.withColumn("product_id", (F.col("pos.l_partkey") % 997).cast("string"))
+    return K.drop_suppliers_of_repeated_ids(rows, _listed(), X.name_key(F.col("product_name"))).select("supplier", "supplier_code", "product_name", "price")
 
 
 # Export
@@ -153,7 +169,7 @@ def pc_only_filter(rows):
 # Market and prices
 
 @query("""SELECT product_id, round(any_value(low), 2) AS min_price, floor((2 * any_value(cents) + count(*)) / (2.0::DOUBLE * count(*))) / 100 AS avg_price, round(any_value(high), 2) AS max_price, count(*) AS offers,
-  count(*) FILTER (price <= low * 1.02) AS min_competitors, count(*) FILTER (abs(price - mean) <= mean * 0.02) AS avg_competitors
+  count(*) FILTER (price <= low * 1.02) AS min_competitors, count(*) FILTER (abs(price - mean) <= greatest(1, mean * 0.05)) AS avg_competitors
   FROM (SELECT product_id, price, min(price) OVER w AS low, sum(round(price * 100)) OVER w AS cents, sum(round(price * 100)) OVER w / count(*) OVER w / 100 AS mean, max(price) OVER w AS high FROM offers WHERE product_id IS NOT NULL WINDOW w AS (PARTITION BY product_id)) GROUP BY product_id""")
 def market_stats(rows):
     return M.market_stats(rows.filter("product_id IS NOT NULL").select("product_id", "price"))
@@ -307,7 +323,7 @@ def snapshot_keep_latest(spark, sf_dir):
     return S.latest_sessions(_sessions(spark, sf_dir)).select("supplier", "session", "rank")
 
 
-@query("""SELECT event_id, value, before, CASE WHEN value > before THEN 'up' WHEN value < before THEN 'down' WHEN before IS NOT NULL THEN 'same' END AS trend
+@query("""SELECT event_id, value, before, CASE WHEN abs(value - before) < 0.0001 THEN 'same' WHEN value > before THEN 'up' WHEN value < before THEN 'down' END AS trend
   FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)""")
 def price_trend(spark, sf_dir):
     return S.trend(table(spark, sf_dir, "events"), "user_id", "ts,event_id", "value").select("event_id", "value", "before", "trend")
@@ -320,14 +336,14 @@ def section_breaks(spark, sf_dir):
 
 # Texts
 
-@query(f"""SELECT DISTINCT product_name, {_KEY} AS name_key, regexp_replace(lower(product_name), '[^0-9a-zа-яё]+', '', 'g') AS compact, array_to_string(list_sort({_TOKENS.format('product_name', 2)}), ' ') AS tokens, lower(replace(supplier, ' ', '_')) AS token FROM offers""")
+@query(f"""SELECT DISTINCT product_name, {_KEY} AS name_key, regexp_replace(lower(product_name), '[^0-9a-zа-яё]+', '', 'g') AS compact, array_to_string(list_sort(list_filter({_TOKENS.format('product_name', 3)}, lambda t: t NOT IN ('black', 'white', 'blue', 'red', 'green', 'grey', 'gray', 'silver', 'gold', 'orange', 'pink', 'purple', 'box', 'oem', 'ret', 'rtl'))), ' ') AS tokens, lower(replace(supplier, ' ', '_')) AS token FROM offers""")
 def name_forms(rows):
     name = F.col("product_name")
-    return rows.select(name, X.name_key(name).alias("name_key"), X.compact_name(name).alias("compact"), F.array_join(F.array_sort(X.name_tokens(name)), " ").alias("tokens"), X.supplier_token(F.col("supplier")).alias("token")).distinct()
+    return rows.select(name, X.name_key(name).alias("name_key"), X.compact_name(name).alias("compact"), F.array_join(F.array_sort(D.name_tokens(name)), " ").alias("tokens"), X.supplier_token(F.col("supplier")).alias("token")).distinct()
 
 
 @query(""", t AS (SELECT event_id, event_type || ' SSD ' || (event_id % 7) || '.0 TB / ' || event_type || ' ' || event_id || 'gb' AS s FROM events)
-SELECT event_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(s), '[0-9]+(?:\\.[0-9]+)? ?(?:tb|gb|mb)'), lambda t: regexp_replace(replace(t, ' ', ''), '\\.0+([a-z])', '\\1')))), ' ') AS sizes FROM t""")
+SELECT event_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(s), '[0-9]+(?:\\.[0-9]+)? ?(?:tb|gb)'), lambda t: regexp_replace(replace(t, ' ', ''), '\\.0+([a-z])', '\\1')))), ' ') AS sizes FROM t""")
 def capacity_tokens(spark, sf_dir):
     name = F.concat("event_type", F.lit(" SSD "), (F.col("event_id") % 7).cast("string"), F.lit(".0 TB / "), "event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit("gb"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(X.capacity_tokens(name), " ").alias("sizes"))
@@ -407,8 +423,8 @@ def fts_and(spark, sf_dir):
     return N.search_all(catalog(spark, sf_dir), ["wid", "Sm"]).select("product_id", "name")
 
 
-@query("""SELECT product_id, name, (CASE WHEN contains(lower(name), 'small widget') THEN 1000 ELSE 0 END + CASE WHEN list_contains(string_split(lower(name), ' '), 'small') THEN 80 WHEN contains(lower(name), 'small') THEN 60 ELSE 0 END
-  + CASE WHEN list_contains(string_split(lower(name), ' '), 'widget') THEN 80 WHEN contains(lower(name), 'widget') THEN 60 ELSE 0 END)::INT AS score FROM catalog WHERE score > 0 ORDER BY score DESC, name, product_id LIMIT 30""")
+@query("""SELECT product_id, name, round(CASE WHEN contains(lower(name), 'small widget') THEN 1000 ELSE 0 END + CASE WHEN contains(lower(name), 'small') THEN 85 ELSE 0 END + CASE WHEN contains(lower(name), 'widget') THEN 86 ELSE 0 END
+  - least(length(name), 250) / 1000.0::DOUBLE, 3) AS score FROM catalog WHERE score > 0 ORDER BY score DESC, name, product_id LIMIT 30""")
 def search_ranked(spark, sf_dir):
     return N.search_ranked(catalog(spark, sf_dir), ["small", "widget"]).select("product_id", "name", "score")
 
@@ -426,6 +442,11 @@ def _pairs(spark, sf_dir):
     return N.token_candidates(offers(spark, sf_dir).select(F.col("supplier").alias("product_name")), items, most_common=5)
 
 
+def _tiers(pairs):
+    exact = F.lower("name") == F.lower("product_name")
+    return N.tiers(N.top_candidates(pairs, F.col("overlap")).withColumn("exact", exact & (F.col("rank") == 1)))
+
+
 @query(f"{_PAIRS} SELECT * FROM pairs")
 def token_block_candidates(spark, sf_dir):
     return _pairs(spark, sf_dir)
@@ -436,11 +457,11 @@ def top_n_candidates(spark, sf_dir):
     return N.top_candidates(_pairs(spark, sf_dir), F.col("overlap")).select("product_name", "product_id", "overlap", "rank")
 
 
-@query(f"""{_PAIRS}, g AS (SELECT product_name, max(overlap) AS top, coalesce(max(overlap) FILTER (rank = 2), 0.0) AS second FROM top WHERE rank <= 5 GROUP BY 1),
-h AS (SELECT product_name, top, round(top - second, 4) AS lead FROM g)
-SELECT *, CASE WHEN top >= 1 AND lead > 0.015 THEN 'exact' WHEN top >= 0.84 AND lead <= 0.015 THEN 'ambiguous' WHEN top >= 0.97 AND lead >= 0.02 THEN 'strong' WHEN top >= 0.18 THEN 'possible' ELSE 'none' END AS tier FROM h""")
+@query(f"""{_PAIRS}, g AS (SELECT product_name, max(overlap) AS top, max(overlap) FILTER (rank = 2) AS second, bool_or(rank = 1 AND lower(name) = lower(product_name)) AS exact FROM top WHERE rank <= 5 GROUP BY 1),
+h AS (SELECT product_name, top, second, exact, round(greatest(0, top - coalesce(second, 0)), 3) AS lead FROM g)
+SELECT product_name, top, lead, CASE WHEN exact THEN 'exact' WHEN second IS NOT NULL AND top >= 0.84 AND lead <= 0.015 THEN 'ambiguous' ELSE 'possible' END AS tier FROM h""")
 def candidate_tiers(spark, sf_dir):
-    return N.tiers(N.top_candidates(_pairs(spark, sf_dir), F.col("overlap")))
+    return _tiers(_pairs(spark, sf_dir))
 
 
 _WHOLE = f""", a AS (SELECT DISTINCT product_name, {_TOKENS.format('product_name', 2)} AS a FROM offers), b AS (SELECT product_id, name, {_TOKENS.format('name', 2)} AS b FROM catalog),
@@ -462,11 +483,11 @@ def catalog_top_candidates(spark, sf_dir):
     return N.top_candidates(_catalog_pairs(spark, sf_dir), F.col("overlap")).select("product_name", "product_id", "overlap", "rank")
 
 
-@query(f"""{_WHOLE}, g AS (SELECT product_name, max(overlap) AS top, coalesce(max(overlap) FILTER (rank = 2), 0.0) AS second FROM top WHERE rank <= 5 GROUP BY 1),
-h AS (SELECT product_name, top, round(top - second, 4) AS lead FROM g)
-SELECT *, CASE WHEN top >= 1 AND lead > 0.015 THEN 'exact' WHEN top >= 0.84 AND lead <= 0.015 THEN 'ambiguous' WHEN top >= 0.97 AND lead >= 0.02 THEN 'strong' WHEN top >= 0.18 THEN 'possible' ELSE 'none' END AS tier FROM h""")
+@query(f"""{_WHOLE}, g AS (SELECT product_name, max(overlap) AS top, max(overlap) FILTER (rank = 2) AS second, bool_or(rank = 1 AND lower(name) = lower(product_name)) AS exact FROM top WHERE rank <= 5 GROUP BY 1),
+h AS (SELECT product_name, top, second, exact, round(greatest(0, top - coalesce(second, 0)), 3) AS lead FROM g)
+SELECT product_name, top, lead, CASE WHEN exact THEN 'exact' WHEN second IS NOT NULL AND top >= 0.84 AND lead <= 0.015 THEN 'ambiguous' ELSE 'possible' END AS tier FROM h""")
 def catalog_candidate_tiers(spark, sf_dir):
-    return N.tiers(N.top_candidates(_catalog_pairs(spark, sf_dir), F.col("overlap")))
+    return _tiers(_catalog_pairs(spark, sf_dir))
 
 
 @query()
@@ -477,7 +498,7 @@ def validate_ids(spark, sf_dir):
 @query()
 def match_scores(spark, sf_dir):
     pairs = _catalog_pairs(spark, sf_dir).select("product_name", "product_id", "name")
-    scored = N.match_names(pairs.select("product_name", "name").distinct())
+    scored = matcher.match_names(pairs.select("product_name", "name").distinct())
     return pairs.join(scored, ["product_name", "name"]).select(*pairs.columns, "score", "match", "reason")
 
 
@@ -558,11 +579,13 @@ def bulk_clear(rows):
     return J.clear_ids(rows, E.contains_any(F.col("product_name"), ("bolt",)))[0].select("supplier", "supplier_code", "product_id")
 
 
-@query("SELECT supplier, supplier_code, product_id FROM offers")
+@query("SELECT supplier, supplier_code, product_name, CASE WHEN contains(lower(product_name), 'bolt') AND supplier >= 'Supplier#000000003' THEN NULL ELSE product_id END AS product_id FROM offers")
 def rollback_last_change(rows):
+    """Ids are cleared, and the changes of the first suppliers undone."""
     cleared, changes = J.clear_ids(rows, E.contains_any(F.col("product_name"), ("bolt",)))
     # Rows that are equal in every column of pos are one place.
-    return J.rollback(cleared, changes.distinct()).select("supplier", "supplier_code", "product_id")
+    batch = changes.distinct().filter(F.col("pos.l_suppkey") < 3)
+    return J.rollback(cleared, batch).select("supplier", "supplier_code", "product_name", "product_id")
 
 
 @query("SELECT user_id, event_type, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
@@ -573,10 +596,24 @@ def ttl_latest(spark, sf_dir):
 
 # Events
 
-@query("SELECT event_type, (props->>'k')::BIGINT % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
-def offers_from_json(spark, sf_dir):
-    parsed = F.from_json("props", "k bigint")["k"]
-    return table(spark, sf_dir, "events").groupBy("event_type", (parsed % 10).alias("k")).agg(F.count("*").alias("n"))
+def _payloads(rows):
+    """JSON as a market gives it: per product its positions by kind and the names of its shops."""
+    price = F.struct(F.round("price", 2).cast("decimal(18,2)").cast("string").alias("amount"))
+    rows = rows.filter("product_id IS NOT NULL").withColumn("entry", F.struct(F.col("pos.l_suppkey").cast("string").alias("shop_id"), price.alias("position_price")))
+    grouped = rows.groupBy("product_id").agg(F.collect_list("entry").alias("main"), F.map_from_entries(F.collect_set(F.struct("entry.shop_id", F.struct(F.col("supplier").alias("title"))))).alias("shops"))
+    return grouped.select("product_id", F.to_json(F.struct(F.create_map(F.lit("main"), F.col("main")).alias("positions"), "shops")).alias("payload"))
+
+
+@query("SELECT DISTINCT product_id, supplier AS seller, round(price, 2) AS price FROM offers WHERE product_id IS NOT NULL AND price > 0")
+def offers_from_json(rows):
+    return market_positions(_payloads(rows))
+
+
+@query("SELECT product_id, count(*) AS n, round(min(price), 2) AS low, round(max(price), 2) AS high FROM offers WHERE product_id IS NOT NULL GROUP BY product_id")
+def nested_prices(rows):
+    """All prices of a payload, whatever their depth."""
+    prices = _payloads(rows).select("product_id", F.explode(Y.nested_prices(F.col("payload"))).alias("price"))
+    return prices.groupBy("product_id").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, max(value) AS high FROM events GROUP BY ALL")

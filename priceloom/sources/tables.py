@@ -2,9 +2,8 @@
 
 import tempfile
 import uuid
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
@@ -105,7 +104,8 @@ HEADER_ROWS = 20
 
 
 def read_price_file(spark: SparkSession, path: str, supplier: str, sep: str = ",") -> DataFrame:
-    """A CSV price list with any preamble: the first row among HEADER_ROWS that names a product and a price is the header.
+    """A CSV price list with any preamble: the first row among HEADER_ROWS that names a product and a price is the header. One
+    file only: the lines of several have no common order.
 
     Rows without a name or a positive price go; the first row of each supplier code wins.
     """
@@ -136,10 +136,6 @@ def read_price_file(spark: SparkSession, path: str, supplier: str, sep: str = ",
     return coded.select("row.*", "supplier_code").unionByName(rows.filter("supplier_code IS NULL OR supplier_code = ''"))
 
 
-def union_files(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 # The places of a snapshot row's cells.
 SNAPSHOT = ("product_id", "product_name", "price", "supplier", "warranty", "days", "rrp", "no_discount", "row_idx", "category")
 
@@ -169,11 +165,3 @@ def market_positions(payloads: DataFrame) -> DataFrame:
     rows = parsed.select("product_id", "shops", F.explode("rows").alias("r"))
     price = F.coalesce(X.money(F.col("r.position_price.converted.BYN.amount")), X.money(F.col("r.position_price.amount")))
     return rows.select("product_id", F.element_at("shops", F.col("r.shop_id"))["title"].alias("seller"), price.alias("price")).filter("price > 0").distinct()
-
-
-def detect_supplier(file_name: Column, rules: list[tuple[str, str]]) -> Column:
-    """The supplier of the first rule (part of the name, supplier) that the file name fulfils."""
-    found = F.lit(None).cast("string")
-    for part, supplier in reversed(rules):
-        found = F.when(F.lower(file_name).contains(part.lower()), supplier).otherwise(found)
-    return found

@@ -1,6 +1,6 @@
 import pytest
 
-from priceloom.plans import registry
+from priceloom.plans import more, registry  # noqa: F401
 from tests.conftest import SF
 
 

@@ -3,12 +3,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from priceloom.functions import models as D
+from priceloom.functions import payloads as Y
 from priceloom.functions import pricing
 from priceloom.functions import text as X
 from priceloom.operators import categories, review
-from priceloom.operators import catalog, consolidate, journal, market, matching
-from priceloom.plans import registry
-from priceloom.sources import tables
+from priceloom.operators import catalog, consolidate, journal, market, matcher, matching
+from priceloom.plans import more, registry  # noqa: F401
+from priceloom.sources import suppliers, tables
 from priceloom.streaming import events
 
 
@@ -21,7 +23,7 @@ def test_ids_and_names(spark):
     assert values(spark, X.normalize_id, "123.0", " 7 ", "nan", "None", "", None) == ["123", "7", None, None, None, None]
     assert values(spark, X.name_key, " [new]  Дрель  X ", "A  b") == ["дрель x", "a b"]
     assert values(spark, X.capacity_tokens, "SSD 1TB / HDD 500GB / eMMC 1.0GB") == [["1gb", "1tb", "500gb"]]
-    assert values(spark, X.name_tokens, "Клавиатура Logitech K380 White") == [["клавиатура", "logitech", "k380", "white"]]
+    assert values(spark, D.name_tokens, "Клавиатура Logitech K380 White") == [["клавиатура", "logitech", "k380"]]
     assert values(spark, X.delivery_days, "5 days", "soon", None) == ["5", "2", "2"]
 
 
@@ -70,17 +72,81 @@ def test_rollback_undoes_only_what_still_holds(spark):
     assert [r.product_id for r in journal.rollback(cleared, changes).orderBy("pos").collect()] == ["7", "8"]
 
 
-def test_key_closure(spark):
-    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "d")], "item int, key string")
-    start = spark.createDataFrame([("a",)], "key string")
-    assert sorted(r.key for r in catalog.key_closure(rows, start, lambda d: d.checkpoint()).collect()) == ["a", "b", "c"] if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else True
+VERDICTS = [
+    ("", "x", 0.0, False, "no_name"), (None, "x", 0.0, False, "no_name"),
+    ("Моноблок MSI 9S6-AF8221-1234", "MSI Pro 9S6-AF8221-1234", 1.0, True, "strict_article"), ("MSI 9S6-AF8221-1234", "MSI 9S6-AF8221-9999", 0.16, False, "strict_article_conflict"),
+    ("Кулер DeepCool AK400", "DeepCool AK620", 0.14, False, "model_variant_conflict"), ("Ручка 111-222333", "Ручка 111-222444", 0.12, False, "numeric_article_conflict"),
+    ("ПК 12345 A-X RTX 4060", "Компьютер 12346 B-X RTX 4060", 0.04, False, "tgpc_code_mismatch"), ("ПК 12345 A-X RTX 4060", "Компьютер 12345 B-X RTX 4070", 0.35, False, "tgpc_gpu_mismatch"), ("ПК 12345 A-X", "Компьютер 12345 B-X RTX 4070", 1.0, True, "tgpc_code_exact"),
+    ("MB ASUS PRIME B650M-A Socket AM5", "Материнская плата ASUS Prime B650M-A", 0.996, True, "motherboard_model"), ("MB MSI B650M-A", "Материнская плата ASUS B650M-A", 0.04, False, "motherboard_brand_mismatch"),
+    ("Вентилятор Crystal 120 White", "Fan Crystal 120 white", 0.995, True, "fan_series"), ("Вентилятор Crystal 120 x3", "Fan Crystal 120", 0.78, True, "fan_series"),
+    ("SSD Kingston 1TB (SNV3S/1000G)", "Накопитель Kingston SNV3S/1000G", 1.0, True, "article"), ("Apple MacBook Air MQKP3", "Apple MacBook MQKW3", 0.18, False, "apple_article_conflict"),
+    ("Клавиатура Logitech K380 White", "Клавиатура Logitech K380 Black", 0.88, True, "model_token"), ("Palit RTX 4070", "Palit RTX 4060", 0.18, False, "article_conflict"),
+    ("Мышь Genius", "Клавиатура Genius", 0.02, False, "category_mismatch"), ("Red Bolt", "red bolt", 1.0, True, "tokens"),
+]
 
 
-def test_articles_decide(spark):
-    pairs = spark.createDataFrame([("SSD AB12345678", "ab12345678 disk"), ("SSD AB12345678", "SSD XY98765432"), ("ssd alpha 1tb", "SSD Alpha 1TB"), ("", "x")], "product_name string, name string")
-    got = [(r.score, r.match, r.reason) for r in matching.match_names(pairs).collect()]
-    assert got[0] == (1.0, True, "article") and got[1] == (0.16, False, "article_conflict")
-    assert got[2] == (1.0, True, "blend") and got[3] == (0.0, False, "no_name")
+def test_verdicts_on_names(spark):
+    pairs = spark.createDataFrame([(a, b, "kept") for a, b, *_ in VERDICTS], "product_name string, name string, extra string")
+    got = {(r.product_name, r.name): (r.score, r.match, r.reason) for r in matcher.match_names(pairs).collect() if r.extra == "kept"}
+    assert got == {(a, b): tuple(v) for a, b, *v in VERDICTS}
+
+
+def test_what_names_say(spark):
+    assert values(spark, D.brand, "Игровая мышь Logitech G102", "Кулер для процессора DeepCool AK400", "123") == ["logitech", "deepcool", None]
+    assert values(spark, D.kind, "Кулер для процессора X", "Psu 700W", "Нечто") == ["кулер", "бп", None]
+    assert values(spark, X.capacity_tokens, "Kit 2x16GB DDR5", "1,5TB", "none") == [["32gb"], ["1.5tb"], []]
+    assert values(spark, D.name_tokens, "БП 750W Gold для ПК") == [["750w", "750"]]
+    assert values(spark, D.fan_pack, "Набор вентиляторов 3 в 1 fan", "Fan 120x3", "SSD x3") == [0, 3, 0]
+    assert values(spark, D.match_text, "Мышь (Black/White) M1 (M-100)") == ["мышь m1 m 100"]
+
+
+def test_admissible(spark):
+    pairs = [("Мышь Genius", "Клавиатура Genius"), ("Мышь Genius X", "Мышь Logitech X"), ("Мышь Genius DX-110", "Genius DX-110 мышь"), ("", "a"), ("Red Bolt", "red bolt")]
+    got = {(r.product_name, r.name): (r.allowed, r.why) for r in matcher.admissible(spark.createDataFrame(pairs, "product_name string, name string")).collect()}
+    assert [got[p] for p in pairs] == [(False, "category"), (False, "brand"), (True, "strong_identity"), (False, "empty"), (True, "ok")]
+
+
+def test_tiers(spark):
+    rows = [("a", "1", 1.0, True, "exact_name", False), ("b", "1", 0.9, False, "x", False), ("b", "2", 0.89, False, "x", False), ("c", "1", 0.98, False, "apple_article", False), ("d", "1", 0.98, False, "tokens", False), ("e", "1", 0.9, False, "x", True), ("f", "1", 1.0, True, "exact_name", True), ("f", "2", 0.3, False, "x", False)]
+    found = matching.tiers(spark.createDataFrame(rows, "product_name string, product_id string, score double, exact boolean, reason string, rejected boolean"), "score")
+    assert {r.product_name: (r.tier, r.top, r.lead) for r in found.collect()} == {"a": ("exact", 1.0, 1.0), "b": ("ambiguous", 0.9, 0.01), "c": ("strong", 0.98, 0.98), "d": ("possible", 0.98, 0.98), "e": ("none", 0.0, 0.0), "f": ("possible", 0.3, 0.3)}
+
+
+def test_suppliers_by_position_and_without_header(spark, tmp_path):
+    (tmp_path / "TradexOld.csv").write_text("x\n")
+    line = lambda code, name, price, status, warranty, oid: f"{code},{name},{price},,5,,{status},,,art,{warranty},,,cat,{oid}\n"
+    (tmp_path / "TradexPrice.csv").write_text("head\n" + line("7.0", "SSD", "10", "В наличии", "12", "99.0") + line("7", "again", "5", "В наличии", "1", "") + line("8", "HDD", "x", "В наличии", "1", "") + line("9", "RAM", "3", "нет", "1", ""))
+    path = suppliers.newest_file(spark, str(tmp_path), suppliers.LAYOUTS["Tradex"].files)
+    assert path.endswith("TradexPrice.csv") and suppliers.newest_file(spark, str(tmp_path), "none*") is None
+    rows = suppliers.positioned(suppliers.read_cells(spark, path), suppliers.LAYOUTS["Tradex"], "Tradex").collect()
+    assert [(r.supplier, r.supplier_code, r.product_name, r.price, r.warranty, r.product_id) for r in rows] == [("Tradex", "7", "SSD", 10.0, 12, "99")]
+    (tmp_path / "plain.csv").write_text("".join(f"{k},K{k},Some long product name {k},{k * 3.5 + 2}\n" for k in range(9)) + "9,K9,No price,0\n")
+    found = suppliers.unheadered(suppliers.read_cells(spark, str(tmp_path / "plain.csv")), "P", 4).collect()
+    assert len(found) == 9 and (found[2].product_name, found[2].price) == ("Some long product name 2", 9.0)
+    assert values(spark, lambda c: suppliers.by_file_name(c, [("trad", "Tradex"), ("price", "TGPC")]), "my-TRADEX-price", "price_bn", "other") == ["Tradex", "TGPC", None]
+
+
+def test_payload_values(spark):
+    assert values(spark, Y.nested_prices, '{"a":{"position_price":{"converted":{"BYN":{"amount":"7"}},"amount":"5,5"},"b":[{"position_price":{"amount":0}}]}}', "[]", None) == [[5.5], [], None]
+    renamed = F.create_map(F.lit(" SSD "), F.lit(1), F.lit("ssd"), F.lit(2), F.lit("HDD"), F.lit(3), F.lit(" "), F.lit(4))
+    row = spark.range(1).select(Y.normalized_map(renamed, None, lambda k: F.lower(F.trim(k)), {"disk": "ssd", "hdd": "ssd", "none": "no"}).alias("m")).head()
+    assert row.m == {"ssd": 2, "hdd": 3, "disk": 2}
+
+
+def test_cascade_and_import(spark):
+    rows = offers(spark, [("S", "1", "7", "bolt", 1.0, 1, None, 1.0, "c", 1), ("S", "2", "8", "nut", 1.0, 1, None, 1.0, "c", 2), ("S", "3", "8", "bolt", 1.0, 1, None, 1.0, "c", 3)])
+    cleared, changes = journal.clear_ids(rows, F.col("product_name") == "bolt")
+    cache = spark.createDataFrame([("a", "7"), ("b", "8")], "key string, product_id string")
+    left, bound = journal.cascade(cleared, changes, cache, cache.toDF("name_key", "bound_id"))
+    assert [r.key for r in left.collect()] == ["b"] and [r.bound_id for r in bound.collect()] == ["8"]
+    items = spark.createDataFrame([("1", "One", "c")], "product_id string, name string, category string")
+    index = spark.createDataFrame([("one", "1")], "name_key string, product_id string")
+    new = spark.createDataFrame([("1", "Uno", "c"), ("2", "Two", "d"), ("", "x", "y"), ("3", None, "y")], "product_id string, name string, category string")
+    got, names, counts = catalog.import_rows(items, index, new)
+    assert sorted(map(tuple, got.collect())) == [("1", "Uno", "c"), ("2", "Two", "d")] and tuple(counts.head()) == (1, 1, 2)
+    assert {r.name_key: r.product_id for r in names.collect()} == {"one": "1", "uno": "1", "c uno": "1", "two": "2", "d two": "2"}
+    found = catalog.overlap_ids(spark.createDataFrame([("alpha beta gamma",), ("alpha zeta",)], "product_name string"), spark.createDataFrame([("1", "alpha beta"), ("2", "alpha beta delta")], "product_id string, name string"))
+    assert {r.product_name: r.found_id for r in found.collect()} == {"alpha beta gamma": "1"}
 
 
 def test_stream_gives_the_batch_result(spark, tmp_path):
