@@ -2,8 +2,10 @@
 
 A text streams through the automaton word by word; at each word the matching statistics say how long a stretch of any
 template ends there. A base phrase occurs where the match is long enough and its state lies below the phrase's own.
-Long matches are chained by template, in order of their places in both the text and the template, into spans; a label
-is given where a chain covers COVER of its template. score is the largest covered share, and 1 for any base phrase.
+Templates are the clauses of licence_texts. Long matches are chained by template, in order of their places in both the
+text and the template: by dynamic programming, each match gets the best chain that ends with it. A label is given where a
+chain covers COVER of its template, and the chain is its span. score is the largest covered share, and 1 for any base phrase.
+A short template, such as an SPDX line, has to be covered whole.
 
 The automaton has some hundred states and goes to the tasks with the code. Words of no template cannot continue a
 match, so only runs of template words are walked. Null texts count as empty and have no words. Repeated rows are
@@ -16,29 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.llm import words as W
+from priceloom.llm.licence_texts import CLAUSES
 from priceloom.llm.shared import table
 
-LONG, GAP, COVER = 4, 12, 0.6
+#: The shortest match of a chain, the most words between two matches in the text and in the template, and the share that a
+#: chain has to cover of its template.
+LONG, GAP, SKIP, COVER = 4, 12, 30, 0.6
 
 # The base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Opening or notice wording by which public licences are known.
-TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "gpl": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "lgpl": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
-    "agpl": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-}
-
 
 class Automaton:
     """A generalised suffix automaton; sequences hold small integers."""
@@ -112,9 +101,9 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None):
-        phrases, templates = phrases or PHRASES, templates or TEMPLATES
-        split = [p.split() for p in [*phrases, *templates.values()]]
+    def __init__(self, phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] | None = None):
+        phrases, templates = phrases or PHRASES, templates or CLAUSES
+        split = [p.split() for p in [*phrases, *[text for _, text in templates]]]
         names = sorted({w for s in split for w in s})
         marks = W.fingerprints(W.split(pa.array(names, pa.string()), W.ALNUM), fold=True)
         order = np.argsort(marks)
@@ -122,7 +111,7 @@ class Scanner:
         number = {w: k + 1 for k, w in enumerate(names)}
         seqs = [[number[w] for w in s] for s in split]
         self.automaton = Automaton(seqs)
-        self.labels, self.sizes, self.n_phrases = [*phrases.values(), *templates], [len(s) for s in seqs], len(phrases)
+        self.labels, self.sizes, self.n_phrases = [*phrases.values(), *[label for label, _ in templates]], [len(s) for s in seqs], len(phrases)
         self.shortest = min(self.sizes[: self.n_phrases])
         own = [self.automaton.state_of(s) for s in seqs[: self.n_phrases]]
         #: The phrases that end wherever a long enough match ends in the state.
@@ -173,7 +162,7 @@ class Scanner:
         spans = []
         for t, first, last, share in chains:
             score = max(score, share)
-            if share >= COVER:
+            if share >= (COVER if self.sizes[t] > 2 * LONG else 1.0):
                 labels.add(self.labels[t])
                 spans.append({"label": self.labels[t], "first": first, "last": last, "share": share})
         return {
@@ -182,24 +171,34 @@ class Scanner:
         }
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """template, first word, word after the last and covered share of each best chain."""
-        open_: dict[int, list] = {}
-        done = []
+        """template, first word, word after the last and covered share of the best chain that ends with each match, the best
+        first; chains that share a match with a better one are left out."""
+        by_template: dict[int, list[tuple[int, int, int]]] = {}
         for end, length, state in matches:
-            for t, ends in self.automaton.ends[state].items():
-                if t < self.n_phrases:
-                    continue
-                chain = open_.get(t)
-                place = min((e for e in ends if not chain or e > chain[2]), default=None)
-                if chain and place is not None and end - length - chain[1] <= GAP and end > chain[1]:
-                    new = min(length, end - chain[1], place - chain[2])
-                    chain[1], chain[2], chain[3] = end, place, chain[3] + new
-                else:
-                    if chain:
-                        done.append((t, chain))
-                    open_[t] = [end - length, end, min(ends), min(length, min(ends))]
-        done += open_.items()
-        return [(t, c[0], c[1], min(1.0, c[3] / self.sizes[t])) for t, c in done]
+            for t, places in self.automaton.ends[state].items():
+                if t >= self.n_phrases:
+                    by_template.setdefault(t, []).extend((end, place, length) for place in sorted(places))
+        out = []
+        for t, own in by_template.items():
+            best, before = [n for _, _, n in own], [-1] * len(own)
+            for j, (end, place, length) in enumerate(own):
+                for i in range(j - 1, -1, -1):
+                    if own[i][0] < end - length - GAP:
+                        break
+                    new = min(length, end - own[i][0], place - own[i][1])
+                    if new > 0 and end - new - own[i][0] <= GAP and place - new - own[i][1] <= SKIP and best[i] + new > best[j]:
+                        best[j], before[j] = best[i] + new, i
+            used = [False] * len(own)
+            for j in sorted(range(len(own)), key=lambda k: (-best[k], k)):
+                chain = [j]
+                while before[chain[-1]] >= 0:
+                    chain.append(before[chain[-1]])
+                if not any(used[k] for k in chain):
+                    for k in chain:
+                        used[k] = True
+                    first = own[chain[-1]]
+                    out.append((t, first[0] - first[2], own[j][0], min(1.0, best[j] / self.sizes[t])))
+        return out
 
 
 RESULT = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
