@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from priceloom.functions import category_rules as R
 from priceloom.functions import models as D
 from priceloom.functions import payloads as Y
 from priceloom.functions import pricing
@@ -416,3 +417,20 @@ def name_descriptions(rows):
     """Brand, kind, models and sizes of each distinct name."""
     name = F.col("product_name")
     return rows.select("product_name").distinct().select("product_name", D.brand(name).alias("brand"), D.kind(name).alias("kind"), F.array_join(D.model_hints(name), " ").alias("models"), F.array_join(X.capacity_tokens(name), " ").alias("sizes"))
+
+
+#: Names that begin with a product's kind before the table's own words, and the category that the built-in rules give.
+_TYPED = (("SSD", "SSD"), ("Монитор", "Монитор"), ("Блендер", "Блендеры"), ("Корпус", "Корпус"), ("Шуруповерт", "Шуруповерты, гайковерты, электроотвертки"), ("Кабель", "Кабели и переходники"), ("Роутер", "Wi-Fi роутеры"))
+
+
+@query(f"SELECT CASE product_id::BIGINT % {len(_TYPED)} " + " ".join(f"WHEN {k} THEN '{c}'" for k, (_, c) in enumerate(_TYPED)) + " END AS category, count(*) AS n FROM catalog GROUP BY 1")
+def category_rules(spark, sf_dir):
+    word = F.element_at(F.array(*[F.lit(w) for w, _ in _TYPED]), (F.col("product_id").cast("long") % len(_TYPED) + 1).cast("int"))
+    items = catalog(spark, sf_dir).select(F.concat_ws(" ", word, "name").alias("name"))
+    return items.groupBy(R.category(F.col("name")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT category, CASE lower(replace(category, ' ', '')) WHEN 'promo' THEN 'Картриджи' ELSE category END AS canonical, count(*) AS n FROM offers GROUP BY ALL")
+def category_canonical(rows):
+    label = F.when(F.col("category") == "PROMO", " Картридж ").otherwise(F.col("category"))
+    return rows.groupBy("category", R.canonical(label).alias("canonical")).agg(F.count("*").alias("n"))

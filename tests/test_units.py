@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from priceloom.functions import category_rules as R
 from priceloom.functions import models as D
 from priceloom.functions import payloads as Y
 from priceloom.functions import pricing
@@ -100,6 +101,17 @@ def test_what_names_say(spark):
     assert values(spark, D.match_text, "Мышь (Black/White) M1 (M-100)") == ["мышь m1 m 100"]
 
 
+def test_categories_of_names(spark):
+    named = {
+        "Бумага A4": "Бумага и материалы для печати", "[Новинка] Блендер X": "Блендеры", "Сетевой адаптер TP-Link Wi-Fi": "Беспроводные адаптеры", "Сетевая карта Intel": "Сетевые адаптеры",
+        "Держатель для бит Bosch": "Хозяйственные инструменты", "Держатель для ТВ": "Кронштейны", "Переходник для дрели": "Строительный, слесарный, монтажный инструмент", "Переходник HDMI": "Кабели и переходники",
+        "Корпус без БП": "Корпус", "БП Chieftec 700W": "Блок питания", "27\" LG IPS HDMI": "Монитор", "SSD Kingston": "SSD", "4TB WD Gold": "Жесткий диск", "Разветвитель USB HUB-4": "USB-хабы", "Разветвитель USB": "Кабели и переходники",
+        "GeForce RTX 4060": "Видеокарта", "Шуруповёрт Makita": "Шуруповерты, гайковерты, электроотвертки", "Нечто иное": "НЕЧТО", "": "Без категории", "Intel Core i5": "Процессор", "Стойка для микрофона": "Акустика",
+    }
+    assert dict(zip(named, values(spark, R.category, *named), strict=True)) == named
+    assert values(spark, R.canonical, "USB 3,0", " Принтер и МФУ", "SSD", " ") == ["Накопители USB", "Принтеры", "SSD", None]
+
+
 def test_admissible(spark):
     pairs = [("Мышь Genius", "Клавиатура Genius"), ("Мышь Genius X", "Мышь Logitech X"), ("Мышь Genius DX-110", "Genius DX-110 мышь"), ("", "a"), ("Red Bolt", "red bolt")]
     got = {(r.product_name, r.name): (r.allowed, r.why) for r in matcher.admissible(spark.createDataFrame(pairs, "product_name string, name string")).collect()}
@@ -199,7 +211,7 @@ def test_resolve_prefers_in_order(spark):
 
 
 def test_replacements_drop_hard_conflicts(spark):
-    rows = [("SSD AB-12345678", "1", "SSD AB-12345678", 0.5), ("SSD AB-12345678", "2", "SSD AB-99999999", 0.9), ("SSD AB-12345678", "3", "Mouse pad", 0.2)]
+    rows = [("SSD AB-12345678", "1", "SSD AB-12345678", 0.5), ("SSD AB-12345678", "2", "SSD AB-99999999", 0.9), ("SSD AB-12345678", "3", "Foam pad", 0.2)]
     found = review.replacements(spark.createDataFrame(rows, "product_name string, product_id string, name string, score double"))
     assert [(r.product_id, r.score) for r in found.orderBy("rank").collect()] == [("1", 0.925), ("3", 0.2)]
 
