@@ -78,3 +78,8 @@ def drop_suppliers_of_repeated_ids(offers: DataFrame, suppliers: Column, by: Col
     """Without the offers of the suppliers given whose id goes with two or more values of `by`."""
     many = offers.filter("product_id IS NOT NULL").groupBy("product_id").agg(F.countDistinct(by).alias("n")).filter("n > 1").select("product_id", F.lit(True).alias("many"))
     return offers.join(many, "product_id", "left").filter(~(suppliers & F.coalesce("many", F.lit(False)))).drop("many")
+
+
+def unmatched(offers: DataFrame) -> DataFrame:
+    """The offers without an id."""
+    return offers.filter("product_id IS NULL")

@@ -133,3 +133,25 @@ def option_kind(label: Column, mode: Column, without_id: Column) -> Column:
     """Where a category's option goes: sorting, without_id or market."""
     sorting = label.startswith("Требует сортировки · родитель: ") | (mode == "sorting")
     return F.when(F.coalesce(sorting, F.lit(False)), "sorting").when(F.coalesce((mode == "without_id") | (without_id > 0), F.lit(False)), "without_id").otherwise("market")
+
+
+def duplicate_meta(rows: DataFrame) -> DataFrame:
+    """product_id, n, low, high of the ids that several rows have."""
+    return rows.filter("product_id IS NOT NULL").groupBy("product_id").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high")).filter("n > 1")
+
+
+def page_counts(rows: DataFrame) -> DataFrame:
+    """One row: rows without an id, rows whose id several have, and suppliers (1 at least)."""
+    per_id = rows.groupBy("product_id").agg(F.count("*").alias("n"))
+    ids = per_id.agg(F.coalesce(F.sum(F.when(F.col("product_id").isNull(), F.col("n"))), F.lit(0)).alias("n_without_id"), F.coalesce(F.sum(F.when(F.col("product_id").isNotNull() & (F.col("n") > 1), F.col("n"))), F.lit(0)).alias("n_duplicate"))
+    return ids.join(F.broadcast(rows.agg(F.greatest(F.lit(1), F.count_distinct("supplier")).alias("n_suppliers"))))
+
+
+def facets(rows: DataFrame, *columns: Column) -> DataFrame:
+    """How many rows each combination of the columns has."""
+    return rows.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def badges(rows: DataFrame, buckets: dict[str, Column]) -> DataFrame:
+    """Per supplier its rows without an id, and how many of them fulfil each bucket's test."""
+    return rows.filter("product_id IS NULL").groupBy("supplier").agg(F.count("*").alias("n_no_id"), *[F.count_if(t).alias(n) for n, t in buckets.items()])

@@ -5,8 +5,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions import category_rules as rules
 from priceloom.functions import text as X
-from priceloom.operators import matcher
+from priceloom.operators import matcher, matching
 
 #: Reasons of match_names under which a candidate is out of the question.
 HARD_REASONS = (
@@ -60,7 +61,7 @@ _BRANDS = r"\b(a4tech|acer|adata|aerocool|amd|aoc|arctic|asrock|asus|be quiet|be
 _COLOUR = (r"\b(black|white|silver|grey|red|blue)\b", 0.01, 0.05)
 _SIZE = r"\b([0-9]+ ?(?:gb|tb))\b"
 
-#: The built-in families. Attributes are compared in lower case without spaces.
+# The built-in families, their gains, losses and bases. Attributes are compared in lower case without spaces.
 FAMILIES = {
     "cpu": Family(r"\b(?:ryzen|core i[3579]|core ultra|athlon|pentium|celeron|xeon|threadripper)\b", {"model": r"\b((?:i[3579]-|ryzen [3579] (?:pro )?|ultra [579] )?[0-9]{3,5}[a-z]{0,3}[0-9]?)\b"}, {"package": (r"\b(box|oem|tray|mpk)\b", 0.03, 0.12)}, 0.94),
     "board": Family(r"\b(?:motherboard|[abhxz][0-9]{3}[a-z]*)\b", {"brand": _BRANDS, "chipset": r"\b([abhxz][0-9]{3})[a-z]*\b"}, {"memory": (r"\b(ddr[345]|d[45])\b", 0.02, 0.10), "form": (r"\b(e-?atx|micro-?atx|m-?atx|mini-?itx|atx|itx)\b", 0.02, 0.08)}, parity=(r"wi-?fi",)),
@@ -76,6 +77,21 @@ FAMILIES = {
 }
 
 
+#: Categories of peripherals.
+PERIPHERALS = ("Клавиатура", "Мышь", "Наушники", "Акустика")
+
+
+def peripheral_candidates(names: DataFrame, items: DataFrame, least: float = 0.25, most: int = 5) -> DataFrame:
+    """product_name, product_id, score, rank: of the items (product_id, name) that are peripherals by their names, those that share a token with a name and match it by `least` or more; an equal name scores 1, others 0.999 at most."""
+    own = items.select("product_id", "name").distinct().filter(rules.category(F.col("name")).isin(*PERIPHERALS))
+    pairs = matching.token_candidates(names, own).select("product_name", "product_id", "name")
+    judged = matcher.match_names(pairs.select("product_name", "name").distinct())
+    score = F.when(X.name_key(F.col("product_name")) == X.name_key(F.col("name")), 1.0).otherwise(F.least(F.lit(0.999), F.col("score")))
+    scored = pairs.join(judged, ["product_name", "name"]).withColumn("score", F.round(score, 3)).filter(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("product_name").orderBy(F.desc("score"), F.lower("name"), "product_id"))
+    return scored.select("product_name", "product_id", "score", rank.alias("rank")).filter(F.col("rank") <= most)
+
+
 def attribute(name: Column, pattern: str) -> Column:
     """The first group of the pattern in the name, without spaces and dashes; null where the pattern isn't found."""
     low = F.lower(name)

@@ -14,6 +14,7 @@ from priceloom.operators import market as M
 from priceloom.operators import matcher
 from priceloom.operators import matching as N
 from priceloom.operators import paging as P
+from priceloom.operators import review as W
 from priceloom.operators import snapshots as S
 from priceloom.plans.registry import _CORE, _CUT, _KEY, CORE, _payloads, query
 from priceloom.sources import suppliers as U
@@ -88,6 +89,12 @@ def category_preview(rows):
     return P.category_preview(rows, M.market_stats(_priced(rows)), ["PROMO", "ECONOMY"], "with_id").select("category", "product_name", "price", "min_price")
 
 
+@query("""SELECT (SELECT count(*) FROM offers WHERE product_id IS NULL) AS n_without_id, (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM offers WHERE product_id IS NOT NULL GROUP BY product_id) WHERE n > 1) AS n_duplicate,
+  (SELECT count(DISTINCT supplier) FROM offers) AS n_suppliers""")
+def page_counts(rows):
+    return P.page_counts(rows)
+
+
 @query(f"""SELECT supplier, product_name, CASE WHEN contains(product_name, 'blue') THEN 'Chosen' ELSE category END AS category, contains(product_name, 'blue') AS manual FROM (SELECT DISTINCT supplier, product_name, category FROM offers
   WHERE contains(lower(product_name), 'gear')) ORDER BY product_name, supplier, 3 LIMIT 200""")
 def override_items(rows):
@@ -434,3 +441,42 @@ def category_rules(spark, sf_dir):
 def category_canonical(rows):
     label = F.when(F.col("category") == "PROMO", " Картридж ").otherwise(F.col("category"))
     return rows.groupBy("category", R.canonical(label).alias("canonical")).agg(F.count("*").alias("n"))
+
+
+#: For each built-in family: names of offers and of items, values of the attributes that have to agree and of one that may
+#: differ, the score that a pair begins with, and what that one adds or takes.
+FAMILY_NAMES = {
+    "cpu": ("AMD Ryzen 5 {same} {near}", "Процессор AMD Ryzen 5 {same} {near} AM5", ("7600X", "7500F", "9600X"), ("Box", "Tray"), 0.94, 0.03, 0.12),
+    "board": ("MSI {same} WiFi {near} motherboard", "Motherboard MSI {same} Wi-Fi {near}", ("B650", "X670", "B550"), ("DDR5", "DDR4"), 0.90, 0.02, 0.10),
+    "monitor": ("Monitor LG {same} {near} inch", "LG monitor {same} {near} inch", ("27GP850", "32GP850"), ("27", "32"), 0.90, 0.03, 0.10),
+    "gpu": ("Palit GeForce {same} {near}", "{same} Palit {near}", ("RTX 4060", "RTX 4070", "RTX 4070 Ti"), ("8GB", "16GB"), 0.90, 0.04, 0.12),
+    "ram": ("Kingston {same} {near} 6000MHz", "Kingston Fury {same} {near} 6000MHz", ("DDR4", "DDR5"), ("2x16GB", "2x8GB"), 0.93, 0.04, 0.20),
+    "ssd": ("SSD {same} {near}", "{same} SSD {near}", ("Toshiba", "Samsung", "Patriot"), ("500GB", "1TB"), 0.82, 0.07, 0.30),
+    "psu": ("Chieftec PSU {same}W {near}", "{same}W Chieftec power supply {near}", ("650", "750", "850"), ("Gold", "Bronze"), 0.90, 0.04, 0.20),
+    "case": ("Case {same} {near}", "{same} tower {near}", ("NZXT", "Fractal", "Aerocool"), ("black", "white"), 0.88, 0.01, 0.05),
+    "hdd": ("HDD {same} {near}", "Hard drive {same} {near}", ("Toshiba 4TB", "Toshiba 6TB", "Seagate 4TB"), ("3.5", "2.5"), 0.88, 0.01, 0.20),
+    "printer": ("Printer HP {same} {near}", "HP LaserJet {same} {near}", ("M111w", "M141w"), ("white", "black"), 0.95, 0.01, 0.05),
+    "cooler": ("{same} cooler {near}", "{same} heatsink {near}", ("DeepCool", "Arctic", "NZXT"), ("black", "white"), 0.88, 0.01, 0.05),
+}
+
+
+def _family(key, offered, listed, same, near, base, gain, loss):
+    """Registers the query of one family over names that the products' numbers spell out."""
+    k = "product_id::BIGINT"
+    pick = lambda values, at: "[" + ", ".join(f"'{v}'" for v in values) + f"][({at}) + 1]"
+    spelled = lambda template: f"replace(replace('{template}', '{{same}}', {pick(same, f'{k} % {len(same)}')}), '{{near}}', {pick(near, f'({k} // {len(same)}) % {len(near)}')})"
+    sql = f""", n AS (SELECT DISTINCT {spelled(offered)} AS product_name, {k} % {len(same)} AS a, ({k} // {len(same)}) % {len(near)} AS b FROM catalog), i AS (SELECT product_id, {k} % {len(same)} AS a, ({k} // {len(same)}) % {len(near)} AS b FROM catalog),
+s AS (SELECT product_name, product_id, round(least(0.999, CASE WHEN n.b = i.b THEN {base + gain:.2f} ELSE {base - loss:.2f} END)::DOUBLE, 3) AS score FROM n JOIN i USING (a)),
+r AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY score DESC, length(product_id), product_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5"""
+
+    @query(sql, f"family_{key}")
+    def candidates(spark, sf_dir):
+        number = F.col("product_id").cast("long")
+        value = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+        said = lambda template: F.replace(F.replace(F.lit(template), F.lit("{same}"), value(same, number % len(same))), F.lit("{near}"), value(near, F.floor(number / len(same)) % len(near)))
+        items = catalog(spark, sf_dir)
+        return W.family_candidates(items.select(said(offered).alias("product_name")), items.select("product_id", said(listed).alias("name")), W.FAMILIES[key])
+
+
+for _key, _case in FAMILY_NAMES.items():
+    _family(_key, *_case)

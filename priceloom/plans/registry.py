@@ -80,7 +80,7 @@ def row_keys(rows):
 
 @query(f"SELECT {_CORE} FROM offers WHERE product_id IS NULL")
 def unmatched_offers(rows):
-    return rows.filter("product_id IS NULL").select(*CORE)
+    return K.unmatched(rows).select(*CORE)
 
 
 #: Ids that stand for several products: the names of the tables have one id each.
@@ -242,8 +242,7 @@ def page_search(rows):
 
 @query("SELECT product_id, count(*) AS n, min(price) AS low, max(price) AS high FROM offers WHERE product_id IS NOT NULL GROUP BY product_id HAVING count(*) > 1")
 def page_meta(rows):
-    grouped = rows.filter("product_id IS NOT NULL").groupBy("product_id").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
-    return grouped.filter("n > 1")
+    return P.duplicate_meta(rows)
 
 
 @query("SELECT category, lower(product_name) AS name, count(*) AS n FROM offers WHERE product_id IS NULL GROUP BY ALL")
@@ -275,14 +274,14 @@ def supplier_stats_rollup(rows):
 
 @query("SELECT category, brand, product_id IS NULL AS no_id, count(*) AS n FROM offers GROUP BY ALL")
 def facet_counts(rows):
-    return rows.groupBy("category", "brand", F.col("product_id").isNull().alias("no_id")).agg(F.count("*").alias("n"))
+    return P.facets(rows, F.col("category"), F.col("brand"), F.col("product_id").isNull().alias("no_id"))
 
 
 @query("""SELECT supplier, count(*) AS n_no_id, count(*) FILTER (contains(lower(product_name), 'widget')) AS n_widget, count(*) FILTER (category = 'PROMO') AS n_promo, count(*) FILTER (price > 50000) AS n_dear
   FROM offers WHERE product_id IS NULL GROUP BY supplier""")
 def badge_counts(rows):
     buckets = {"n_widget": E.contains_any(F.col("product_name"), ("widget",)), "n_promo": F.col("category") == "PROMO", "n_dear": F.col("price") > 50000}
-    return rows.filter("product_id IS NULL").groupBy("supplier").agg(F.count("*").alias("n_no_id"), *[F.count_if(t).alias(n) for n, t in buckets.items()])
+    return P.badges(rows, buckets)
 
 
 _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[0-9a-zа-яё]+'), lambda t: length(t) >= {1}))"

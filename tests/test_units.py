@@ -198,6 +198,13 @@ def test_family_keys(spark, family, name, same, other):
     assert [r.product_id for r in found.collect()] == ["1"]
 
 
+def test_peripherals(spark):
+    items = [("1", "Мышь Logitech G102 Black"), ("2", "Мышь Logitech G102 White"), ("3", "Коврик Logitech G102"), ("4", "Клавиатура Genius"), ("5", "мышь logitech g102")]
+    found = review.peripheral_candidates(spark.createDataFrame([("Мышь Logitech G102",), ("Стол",)], "product_name string"), spark.createDataFrame(items, "product_id string, name string"))
+    got = {r.product_id: r.score for r in found.collect()}
+    assert got.pop("5") == 1.0 and set(got) == {"1", "2"} and all(0.8 <= v < 1 for v in got.values())
+
+
 def test_closure_follows_chains_and_nulls(spark):
     rows = spark.createDataFrame([(["a", "b"],), (["b", "c"],), (["c", "d", None],), (["x", "y"],), (None,)], "keys array<string>")
     seeds = spark.createDataFrame([("a",), ("lone",), (None,)], "key string")
