@@ -6,14 +6,16 @@ added, and a document is emitted once per integer that its step crosses. Documen
 keeps the words taken near the target. The order is cut into (source, size class, hash) blocks: a source that holds
 a third of all rows is spread over many tasks, and only the block counts are summed up per source.
 
-Null texts have size 0. A null source is a source of its own, the last one. Repeated rows are documents of their own.
-An empty table gives an empty result. Other columns, whatever their names, are not read.
+Null texts have size 0. A null source is a source of its own, the last one. Documents without an id are told apart by their
+text. Repeated rows are documents of their own; those that are equal in id, source and text follow one another in the order,
+so what each of them gets follows from the place of the first. Reruns agree. An empty table gives an empty result. Other
+columns, whatever their names, are not read.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from priceloom.llm.shared import ASCII_WORD, settle, table
+from priceloom.llm.shared import ASCII_WORD, row_hash, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -26,17 +28,26 @@ def _hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def _mark() -> Column:
+    """Names a document by id, source and text; never null."""
+    part = lambda c: F.coalesce(F.concat(F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.concat_ws(" ", part("doc_id"), part("source"), F.xxhash64("text").cast("string"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and the size of each document in words, with the block it belongs to."""
     size = F.coalesce(F.regexp_count("text", F.lit(ASCII_WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"))
+    # Texts are only hashed where there is no id.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.coalesce(F.md5("text"), F.lit(""))))
+    rows = docs.select("doc_id", "source", size.alias("size"), _hash32(F.concat(F.lit(f"{SEED}:"), name)).alias("h"), _mark().alias("mark"))
     bits = F.length(F.bin("size"))
     return rows.select(
         "doc_id",
         "size",
         F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src"),
         (bits * 8 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 3, F.lit(0)))).alias("level"),
-        _hash32(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))).alias("h"),
+        "h",
+        "mark",
     ).withColumn("sub", F.col("h") % SUB_BLOCKS)
 
 
@@ -66,41 +77,39 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     )
 
 
-def copies(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target and the number of copies that the mix takes of each document."""
-    rows = settle(sized(docs))
+def _upto(g: Column) -> Column:
+    """How many copies are taken up to the g-th document of a source."""
+    return F.floor(F.col("offset") + F.col("step") * g)
+
+
+def placed(docs: DataFrame, **options) -> DataFrame:
+    """Each document with its place g in its source's order, and offset and step of that."""
+    rows = stored(sized(docs))
     block = ["src", "level", "sub"]
     before = Window.partitionBy("src").orderBy("level", "sub").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*block).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     offset = _hash32(F.concat(F.lit(f"{SEED}/"), F.col("src.none").cast("string"), F.col("src.name"))) / F.lit(4294967296.0)
     blocks = blocks.drop("n").join(targets(rows, **options).withColumn("offset", offset), "src")
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    upto = lambda g: F.floor(F.col("offset") + F.col("step") * g)
-    rank = F.row_number().over(Window.partitionBy(*block).orderBy("size", "h", "doc_id"))
-    return (
-        rows.withColumn("g", rank)
-        .join(blocks, block)
-        .withColumns({"g": F.col("g") + F.col("before"), "step": step})
-        .select(
-            "doc_id",
-            F.when(~F.col("src.none"), F.col("src.name")).alias("source"),
-            "size",
-            "source_size",
-            "target",
-            (upto(F.col("g")) - upto(F.col("g") - 1)).alias("copies"),
-        )
-    )
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy("size", "h", "doc_id", "mark"))
+    return rows.withColumn("g", rank).join(blocks, block).withColumns({"g": F.col("g") + F.col("before"), "step": step})
+
+
+def copies(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target and the number of copies that the mix takes of each document."""
+    number = _upto(F.col("g")) - _upto(F.col("g") - 1)
+    source = F.when(~F.col("src.none"), F.col("src.name"))
+    return placed(docs, **options).select("doc_id", source.alias("source"), "size", "source_size", "target", number.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the columns are those of docs."""
-    key = lambda *more: F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(*more))
-    size = F.coalesce(F.regexp_count("text", F.lit(ASCII_WORD)), F.lit(0)).cast("long")
-    taken = copies(docs, **options).select("doc_id", "source", "copies", key("size", "copies").alias("nth"))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", size.alias("size"))
-    rows = rows.select("row", "doc_id", "source", key("size").alias("nth"))
-    same = [rows[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "nth")]
-    return rows.join(taken.filter("copies > 0"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    """The rows of docs, each as often as the mix takes it; the columns are those of docs. Texts are shuffled once."""
+    first = placed(docs, **options).groupBy("mark").agg(F.min("g").alias("g"), F.first("offset").alias("offset"), F.first("step").alias("step"))
+    rows = docs.select(F.struct("*").alias("row"), _mark().alias("mark"), row_hash(docs).alias("h"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("mark").orderBy("h")))
+    g = F.col("g") + F.col("nth") - 1
+    taken = rows.join(first, "mark").withColumn("copies", (_upto(g) - _upto(g - 1)).cast("int")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,7 @@ SQL = rf"""
 WITH rows AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          (source IS NULL) AS none, coalesce(source, '') AS name,
-         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '-')), 1, 8))::BIGINT AS h
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '-' || coalesce(md5(text), ''))), 1, 8))::BIGINT AS h
   FROM documents),
 lv AS (SELECT *, length(bin(size)) AS bits, h % {SUB_BLOCKS} AS sub FROM rows),
 lv2 AS (SELECT *, bits * 8 + (size >> greatest(bits - 3, 0)) AS level FROM lv),

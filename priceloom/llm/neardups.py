@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceloom.llm import words as W
-from priceloom.llm.shared import ASCII_WORD, discard, stored, table
+from priceloom.llm.shared import ASCII_WORD, discard, row_hash, stored, table
 
 SHINGLE, SIDE, SIMILAR = 4, 10, 80
 #: Rows up to which a list of documents to fetch is sent to every task; a longer one is joined by a shuffle.
@@ -294,15 +294,14 @@ def drop_near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = S
     """One row of each component of docs, and all rows without shingles.
 
     The row with the smallest doc_id stays, nulls last, then the smallest mark. Of rows equal in both, one stays: the one
-    with the smallest hash of its columns (without maps, which have none). Texts are shuffled once.
+    with the smallest hash of its columns. Texts are shuffled once.
     """
     best = _judged(docs, similar, width).filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best"))
     stay = stored(best.select(F.coalesce("best.doc_id", F.lit(0)).alias("id"), "best.none", "best.mark"))
     key = ["id", "none", "mark"]
-    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
     worded = F.coalesce(F.col("text").rlike(ASCII_WORD), F.lit(False))
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.filter(worded).select(F.struct("*").alias("row"), F.xxhash64(*hashed).alias("least"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), F.xxhash64("text").alias("mark"))
+    rows = docs.filter(worded).select(F.struct("*").alias("row"), row_hash(docs).alias("least"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), F.xxhash64("text").alias("mark"))
     # Spark drops all but the first of equal rows before the shuffle too.
     once = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("least"))).filter("nth = 1")
     return docs.filter(~worded).unionByName(once.join(stay, key, "left_semi").select("row.*"))

@@ -1,8 +1,16 @@
 """Helpers that several training-data operators share."""
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from priceloom.sources.tables import discard, settle, stored, table
 
-__all__ = ["ASCII_SPACE", "ASCII_WORD", "discard", "settle", "stored", "table"]
+__all__ = ["ASCII_SPACE", "ASCII_WORD", "discard", "row_hash", "settle", "stored", "table"]
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which have none, count as their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in rows.schema])
