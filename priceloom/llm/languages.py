@@ -37,7 +37,7 @@ KNOWN, LEAST_KNOWN = 3, 0.4
 UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 LETTER = r"\p{L}+"
 #: Bytes of text judged at a time.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def _hashed(codes: np.ndarray) -> list[np.ndarray]:

@@ -39,6 +39,8 @@ SEND_ROWS = 200_000
 BLOCK_ROWS, BLOCK_BYTES, SLAB = 384, 2 << 20, 4096
 #: The most members that meet their pivot in one block.
 PIVOT_ROWS = 128
+#: Bytes of text sketched at a time.
+PIECE_BYTES = 1 << 20
 _SALT, _ODD = W.constants(4 * SIDE, 11), W.constants(4 * SIDE, 12)
 
 
@@ -57,7 +59,7 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
 
 
 def _sketch(batches, width: int):
-    for batch in W.pieces(batches):
+    for batch in W.pieces(batches, limit=PIECE_BYTES):
         sets = shingle_sets(batch.column("text"), width)
         size = np.array([len(s) for s in sets])
         some = np.flatnonzero(size)
