@@ -13,6 +13,7 @@ MODULES = {
     "op8_chats": "chats",
     "op9_sharding": "sharding",
     "op10_quality": "quality",
+    "op11_bpe": "bpe",
 }
 
 _LOADED = {name: import_module(f"priceloom.llm.{module}") for name, module in MODULES.items()}
