@@ -14,6 +14,7 @@ MODULES = {
     "op9_sharding": "sharding",
     "op10_quality": "quality",
     "op11_bpe": "bpe",
+    "op12_variants": "variants",
 }
 
 _LOADED = {name: import_module(f"priceloom.llm.{module}") for name, module in MODULES.items()}
