@@ -15,6 +15,7 @@ MODULES = {
     "op10_quality": "quality",
     "op11_bpe": "bpe",
     "op12_variants": "variants",
+    "op13_repair": "repair",
 }
 
 _LOADED = {name: import_module(f"priceloom.llm.{module}") for name, module in MODULES.items()}
