@@ -5,10 +5,16 @@ ancestors (tags, roles, words of class and id) and of its text (length, links, p
 labels, main text or not, weights for the features and for pairs of neighbouring labels, and is decoded by Viterbi.
 It is trained on labelled pages, which `labelled_pages` lays out from a seed in many variants of the usual furniture.
 
-Null and empty pages give an empty text. Scripts, styles, templates, comments and the head have no blocks; the rest is
-only left out by the field's verdict. Classes of the page itself, and of elements that hold most of its text, are features of
-their own, so that a wrapper called has-sidebar does not take the article along. Work and memory grow with the page, not with
-its depth. Unclosed and unmatched tags are taken as browsers do, roughly: the head ends at the
+Null and empty pages give an empty text. Scripts, styles, templates, comments, the head, what browsers show instead of scripts
+and frames (noscript, iframe) and the values of form controls (textarea, select) are no text; all other text, that within
+object, video, audio, canvas and svg included, is only left out by the field's verdict. None of these, no image, icon, input
+or inline element, and no unknown element after text ends a block: only the elements in BLOCK do, and buttons and unknown
+elements that begin one. Classes of the page itself, and of elements that hold most of its text, are features of
+their own, so that a wrapper called has-sidebar does not take the article along.
+
+Pages are read as browsers read them, in one pass over the characters: markup of any kind that is never closed reaches to the
+end, a declaration that is none is a comment up to the next ">", and no page is an error. Work and memory grow with the page,
+not with its depth. Unclosed and unmatched tags are taken roughly as browsers do: the head ends at the
 first thing that it can't hold, svg and math at the first HTML element. Of an element that holds text only (title, noscript)
 and is never closed, only the text up to the next block is left out. Formulas are text; their annotations are not. Character
 references are decoded, white space becomes one space. Repeated rows are handled alike, and other columns are not read.
@@ -16,10 +22,10 @@ references are decoded, white space becomes one space. Repeated rows are handled
 
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +36,11 @@ from priceloom.llm import words as W
 from priceloom.llm.shared import table
 
 # HTML elements by what they mean for the text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCK = frozenset("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td text tfoot th thead tr ul".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data datalist del desc dfn em font i iframe ins kbd label map mark metadata meter noembed noframes noscript object output picture progress q rp rt ruby s samp script select slot small span strike strong style sub sup svg template textarea time title tt u var video".split())
 INLINE |= frozenset("math annotation annotation-xml maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
-SILENT = frozenset("script style template noscript head title svg annotation annotation-xml iframe object canvas audio video textarea select".split())
+SILENT = frozenset("template noscript noframes noembed head title desc metadata annotation annotation-xml iframe textarea select datalist".split())
+RAW = frozenset("script style".split())
 #: What a head can hold; elements that hold text only; HTML that ends svg and math, but not within the parts that hold HTML.
 IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 TEXT_ONLY = frozenset("title textarea noscript noframes iframe".split())
@@ -55,7 +63,44 @@ SHORT = frozenset(s for s in STEMS if len(s) <= 4)
 WIDE = 0.5
 
 
-class Blocks(HTMLParser):
+# White space, names and values in tags.
+SPACE, SLASHES, NAME = re.compile(r"[\t\n\f\r ]*"), re.compile(r"[\t\n\f\r /]*"), re.compile(r"[a-zA-Z][^\t\n\f\r />]*")
+KEY, VALUE = re.compile(r"=?[^\t\n\f\r />=]*"), re.compile(r"[^\t\n\f\r >]*")
+COMMENT_END = re.compile("--!?>")
+
+
+@lru_cache(20)
+def end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I)
+
+
+def tag_at(html: str, at: int) -> tuple[str, list[tuple[str, str | None]], int]:
+    """Name and attributes of the tag whose name begins there, and where it ends; -1 if it never does."""
+    name = NAME.match(html, at)
+    at, size, attributes = name.end(), len(html), []
+    while True:
+        at = SLASHES.match(html, at).end()
+        if at >= size:
+            return name.group().lower(), attributes, -1
+        if html[at] == ">":
+            return name.group().lower(), attributes, at + 1
+        key = KEY.match(html, at)
+        at, value = SPACE.match(html, key.end()).end(), None
+        if html.startswith("=", at):
+            at = SPACE.match(html, at + 1).end()
+            quote = html[at : at + 1]
+            if quote in ('"', "'"):
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return name.group().lower(), attributes, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                found = VALUE.match(html, at)
+                value, at = found.group(), found.end()
+        attributes.append((key.group().lower(), unescape(value) if value else value))
+
+
+class Blocks:
     """The leaf blocks of a page: text, characters within links, and the innermost block element that holds it.
 
     Elements are numbered as they begin; `nodes` has of each the number of its parent (-1: none), tag and marks. Work and
@@ -63,13 +108,12 @@ class Blocks(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[int, str, str]] = []
         self.stack: list[tuple[str, int]] = []  # tag and innermost block element
         self.places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is
         self.blocks: list[int] = []  # where in the stack the block elements are
-        self.silent = self.links = self.linked = self.unended = self.at = 0
-        self.begun, self.within = False, ""  # whether the body has begun; the text-only element that is open
+        self.silent = self.links = self.linked = self.unended = 0
+        self.begun = False  # whether the body has begun
         self.ends: dict[str, int] = {}
         self.parts: list[str] = []
         self.found: list[tuple[str, int, int]] = []
@@ -84,20 +128,12 @@ class Blocks(HTMLParser):
             self.found.append((text, self.linked, self.node))
         self.parts, self.linked = [], 0
 
-    def parse_starttag(self, i):
-        self.at = i
-        return super().parse_starttag(i)
-
-    def set_cdata_mode(self, elem):
-        if not self.within:
-            super().set_cdata_mode(elem)
-
-    def _ended(self, tag: str) -> bool:
-        """Whether an end tag comes after this start tag."""
-        if -1 < self.ends.get(tag, 0) <= self.at:
-            found = re.compile(rf"</{tag}[\s/>]", re.I).search(self.rawdata, self.at)
+    def _next_end(self, html: str, tag: str, at: int) -> int:
+        """Where the next end tag of that name begins, from there on; -1 if there is none."""
+        if -1 < self.ends.get(tag, 0) <= at:
+            found = end_tag(tag).search(html, at)
             self.ends[tag] = found.start() if found else -1
-        return self.ends[tag] > self.at
+        return self.ends[tag]
 
     def _begin(self):
         """The body begins at the first thing that a head can't hold, whether or not the head was closed."""
@@ -118,43 +154,47 @@ class Blocks(HTMLParser):
         if first is not None:
             self._cut(first)
 
-    def handle_starttag(self, tag, attrs):
-        if self.within or (tag == "head" and self.begun):
-            return
+    def _starts(self, html: str, tag: str, attrs: list, at: int) -> int:
+        """Take a start tag that ends at `at`; where to read on."""
+        if tag == "head" and self.begun:
+            return at
         if tag in ENDS_FOREIGN and (self.places["svg"] or self.places["math"]):
             self._leave()
-        if self.unended and tag not in INLINE:
+        if self.unended and tag in BLOCK:
             self._end(TEXT_ONLY)
         if not self.begun and tag not in IN_HEAD:
             self._begin()
         if self.silent and tag in ENDS_SELECT:
             self._end(("select",))
-        if tag in TEXT_ONLY and self._ended(tag):
-            self.flush()
-            self.within = tag
-            return
+        if tag in RAW or tag in TEXT_ONLY:
+            end = self._next_end(html, tag, at)
+            if end >= 0 or tag in RAW:
+                return end if end >= 0 else len(html)
         if tag == "br":
             self.parts.append(" ")
-            return
+        if tag == "hr" and not self.silent:
+            self.flush()
         if tag in VOID:
-            if tag not in INLINE and tag != "img":
+            return at
+        # Buttons and unknown elements are blocks where no text comes before them, else part of it.
+        block = tag in BLOCK or (tag not in INLINE and not any(map(str.strip, self.parts)))
+        if block:
+            if not self.silent:
                 self.flush()
-            return
-        if tag not in INLINE:
-            self.flush()
-            if tag in ENDS_P:
-                self._close({"p"}, 1)
-            if tag in CLOSED_BY:
-                self._close(CLOSED_BY[tag], 3)
+                if tag in ENDS_P:
+                    self._close({"p"}, 1)
+                if tag in CLOSED_BY:
+                    self._close(CLOSED_BY[tag], 3)
             marks = [v for k, v in attrs if v and k in ("class", "id", "role")]
             hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and "none" in (v or "")) for k, v in attrs)
             self.nodes.append((self.node, tag, " ".join([*marks, *["~hidden"] * hidden])))
             self.blocks.append(len(self.stack))
         self.places[tag].append(len(self.stack))
-        self.stack.append((tag, self.node if tag in INLINE else len(self.nodes) - 1))
+        self.stack.append((tag, len(self.nodes) - 1 if block else self.node))
         self.silent += tag in SILENT
         self.unended += tag in TEXT_ONLY
         self.links += tag == "a"
+        return at
 
     def _close(self, tags: set[str], most: int):
         """Close the innermost block element if it has one of those tags, `most` times."""
@@ -172,31 +212,59 @@ class Blocks(HTMLParser):
         while self.blocks and self.blocks[-1] >= k:
             self.blocks.pop()
 
-    def handle_endtag(self, tag):
-        if self.within:
-            self.within = "" if tag == self.within else self.within
-            return
+    def _stops(self, tag: str):
         if tag == "br":
             self.parts.append(" ")
-        if tag not in INLINE:
+        if not self.places[tag]:
+            if tag == "p" and not self.silent:
+                self.flush()
+            return
+        k = self.places[tag][-1]
+        at = bisect_left(self.blocks, k)
+        if at < len(self.blocks) and not self.silent:  # a block element ends
             self.flush()
-        if self.places[tag]:
-            self._cut(self.places[tag][-1])
+        self._cut(k)
 
-    def handle_data(self, data):
-        if self.within:
-            return
+    def _text(self, data: str):
         if not self.begun and data.strip() and (not self.stack or self.stack[-1][0] in ("html", "head")):
             self._begin()
         if not self.silent:
+            data = unescape(data)
             self.parts.append(data)
             if self.links:
                 self.linked += len(data.strip())
 
     def read(self, html: str) -> "Blocks":
-        self.feed(html)
-        self.ends.clear()
-        self.close()
+        at, size = 0, len(html)
+        while at < size:
+            tag = html.find("<", at)
+            if tag != at:
+                self._text(html[at : tag if tag >= 0 else size])
+                at = tag if tag >= 0 else size
+                continue
+            after = html[at + 1 : at + 2]
+            if after.isalpha() and after.isascii():
+                name, attrs, end = tag_at(html, at + 1)
+                at = size if end < 0 else self._starts(html, name, attrs, end)
+            elif after == "/" and html[at + 2 : at + 3].isalpha() and html[at + 2 : at + 3].isascii():
+                name, _, end = tag_at(html, at + 2)
+                at = size if end < 0 else end
+                if end >= 0:
+                    self._stops(name)
+            elif html.startswith("<![CDATA[", at) and (self.places["svg"] or self.places["math"]):
+                end = html.find("]]>", at)
+                self._text(html[at + 9 : end if end >= 0 else size].replace("&", "&amp;"))
+                at = end + 3 if end >= 0 else size
+            elif html.startswith("<!--", at):
+                shut = 5 if html.startswith("<!-->", at) else 6 if html.startswith("<!--->", at) else 0
+                found = None if shut else COMMENT_END.search(html, at + 4)
+                at = at + shut if shut else found.end() if found else size
+            elif after in ("!", "?") or (after == "/" and at + 2 < size):
+                end = html.find(">", at)
+                at = end + 1 if end >= 0 else size
+            else:
+                self._text("<")
+                at += 1
         self.flush()
         return self
 

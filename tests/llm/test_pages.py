@@ -1,6 +1,7 @@
 """The page field against brute force, and on layouts that its training never lays out."""
 
 import itertools
+import random
 import time
 
 import numpy as np
@@ -62,11 +63,76 @@ def test_slope_against_finite_differences():
         assert slope[k] == pytest.approx((data.objective(weights + step, 1e-3)[0] - data.objective(weights - step, 1e-3)[0]) / 2e-5, abs=1e-6)
 
 
-@pytest.mark.parametrize("part", ["<div>x", "<div class='a b'>x</b></i></p>", "<b><i>x<p>", "<svg><g>", "<title>x", "<p>a&amp;b</p>"])
+PARTS = ["<div>x", "<div class='a b'>x</b></i></p>", "<b><i>x<p>", "<svg><g>", "<title>x", "<p>a&amp;b</p>", "<a ", "<a b='", '<p a="', "<!--", "<title", "<title>", "<script ", "<![", "<!", "</", "<", "<?", "&", "<x-y>", "<button>", "<select>", "<template>", "<math><mi>", "<svg><![CDATA[", "</title ", "<textarea>"]
+
+
+@pytest.mark.parametrize("part", PARTS)
 def test_work_grows_with_the_page_only(part):
+    by = pages.field()
     began = time.time()
-    assert pages.main_text(part * 40_000, pages.field()) is not None
-    assert time.time() - began < 30
+    assert pages.main_text(part * 100_000, by) is not None
+    assert time.time() - began < 10
+
+
+def test_no_page_is_an_error():
+    by, rng = pages.field(), random.Random(5)
+    bits = [*PARTS, "</p>", "]]>", "-->", ">", "/>", "=", "'", '"', " ", "a", "</select>", "<option>", "<li>", "é", "\x00", "&#", "&lt", "![ endif]", "%entity;[", "</svg>", "<a href='"]
+    for _ in range(20_000):
+        assert pages.main_text("".join(rng.choice(bits) for _ in range(rng.randint(1, 40))), by) is not None
+
+
+#: Markup that no text and no border of a block comes from.
+MARKS = ("<script>var a = '<p>';</script>", "<style>p{}</style>", "<svg class='i'><title>t</title><path d=''/></svg>", "<!-- x > y -->", "<![endif]>", "<img src=x alt='a > b'>", "<input name=q>", "<iframe src=x>none</iframe>", "<noscript><img></noscript>", "<template><div>no</div></template>", "<wbr>", "<select><option>a<option>b</select>", "<textarea>t</textarea>", "<? php ?>", "<b></b>", "</aside>")
+
+
+def laid_out(rng):
+    """A page and the texts of its blocks, known from how it is made."""
+    html, want = [], []
+    for _ in range(rng.randint(0, 8)):
+        tag = rng.choice(("p", "div", "h2", "li", "blockquote", "td", "section", "dd", "figcaption"))
+        words, inner = [], []
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.random()
+            word = rng.choice(("one", "zwei", "a &lt; b", "x&amp;y", "1 < 2", "ñ"))
+            if kind < 0.4:
+                inner.append(f"{word} ")
+                words.append(word)
+            elif kind < 0.6:
+                around = rng.choice(("b", "i", "a href='x'", "span class='c > d'", "my-icon", "button", "em", "video", "object"))
+                if words:
+                    inner.append(f"<{around}>{word}</{around.split()[0]}> ")
+                    words.append(word)
+            else:
+                inner.append(rng.choice(MARKS))
+        html.append(rng.choice(("", "\n", rng.choice(MARKS))) + f"<{tag}>{''.join(inner)}</{tag}>")
+        if words:
+            want.append(" ".join(words).replace("&lt;", "<").replace("&amp;", "&"))
+    return "<body>" + "".join(html), want
+
+
+def test_blocks_of_pages_whose_blocks_are_known():
+    rng = random.Random(4)
+    for _ in range(3000):
+        html, want = laid_out(rng)
+        assert [b[0] for b in pages.Blocks().read(html).found] == want, html
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>x</p><![ endif]--><p>y</p>", ["x", "y"]),
+        ("<p>a <!-- never closed <p>b", ["a"]),
+        ("<p>a<!-->b<!--->c", ["abc"]),
+        ("<p>a <b title='never closed>b</b>", ["a"]),
+        ("<p>a</p><p title=\"1 > 0\" x='<p>'>b", ["a", "b"]),
+        ("<svg><text>label</text></svg><math><![CDATA[a<b]]></math>", ["label", "a<b"]),
+        ("<p>a <video src=x>no video</video> b", ["a no video b"]),
+        ("<script>if (a < b) {}", []),
+        ("<ul><li>a<li>b<ul><li>c</ul>d</ul>", ["a", "b", "c", "d"]),
+    ],
+)
+def test_markup_as_browsers_read_it(html, want):
+    assert [b[0] for b in pages.Blocks().read(html).found] == want
 
 
 def test_odd_tables(spark):
