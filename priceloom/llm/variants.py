@@ -20,6 +20,8 @@ count again, other columns are not read. Words have four characters at least: ha
 gives an empty result.
 """
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,12 +152,12 @@ def dealt(words: DataFrame, exact: Column, most: int) -> DataFrame:
         out.append(stays.select(name(held).alias("bucket"), *carried, F.lit(False).alias("asks"), F.lit(True).alias("holds")))
         asking = stays.filter((F.col("exact") < after) & F.col("asked")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         out.append(asking.select(name(F.col("block")).alias("bucket"), *carried, F.lit(True).alias("asks"), F.lit(False).alias("holds")))
-        rest = deep.filter(F.col("size") >= 2 * after - 2).withColumn("asked", F.col("asked") & (F.col("exact") >= after)).drop("key")
+        # Written once, so that no level works out the levels before it again.
+        rest = stored(deep.filter(F.col("size") >= 2 * after - 2).withColumn("asked", F.col("asked") & (F.col("exact") >= after)).drop("key"))
+        mine.append(rest)
         k += 1
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    found.heavy = mine
+    found = reduce(DataFrame.unionByName, out)
+    found.used = mine
     return found
 
 
@@ -197,7 +199,7 @@ def near_words(words: DataFrame, most: int = MOST) -> DataFrame:
     found = rows.groupBy("backward", "bucket").applyInArrow(_search, "word string, n long, n_near long, form string, form_n long")
     best = F.min(F.when(F.col("form").isNotNull(), F.struct((-F.col("form_n")).alias("m"), "form")))
     one = stored(found.groupBy("word").agg(F.max("n").alias("n"), F.sum("n_near").alias("n_near"), best.alias("best")))
-    discard(*forward.heavy, *backward.heavy)
+    discard(*forward.used, *backward.used)
     return one.select("word", "n", "n_near", F.col("best.form").alias("form"), (-F.col("best.m")).alias("form_n"))
 
 
