@@ -196,6 +196,8 @@ def near_words(words: DataFrame, most: int = MOST) -> DataFrame:
     forward = dealt(own(F.col("word"), False), half, most)
     backward = dealt(own(F.reverse("word"), True), F.length("text") - half, most)
     rows = forward.unionByName(backward)
+    # Buckets are small in bytes and dear in work: as many partitions as there are buckets, which Spark does not put together.
+    rows = rows.repartition(max(1, -(-2 * words.count() // most)), "backward", "bucket")
     found = rows.groupBy("backward", "bucket").applyInArrow(_search, "word string, n long, n_near long, form string, form_n long")
     best = F.min(F.when(F.col("form").isNotNull(), F.struct((-F.col("form_n")).alias("m"), "form")))
     one = stored(found.groupBy("word").agg(F.max("n").alias("n"), F.sum("n_near").alias("n_near"), best.alias("best")))
