@@ -244,12 +244,16 @@ def fan_series(name: Column) -> Column:
     return distinct(*bases, *full)
 
 
-def article(name: Column) -> Column:
-    """The first article: in parentheses, else any word of eight characters and more with a digit; sockets are none."""
+def articles(name: Column) -> Column:
+    """Articles: in parentheses, or any word of eight characters and more with a digit; sockets are none."""
     inner = F.flatten(F.transform(found(name, r"\(([^)]+)\)"), lambda p: F.concat(F.array(p), F.split(p, r"[\s,;/|]+"))))
     tokens = F.transform(F.concat(inner, found(name, r"([a-z0-9][a-z0-9\-._/]{7,})")), lambda t: F.upper(F.trim(t)))
     fits = lambda t: t.rlike(r"^[A-Z0-9][A-Z0-9\-._/#]{7,}$") & t.rlike("[0-9]") & ~t.rlike("^(?:SOCKET|SOC|LGA|AM[0-9]|S?TR[0-9X])")
-    return F.get(F.filter(tokens, fits), F.lit(0))
+    return F.filter(tokens, fits)
+
+
+def article(name: Column) -> Column:
+    return F.get(articles(name), F.lit(0))
 
 
 def numeric_models(name: Column) -> Column:

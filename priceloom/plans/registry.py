@@ -19,6 +19,7 @@ from priceloom.operators import matcher
 from priceloom.operators import matching as N
 from priceloom.operators import paging as P
 from priceloom.operators import review as R
+from priceloom.operators import similarity as Q
 from priceloom.operators import snapshots as S
 from priceloom.sources.tables import CATALOG, OFFERS, catalog, market_positions, offers, table
 from priceloom.streaming import events as V
@@ -479,14 +480,14 @@ def catalog_candidates(spark, sf_dir):
 
 @query(f"{_WHOLE} SELECT product_name, product_id, overlap, rank FROM top WHERE rank <= 5")
 def catalog_top_candidates(spark, sf_dir):
-    return N.top_candidates(_catalog_pairs(spark, sf_dir), F.col("overlap")).select("product_name", "product_id", "overlap", "rank")
+    return Q.best_overlaps(offers(spark, sf_dir), catalog(spark, sf_dir)).select("product_name", "product_id", "overlap", "rank")
 
 
 @query(f"""{_WHOLE}, g AS (SELECT product_name, max(overlap) AS top, max(overlap) FILTER (rank = 2) AS second, bool_or(rank = 1 AND lower(name) = lower(product_name)) AS exact FROM top WHERE rank <= 5 GROUP BY 1),
 h AS (SELECT product_name, top, second, exact, round(greatest(0, top - coalesce(second, 0)), 3) AS lead FROM g)
 SELECT product_name, top, lead, CASE WHEN exact THEN 'exact' WHEN second IS NOT NULL AND top >= 0.84 AND lead <= 0.015 THEN 'ambiguous' ELSE 'possible' END AS tier FROM h""")
 def catalog_candidate_tiers(spark, sf_dir):
-    return _tiers(_catalog_pairs(spark, sf_dir))
+    return _tiers(Q.best_overlaps(offers(spark, sf_dir), catalog(spark, sf_dir)))
 
 
 @query()
