@@ -1,6 +1,6 @@
 import pytest
 
-from priceloom.plans import more, registry, search  # noqa: F401
+from priceloom.plans import families, more, registry, search  # noqa: F401
 from tests.conftest import SF
 
 
