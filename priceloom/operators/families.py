@@ -167,12 +167,15 @@ def _ranked(pairs: DataFrame, score: Column, pool: DataFrame | None, most: int,
         pairs = pairs.withColumn("given", F.lit(None).cast("double"))
     begun = F.greatest(F.lit(FOUND), F.coalesce("given", F.lit(FLOOR)))
     scored = pairs.withColumn("score", begun).withColumn("score", F.round(F.least(F.lit(CEILING), F.greatest(F.lit(0.0), score)), 3))
-    scored = scored.withColumn("narrow", F.lit(False) if narrowed is None else narrowed)
+    # Written, so that the long expressions of a score are in the plan once.
+    scored = stored(scored.select("product_name", "product_id", "name", "score", (F.lit(False) if narrowed is None else narrowed).alias("narrow")))
     one = scored.groupBy("product_name", "product_id").agg(F.max_by(F.struct("name", "score", "narrow"), F.struct("score", "name")).alias("best"))
     rows = one.select("product_name", "product_id", "best.*")
     rows = rows.withColumn("any", F.max("narrow").over(Window.partitionBy("product_name"))).filter(F.col("narrow") | ~F.col("any"))
     order = Window.partitionBy("product_name").orderBy(F.desc("score"), F.lower("name"), "product_id")
-    return stored(rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("product_name", "product_id", "name", "score", "rank"))
+    out = stored(rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("product_name", "product_id", "name", "score", "rank"))
+    discard(scored)
+    return out
 
 
 def monitor_candidates(names: DataFrame, items: DataFrame, most: int = 5, pool: DataFrame | None = None, infer: Callable[[Column], Column] = rules.category) -> DataFrame:
