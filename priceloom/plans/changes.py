@@ -1,11 +1,15 @@
 """Queries on decisions kept as versions, on batches of files and on nested payloads."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
 from priceloom.operators import ledger as L
 from priceloom.plans.registry import _KEY, query
-from priceloom.sources.tables import offers, stored, table
+from priceloom.sources import batch as B
+from priceloom.sources import nested as V
+from priceloom.sources.tables import offers, shared_folder, stored, table
 
 # Decisions
 
@@ -62,3 +66,56 @@ def ledger_undo(spark, sf_dir):
     items, log, _, second = _two_batches(spark, sf_dir)
     both = stored(log.unionByName(L.log_rows(second, 2)))
     return L.state(items, both.unionByName(L.undo_last(both, 3)))
+
+
+# Files
+
+_NUMBERED = """, numbered AS (SELECT split_part(supplier_code, '-', 2)::BIGINT % 3 AS kind, pos AS n, * EXCLUDE (pos) FROM offers WHERE price > 0)"""
+
+
+@query(f"""{_NUMBERED} SELECT CASE kind WHEN 0 THEN 'Tradex' WHEN 1 THEN 'TGPC' ELSE 'Mine' END AS supplier, kind <> 1 AS coded, product_name, round(price, 2) AS price, CASE WHEN kind = 0 THEN warranty END AS warranty,
+  CASE WHEN kind = 1 THEN product_id END AS product_id, CASE WHEN kind = 2 THEN round(rrp, 2) END AS rrp, count(*) AS n FROM numbered GROUP BY ALL""")
+def batch_of_files(spark, sf_dir):
+    """The offers as CSV files of three kinds, under headings of their own, loaded as one batch."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = offers(spark, sf_dir).filter("price > 0").withColumn("code", F.concat(F.lit("c"), F.monotonically_increasing_id()))
+    kind = F.col("pos.l_suppkey") % 3
+    kinds = {
+        "tradex": {"Код": "code", "Наименование": "product_name", "Цена": F.round("price", 2).cast("decimal(18,2)"), "Гарантия": "warranty"},
+        "price_bn": {"name": "product_name", "price": F.round("price", 2).cast("decimal(18,2)"), "id": F.concat("product_id", F.lit(".0"))},
+        "others": {"sku": "code", "товар": "product_name", "Цена с НДС": F.round("price", 2).cast("decimal(18,2)"), "РРЦ": F.round("rrp", 2).cast("decimal(18,2)")},
+    }
+    for k, (name, columns) in enumerate(kinds.items()):
+        rows.filter(kind == k).select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]).write.csv(f"{folder}/in/{name}", header=True)
+    B.load_batch(spark, f"{folder}/in/*", f"{folder}/table", [("others", "Mine")])
+    coded = (F.coalesce("supplier_code", F.lit("")) != "").alias("coded")
+    return B.current(spark, f"{folder}/table").groupBy("supplier", coded, "product_name", "price", "warranty", "product_id", "rrp").agg(F.count("*").alias("n"))
+
+
+# Payloads
+
+def _any_form(rows):
+    """The offers of a product as a market might give them: by kind, as one list, or deep within other things."""
+    rows = rows.filter("product_id IS NOT NULL")
+    price = F.struct(F.round("price", 2).cast("decimal(18,2)").cast("string").alias("amount"))
+    shop = F.col("pos.l_suppkey").cast("string")
+    rows = rows.withColumns({"entry": F.struct(shop.alias("shop_id"), price.alias("position_price")), "whole": F.struct(F.struct(shop.alias("id"), F.col("supplier").alias("title")).alias("shop"), F.struct(price.alias("BYN")).alias("x"), price.alias("price"))})
+    shops = F.map_from_entries(F.collect_set(F.struct(shop, F.struct(F.col("supplier").alias("title")))))
+    found = rows.groupBy("product_id").agg(F.collect_list("entry").alias("entries"), F.collect_list("whole").alias("wholes"), shops.alias("shops"))
+    by_kind = F.to_json(F.struct(F.create_map(F.lit("main"), F.col("entries")).alias("positions"), "shops"))
+    one_list = F.to_json(F.struct(F.col("entries").alias("positions"), "shops"))
+    deep = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("wholes").alias("rows"))).alias("blocks")).alias("data")))
+    k = F.col("product_id").cast("long") % 3
+    return found.select("product_id", F.when(k == 0, by_kind).when(k == 1, one_list).otherwise(deep).alias("payload"))
+
+
+@query("SELECT DISTINCT product_id, split_part(supplier_code, '-', 2) AS seller_id, supplier AS seller, round(price, 2) AS price FROM offers WHERE product_id IS NOT NULL AND price > 0")
+def nested_offers(rows):
+    """Three forms of payloads give the same offers."""
+    return V.nested_offers(_any_form(rows)).select("product_id", "seller_id", "seller", "price")
+
+
+@query("SELECT product_id, count(*) AS n, round(min(price), 2) AS low, round(max(price), 2) AS high FROM offers WHERE product_id IS NOT NULL AND price > 0 AND product_id::BIGINT % 3 < 2 GROUP BY product_id")
+def amounts_at_any_depth(rows):
+    """All amounts of a position's price; the third form has none of that key."""
+    return V.amounts(_any_form(rows)).groupBy("product_id").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))

@@ -110,3 +110,18 @@ def renamed(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def by_file_name(name: Column, rules: list[tuple[str, str]]) -> Column:
     """The supplier of the first rule (part of the name, supplier) that the file name fulfils."""
     return F.coalesce(*[F.when(F.lower(name).contains(part.lower()), supplier) for part, supplier in rules], F.lit(None).cast("string"))
+
+
+# What a file's name and folder say of its supplier, first that fits; and how suppliers that rules name are spelled.
+FILE_RULES = (
+    ("n-?_?tech", "N-Tech"), ("iven[-_ ]*zakaz", "IVEN_zakaz"), ("iven", "IVEN"), ("tradex", "Tradex"), ("1030z", "BN-1030Z"), ("1030", "BN-1030"), ("1374", "BN-1374"), ("price_bn", "TGPC"),
+)
+SPELLINGS = {"ntech": "N-Tech", "ivenzakaz": "IVEN_zakaz", "iven": "IVEN"}
+
+
+def supplier_of_file(path: Column, rules: list[tuple[str, str]] = ()) -> Column:
+    """The supplier that a path's last two parts (folder and file) tell: by the caller's rules (part of the name, supplier), then by FILE_RULES; null if nothing tells."""
+    name = F.lower(F.regexp_extract(path, "([^/]*/?[^/]+)$", 1))
+    spelled = lambda s: SPELLINGS.get(s.lower().replace("-", "").replace("_", "").replace(" ", ""), s)
+    given = [F.when(name.contains(part.strip().lower()), spelled(supplier.strip())) for part, supplier in rules if part.strip() and supplier.strip()]
+    return F.coalesce(*given, *[F.when(name.rlike(pattern), supplier) for pattern, supplier in FILE_RULES], F.lit(None).cast("string"))

@@ -141,16 +141,20 @@ SNAPSHOT = ("product_id", "product_name", "price", "supplier", "warranty", "days
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows given as arrays of cells under "data"; short rows are padded with nulls."""
-    rows = spark.read.schema("data array<array<string>>").json(path, multiLine=True).select(F.explode("data").alias("r"))
+    """Rows given as arrays of cells: under "data" of one JSON object, or as JSON lines, as write_snapshot writes them; short rows are padded with nulls, blank numbers are null."""
+    first = spark.read.text(path).limit(1).collect()
+    if first and first[0].value.lstrip().startswith("["):
+        rows = spark.read.text(path).select(F.from_json("value", "array<string>").alias("r")).filter("r IS NOT NULL")
+    else:
+        rows = spark.read.schema("data array<array<string>>").json(path, multiLine=True).select(F.explode("data").alias("r"))
     cell = lambda k: F.get("r", F.lit(k))
     kinds = {"price": "double", "rrp": "double", "no_discount": "double", "row_idx": "int"}
     return rows.select(*[(cell(k).try_cast(kinds[n]) if n in kinds else cell(k)).alias(n) for k, n in enumerate(SNAPSHOT)])
 
 
 def write_snapshot(offers: DataFrame, path: str) -> None:
-    """One array of cells a row, as JSON lines; not-a-number and null are empty, numbers have two digits."""
-    number = lambda c: F.when(F.isnan(c) | c.isNull(), "").otherwise(F.round(c, 2).cast("string"))
+    """One array of cells a row, as JSON lines; null, not-a-number and infinite numbers are empty, numbers have two digits."""
+    number = lambda c: F.when(F.isnan(c) | c.isNull() | (F.abs(c) == float("inf")), "").otherwise(F.round(c, 2).cast("string"))
     cell = lambda n, kind: number(F.col(n)) if kind == "double" else F.coalesce(F.col(n).cast("string"), F.lit(""))
     kinds = dict(offers.dtypes)
     offers.select(F.to_json(F.array(*[cell(n, kinds[n]) if n in kinds else F.lit("") for n in SNAPSHOT])).alias("value")).write.mode("overwrite").text(path)
