@@ -10,6 +10,7 @@ from priceloom.plans.registry import _KEY, query
 from priceloom.sources import batch as B
 from priceloom.sources import nested as V
 from priceloom.sources.tables import offers, shared_folder, stored, table
+from priceloom.streaming import freshness as Y
 
 # Decisions
 
@@ -119,3 +120,15 @@ def nested_offers(rows):
 def amounts_at_any_depth(rows):
     """All amounts of a position's price; the third form has none of that key."""
     return V.amounts(_any_form(rows)).groupBy("product_id").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
+
+
+# Streams
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 6 hours")
+def stream_freshness(spark, sf_dir):
+    """The users' last events that are still fresh, by a stream over the table with a state and a timer for each user."""
+    path, folder = f"{sf_dir}/events.parquet", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    Y.run(spark, events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("place"), "value"), 6 * 3600, f"{folder}/given", f"{folder}/checkpoint", "0 seconds")
+    last = Y.standing(spark.read.parquet(f"{folder}/given")).filter("fresh")
+    return last.select(F.col("key").cast("long").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
