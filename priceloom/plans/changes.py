@@ -128,7 +128,8 @@ def amounts_at_any_depth(rows):
 def stream_freshness(spark, sf_dir):
     """The users' last events that are still fresh, by a stream over the table with a state and a timer for each user."""
     path, folder = f"{sf_dir}/events.parquet", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # A pattern: streams take no path of a single file.
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
     Y.run(spark, events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("place"), "value"), 6 * 3600, f"{folder}/given", f"{folder}/checkpoint", "0 seconds")
     last = Y.standing(spark.read.parquet(f"{folder}/given")).filter("fresh")
     return last.select(F.col("key").cast("long").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
