@@ -4,9 +4,10 @@ A word that the model knows scores its log frequency in each language. An unseen
 character n-grams that are known, falling back from LONGEST characters to one; each step down costs BACKOFF. A document
 goes to the language with the largest sum; score is that language's share when each word counts with weight SHARPEN.
 
-The model is learned from the labelled rows that `training` names: the MOST_ROWS rows per language with the smallest
-hash of their text (a bounded sample; the only one here). Spark counts the words; the WORDS most frequent ones per language and all the n-grams of at
-most GRAMS are kept, so the model has a bounded size and goes to the tasks with the code.
+The model is learned from the labelled rows that `training` names: about MOST_ROWS distinct texts a language, those with the
+smallest hashes (a bounded sample; the only one here). Spark counts their words, and from these all n-grams; all of them are
+kept. A key has a score only in the languages in which it was seen and shares that of unseen keys in the others, so the model
+grows with what the sample holds and not with keys times languages. It is brought to the driver as Arrow and goes to the tasks.
 
 known is the mean over the words of how much the model knows of each: all of a known word, else the share of its letters
 within known n-grams of KNOWN or more characters. A letter of a script without spaces between words counts if any of its
@@ -21,13 +22,13 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.llm import words as W
 from priceloom.llm.shared import table
 
-MOST_ROWS, WORDS, GRAMS, LONGEST = 4000, 20_000, 20_000, 4
+MOST_ROWS, LONGEST = 4000, 4
 BACKOFF, SMOOTH, SHARPEN = 0.4, 0.5, 0.25
 UNKNOWN = "und"
 #: The least length of an n-gram that shows a word to be of a learned language, and the least share for a document to be.
@@ -52,22 +53,54 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+class Table:
+    """Scores of keys by language. Row k has `more` than `base` in the languages lang[starts[k] : starts[k + 1]]; a last row has none."""
+
+    def __init__(self, starts: np.ndarray, lang: np.ndarray, more: np.ndarray, base: np.ndarray):
+        self.starts, self.lang, self.more, self.base = np.append(starts, starts[-1]), lang, more, base
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        """The scores of the rows in all languages."""
+        counts = self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(counts)
+        flat = np.repeat(self.starts[rows] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+        out = np.tile(self.base, (len(rows), 1))
+        out[np.repeat(np.arange(len(rows)), counts), self.lang[flat]] += self.more[flat]
+        return out
+
+
+def counted_table(starts: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int) -> Table:
+    """Smoothed log frequencies from how often each key was seen in each language."""
+    keys = len(starts) - 1
+    total = np.bincount(lang, n, languages) + SMOOTH * (keys + 1)
+    base = np.log(SMOOTH / total)
+    return Table(starts, lang, np.log((n + SMOOTH) / total[lang]) - base[lang], base)
+
+
+def _prints(words: pa.Array) -> np.ndarray:
+    """A 64-bit fingerprint of each word."""
+    data, offsets = W.utf8(words)
+    return W.fingerprints(W.Words(data, offsets, offsets[:-1], offsets[1:], offsets), fold=False) if len(words) else np.zeros(0, W.U64)
+
+
 class Model:
-    """words and grams: the score in each language of each key."""
+    """words and grams: the keys, and the table of their scores."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, languages: list[str], words: tuple[pa.Array, Table], grams: tuple[pa.Array, Table]):
         self.languages = languages
-        self.words = pa.array(list(words), pa.string())
-        self.word_scores = np.array([*words.values(), np.zeros(len(languages))])
-        self.gram_scores = np.array([*grams.values(), np.zeros(len(languages))])
+        prints = _prints(words[0])
+        order = np.argsort(prints)
+        self.prints, self.rows, self.word_scores, self.gram_scores = prints[order], order, words[1], grams[1]
         self.floor = np.full(len(languages), log(1e-7))
         #: By length, the hashes of the n-grams in order and the row of each.
         self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        length = pc.utf8_length(grams[0]).to_numpy(zero_copy_only=False)
         for n in range(1, LONGEST + 1):
-            own = [(k, g) for k, g in enumerate(grams) if len(g) == n]
-            hashes = np.array([_hashed(_codes(g))[n - 1][0] for _, g in own], W.U64)
+            own = np.flatnonzero(length == n)
+            codes = _codes("".join(grams[0].take(pa.array(own)).to_pylist())).reshape(-1, n)
+            hashes = _hashed(codes.ravel())[n - 1][::n] if len(own) else np.zeros(0, W.U64)
             order = np.argsort(hashes)
-            self.by_length.append((hashes[order], np.array([k for k, _ in own], np.int64)[order]))
+            self.by_length.append((hashes[order], own[order]))
 
     def _longest(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """At each place the length and row of the longest known n-gram that ends no later than `end`; length 0 for none."""
@@ -96,7 +129,7 @@ class Model:
             p = at[live]
             n = length[p]
             hit = n > 0
-            total[live[hit]] += self.gram_scores[row[p[hit]]] + ((LONGEST - n[hit]) * log(BACKOFF))[:, None]
+            total[live[hit]] += self.gram_scores.dense(row[p[hit]]) + ((LONGEST - n[hit]) * log(BACKOFF))[:, None]
             steps[live[hit]] += 1
             long = n >= KNOWN
             wide[p[long]] += 1
@@ -113,40 +146,45 @@ class Model:
 
     def score(self, words: pa.Array) -> np.ndarray:
         """Of each distinct word the score in each language, and how much of it is known."""
-        known = pc.index_in(words, value_set=self.words)
-        at = pc.fill_null(known, len(self.words)).to_numpy(zero_copy_only=False)
-        out = np.column_stack([self.word_scores[at], np.ones(len(words))])
-        rest = np.flatnonzero(at == len(self.words))
+        prints = _prints(words)
+        found = np.minimum(np.searchsorted(self.prints, prints), max(0, len(self.prints) - 1))
+        known = self.prints[found] == prints if len(self.prints) else np.zeros(len(words), bool)
+        out = np.column_stack([np.zeros((len(words), len(self.languages))), np.ones(len(words))])
+        out[known, :-1] = self.word_scores.dense(self.rows[found[known]]) if known.any() else 0
+        rest = np.flatnonzero(~known)
         if len(rest):
             out[rest] = self.unseen(words.take(pa.array(rest)))
         return out
 
 
-def _logs(rows: list, languages: list[str]) -> dict[str, np.ndarray]:
-    place = {name: k for k, name in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for row in rows:
-        counts.setdefault(row.key, np.zeros(len(languages)))[place[row.lang]] = row.n
-    total = sum(counts.values(), np.zeros(len(languages)))
-    return {key: np.log((n + SMOOTH) / (total + SMOOTH * (len(counts) + 1))) for key, n in counts.items()}
+def _collected(counts: DataFrame, languages: list[str]) -> tuple[pa.Array, Table]:
+    """The keys of counts (key, lang, n) and their table."""
+    rows = counts.groupBy("key").agg(F.collect_list(F.struct("lang", "n")).alias("found")).toArrow().sort_by("key").combine_chunks()
+    found = rows.column("found").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.struct({"lang": pa.string(), "n": pa.int64()})))
+    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+    lang = pc.index_in(found.flatten().field("lang"), value_set=pa.array(languages, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = found.offsets.to_numpy().astype(np.int64)
+    keys = rows.column("key").combine_chunks() if rows.num_rows else pa.array([], pa.string())
+    keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
+    return keys, counted_table(starts - starts[0], lang, found.flatten().field("n").to_numpy(zero_copy_only=False).astype(float), len(languages))
 
 
 def learn(labelled: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """labelled: text and lang; rows without either are left out."""
+    """labelled: text and lang; rows without either are left out, and copies of a text count once."""
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h"))
-    # The threshold comes from the counts; evenly hashed rows then keep about most_rows of each language.
-    share = rows.groupBy("lang").count().select(F.col("lang").alias("own"), F.least(F.lit(1.0), F.lit(most_rows) / F.col("count")).alias("share"))
-    sample = rows.join(F.broadcast(share), F.col("lang") == F.col("own")).filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    # The threshold comes from how many texts there are; evenly hashed ones then keep about most_rows of each language.
+    share = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select(F.col("lang").alias("own"), F.least(F.lit(1.0), F.lit(most_rows) / F.col("n")).alias("share"))
+    near = rows.join(share, F.col("lang") == F.col("own")).filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    sample = near.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({LETTER})"))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
     words = words.persist()
     padded = F.concat(F.lit(" "), F.col("key"), F.lit(" "))
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))))
     grams = words.select("lang", "n", F.explode(pieces).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    top = lambda rows, k: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).filter(F.col("rank") <= k).drop("rank").collect()
-    word_rows, gram_rows = top(words, WORDS), top(grams, GRAMS)  # bounded by the number of languages
+    languages = sorted(r.lang for r in words.select("lang").distinct().collect())  # a name for each language
+    found = [_collected(counts, languages) for counts in (words, grams)]
     words.unpersist()
-    languages = sorted({r.lang for r in word_rows})
-    return Model(languages, _logs(word_rows, languages), _logs(gram_rows, languages))
+    return Model(languages, *found)
 
 
 def _judge(model: Model, texts: pa.Array) -> tuple[list, list, list]:
@@ -175,7 +213,7 @@ def _judge(model: Model, texts: pa.Array) -> tuple[list, list, list]:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs in a struct `row`, with lang_pred, score and known."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def judge(batches):
         with_text = (pa.RecordBatch.from_arrays([b.column("row"), b.column("row").field("text")], ["row", "text"]) for b in batches)
@@ -190,12 +228,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(judge, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, known double")
 
 
+def _fold(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
 def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(_fold(doc_id) == 0, F.lit(False))
+
+
+def learnt(doc_id: Column) -> Column:
+    """Whether the model may learn from a document; a null id is in no fold, so neither held out nor learnt."""
+    return F.coalesce(_fold(doc_id) != 0, F.lit(False))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = learn(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
+    model = learn(docs.filter(learnt(F.col("doc_id"))).select("text", "lang"))
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")

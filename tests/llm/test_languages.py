@@ -6,6 +6,7 @@ from math import exp, log
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from priceloom.llm import languages as L
 from tests.conftest import SF
@@ -50,7 +51,13 @@ def small():
                     grams.setdefault(padded[i : i + n], [-9.0, -9.0, -9.0])[k] = -rng.random() * 4
     import numpy as np
 
-    return L.Model(list(syllables), {w: np.array(s) for w, s in words.items()}, {g: np.array(s) for g, s in grams.items()}), words, grams
+    def table(scores):
+        """A table that says every score, so that nothing rests on the shared one."""
+        n = len(syllables)
+        rows = np.array(list(scores.values()))
+        return pa.array(list(scores)), L.Table(np.arange(len(rows) + 1) * n, np.tile(np.arange(n), len(rows)), rows.ravel(), np.zeros(n))
+
+    return L.Model(list(syllables), table(words), table(grams)), words, grams
 
 
 def test_scores_are_those_of_the_plain_version(small):
@@ -73,3 +80,26 @@ def test_odd_tables_have_defined_results(spark):
     got = L.identify(docs, model).collect()
     assert sorted(r.lang_pred == "und" for r in got) == [False, False, True, True, True] and len({(r.lang_pred, r.score) for r in got if r.row.doc_id == 2}) == 1
     assert [r.row.lang_pred for r in got] == ["x"] * 5 and L.identify(docs.limit(0), model).collect() == []
+
+
+def test_tables_are_smoothed_frequencies():
+    import numpy as np
+
+    counts = [{0: 3, 2: 1}, {1: 5}, {}, {0: 1}]
+    lang, n = [k for c in counts for k in c], [float(x) for c in counts for x in c.values()]
+    table = L.counted_table(np.cumsum([0, *map(len, counts)]), np.array(lang), np.array(n), 3)
+    total = [4, 5, 1]
+    want = [[log((c.get(k, 0) + L.SMOOTH) / (total[k] + L.SMOOTH * 5)) for k in range(3)] for c in counts]
+    assert table.dense(np.array([3, 0, 1, 2, 0])) == pytest.approx(np.array([want[k] for k in (3, 0, 1, 2, 0)]))
+
+
+def test_copies_and_other_languages(spark):
+    """Two hundred thousand copies of one labelled text teach it once, beside few others; rows without an id teach nothing."""
+    copies = spark.range(200_000).selectExpr("'only this text, again and again' AS text", "'en' AS lang")
+    others = spark.createDataFrame([(f"noch ein text {k} mehr", "de") for k in range(50)] + [("again", "en"), (None, "fr"), ("rien", None)], "text string, lang string")
+    model = L.learn(copies.unionAll(others), 100)
+    assert model.languages == ["de", "en"]
+    docs = spark.createDataFrame([(1, "this text again"), (2, "noch mehr")], "doc_id long, text string")
+    assert {r.row.doc_id: r.lang_pred for r in L.identify(docs, model).collect()} == {1: "en", 2: "de"}
+    ids = spark.createDataFrame([(None,), (1,), (4,)], "doc_id long").select(L.held_out(F.col("doc_id")), L.learnt(F.col("doc_id"))).collect()
+    assert tuple(ids[0]) == (False, False) and all(a != b for a, b in ids[1:])
