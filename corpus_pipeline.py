@@ -23,7 +23,7 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Without a labelled document nothing can be known, and nothing stays.
     """
-    model = languages.learn(docs.filter(~languages.held_out(docs["doc_id"])).select("text", "lang"))
+    model = languages.learn(docs.filter(languages.learnt(docs["doc_id"])).select("text", "lang"))
     found = languages.identify(docs, model).filter((F.col("lang_pred") != languages.UNKNOWN) & (F.col("known") >= languages.LEAST_KNOWN) & (F.col("score") >= LEAST_SCORE))
     return (found if WANTED is None else found.filter(F.col("lang_pred").isin(*WANTED))).select("row.*")
 
