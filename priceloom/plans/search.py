@@ -1,16 +1,19 @@
 """Queries on search, candidates and key sets, registered beside those of `registry`."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from priceloom.functions import scores as S
 from priceloom.functions import text as X
 from priceloom.operators import categories as G
 from priceloom.operators import ids as I
+from priceloom.operators import index as K
 from priceloom.operators import postings as O
 from priceloom.operators import similarity as J
 from priceloom.plans.more import _swapped
-from priceloom.plans.registry import _KEY, _TOKENS, query
-from priceloom.sources.tables import catalog, offers, table
+from priceloom.plans.registry import _KEY, _TOKENS, QUERIES, SQL, query
+from priceloom.sources.tables import catalog, offers, shared_folder, table
 
 # Substrings
 
@@ -47,6 +50,18 @@ def substring_join(spark, sf_dir):
     return O.names_with(needles, O.trigram_index(items, 3), 3)
 
 
+# A kept index
+
+def fts_index_bm25(spark, sf_dir):
+    """The search of fts_or_bm25 in an index of the catalog that is written first."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    K.write_index(catalog(spark, sf_dir), folder)
+    return K.search(spark, folder, ["Wid", "small"])
+
+
+QUERIES["fts_index_bm25"], SQL["fts_index_bm25"] = fts_index_bm25, SQL["fts_or_bm25"]
+
+
 # Sets of words
 
 _LIKE = f""", a AS (SELECT product_name, {_TOKENS.format('product_name', 2)} AS a FROM asked), b AS (SELECT product_id, name, {_TOKENS.format('name', 2)} AS b FROM coded),
