@@ -121,7 +121,7 @@ def resolve(items: DataFrame, catalog: DataFrame, rejections: DataFrame, most: i
     hit = names.join(exact, "name_key").select("product_name", F.col("found_id").alias("product_id"), F.lit(1.0).alias("score"), F.lit("exact_name").alias("reason"), F.lit(True).alias("exact"))
     rest = names.join(exact, "name_key", "left_anti").select("product_name")
     pairs = N.token_candidates(rest, catalog).select("product_name", "product_id", "name")
-    judged = matcher.match_names(pairs.select("product_name", "name").distinct()).filter(F.col("score") >= least)
+    judged = matcher.match_names(pairs.select("product_name", "name").distinct(), least)
     scored = pairs.join(judged, ["product_name", "name"]).select("product_name", "product_id", "score", "reason", F.lit(False).alias("exact"))
     found = hit.unionByName(N.top_candidates(scored, F.col("score"), most).drop("rank"))
     gone = rejections.select(F.lower("supplier").alias("low"), "name_key", "product_id", F.lit(True).alias("no")).distinct()

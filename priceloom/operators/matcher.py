@@ -2,7 +2,8 @@
 
 Names are described once each (identity codes, models, sizes, colours, packs, kind and brand) in a written table, pairs are
 joined with both descriptions, and the rules compare arrays. Only pairs that no rule decides reach the likeness of texts, which Spark lacks; it
-runs as a pandas UDF over their distinct texts.
+runs as a pandas UDF over their distinct texts. Where only scores from `least` on are asked for, a bound from how often the
+characters occur in both texts is worked out first, without Python, and pairs that can't reach it go no further.
 """
 
 from difflib import SequenceMatcher
@@ -14,21 +15,33 @@ from pyspark.sql.types import DoubleType
 
 from priceloom.functions import models as D
 from priceloom.functions import text as X
-from priceloom.sources.tables import stored
+from priceloom.sources.tables import discard, stored
 
 DESCRIBED = {
     "strict": D.strict_articles, "variants": D.variants, "numeric": D.numeric_codes, "modifiers": D.modifiers, "connections": D.connections, "kind": D.kind, "pc": D.pc_code, "gpu": D.gpu,
     "board": D.board, "pack": D.fan_pack, "series": D.fan_series, "article": D.article, "numbers": D.numeric_models, "apple": D.apple_articles, "likes": D.article_likes, "paren": D.paren_models,
     "hints": D.model_hints, "sizes": X.capacity_tokens, "colours": D.colours, "important": D.important_tokens, "brand": D.brand, "text": D.match_text,
 }
+#: Characters of ordered words and of a name's text that are compared, and groups of characters that are counted for the bound.
+ORDERED, TEXT, GROUPS = 300, 260, 64
 #: Reasons that rest on an identity of the product.
 STRONG = ("article", "article_like", "apple_article", "strict_article", "paren_model", "motherboard_model", "tgpc_code_exact")
 
 
+def letters(text: Column) -> Column:
+    """How many characters of each of GROUPS groups a text has."""
+    groups = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.pmod(F.xxhash64(c), F.lit(GROUPS)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda k: F.size(F.filter(groups, lambda g: g == k)))
+
+
 def described(names: DataFrame) -> DataFrame:
     """The distinct names (one column) with what each says, as a written table: both sides of all pairs read it."""
     own = names.toDF("own").distinct()
-    return stored(own.select("own", *[of(F.col("own")).alias(what) for what, of in DESCRIBED.items()], D.name_tokens(D.match_text(F.col("own"))).alias("tokens")))
+    rows = own.select("own", *[of(F.col("own")).alias(what) for what, of in DESCRIBED.items()], D.name_tokens(D.match_text(F.col("own"))).alias("tokens"))
+    rows = stored(rows.withColumns({"ordered": F.substring(F.array_join(F.array_sort("tokens"), " "), 1, ORDERED), "begin": F.substring("text", 1, TEXT)}))
+    out = stored(rows.withColumns({"ordered_letters": letters(F.col("ordered")), "begin_letters": letters(F.col("begin"))}))
+    discard(rows)
+    return out
 
 
 def _some(x: Column) -> Column:
@@ -137,8 +150,28 @@ def decided(a, b) -> Column:
 
 @F.pandas_udf(DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How much of both texts SequenceMatcher finds in common; the order of the arguments matters."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """How much of both texts SequenceMatcher finds in common; the order of the arguments matters. Equal pairs of a batch are compared once."""
+    known = {}
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            x, y = pair[0] or "", pair[1] or ""
+            known[pair] = 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
+    return pd.Series([known[pair] for pair in zip(a, b, strict=True)])
+
+
+def most_alike(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """No less than the likeness of two texts a and b with the letters x and y: what they have in common can't be more than the characters that both have."""
+    common = F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda s, n: s + n)
+    size = F.length(a) + F.length(b)
+    return F.when(F.coalesce(size, F.lit(0)) == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * common / size))
+
+
+def reachable(rows: DataFrame, a, b, least: float) -> DataFrame:
+    """The pairs that no rule decides whose score may be `least` or more: a larger likeness never lowers a score."""
+    bounds = {"by_tokens": most_alike(a("ordered"), b("ordered"), a("ordered_letters"), b("ordered_letters")), "by_text": most_alike(a("begin"), b("begin"), a("begin_letters"), b("begin_letters"))}
+    by_tokens = F.when(_some(a("tokens")) & _some(b("tokens")), F.col("by_tokens")).otherwise(0.0)
+    most = blended(rows.withColumns(bounds), a, b, by_tokens, F.col("by_text"))
+    return most.filter(F.col("verdict.score") >= least).select(*rows.columns)
 
 
 def blended(rows: DataFrame, a, b, by_tokens: Column, by_text: Column) -> DataFrame:
@@ -171,8 +204,8 @@ def blended(rows: DataFrame, a, b, by_tokens: Column, by_text: Column) -> DataFr
     return rows.withColumn("verdict", F.struct(score.alias("score"), good.alias("match"), reason.alias("reason")))
 
 
-def match_names(pairs: DataFrame) -> DataFrame:
-    """pairs (product_name, name and any other columns) with score, match and reason.
+def match_names(pairs: DataFrame, least: float | None = None) -> DataFrame:
+    """pairs (product_name, name and any other columns) with score, match and reason; with `least` only those of that score or more.
 
     Blank and null names score 0. Both sides are described once for each distinct name; pairs are judged once for each
     distinct pair.
@@ -185,14 +218,18 @@ def match_names(pairs: DataFrame) -> DataFrame:
     for side, key in (("a", "product_name"), ("b", "name")):
         own = names.select(*[F.col(c).alias(f"{side}_{c}") for c in names.columns])
         both = both.join(own, F.col(key).eqNullSafe(F.col(f"{side}_own"))).drop(f"{side}_own")
-    both = both.withColumn("verdict", decided(a, b))
+    both = stored(both.withColumn("verdict", decided(a, b)))
     open_ = both.filter("verdict IS NULL")
-    ordered = lambda side: F.substring(F.array_join(F.array_sort(side("tokens")), " "), 1, 300)
+    if least is not None:
+        open_ = stored(reachable(open_, a, b, least))
     by_tokens = F.when(_some(a("tokens")) & _some(b("tokens")), F.col("by_tokens")).otherwise(0.0)
-    likely = open_.withColumns({"by_tokens": likeness(ordered(a), ordered(b)), "by_text": likeness(F.substring(a("text"), 1, 260), F.substring(b("text"), 1, 260))})
+    likely = open_.withColumns({"by_tokens": likeness(a("ordered"), b("ordered")), "by_text": likeness(a("begin"), b("begin"))})
     blend = blended(likely, a, b, by_tokens, F.col("by_text")).select("product_name", "name", "verdict")
     judged = both.filter("verdict IS NOT NULL").select("product_name", "name", "verdict").unionByName(blend)
-    judged = judged.select(F.col("product_name").alias("_a"), F.col("name").alias("_b"), "verdict")
+    if least is not None:
+        judged = judged.filter(F.col("verdict.score") >= least)
+    judged = stored(judged.select(F.col("product_name").alias("_a"), F.col("name").alias("_b"), "verdict"))
+    discard(names, both, *[open_] * (least is not None))
     same = F.col("product_name").eqNullSafe(F.col("_a")) & F.col("name").eqNullSafe(F.col("_b"))
     return pairs.join(judged, same).select(*pairs.columns, "verdict.score", "verdict.match", "verdict.reason")
 

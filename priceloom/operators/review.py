@@ -85,7 +85,7 @@ def peripheral_candidates(names: DataFrame, items: DataFrame, least: float = 0.2
     """product_name, product_id, score, rank: of the items (product_id, name) that are peripherals by their names, those that share a token with a name and match it by `least` or more; an equal name scores 1, others 0.999 at most."""
     own = items.select("product_id", "name").distinct().filter(rules.category(F.col("name")).isin(*PERIPHERALS))
     pairs = matching.token_candidates(names, own).select("product_name", "product_id", "name")
-    judged = matcher.match_names(pairs.select("product_name", "name").distinct())
+    judged = matcher.match_names(pairs.select("product_name", "name").distinct(), least)
     score = F.when(X.name_key(F.col("product_name")) == X.name_key(F.col("name")), 1.0).otherwise(F.least(F.lit(0.999), F.col("score")))
     scored = pairs.join(judged, ["product_name", "name"]).withColumn("score", F.round(score, 3)).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("product_name").orderBy(F.desc("score"), F.lower("name"), "product_id"))
