@@ -174,7 +174,7 @@ def learn(labelled: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h"))
     # The threshold comes from how many texts there are; evenly hashed ones then keep about most_rows of each language.
     share = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select(F.col("lang").alias("own"), F.least(F.lit(1.0), F.lit(most_rows) / F.col("n")).alias("share"))
-    near = rows.join(share, F.col("lang") == F.col("own")).filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    near = rows.join(F.broadcast(share), F.col("lang") == F.col("own")).filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
     sample = near.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({LETTER})"))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
     words = words.persist()
