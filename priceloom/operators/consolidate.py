@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from priceloom.functions import text as X
 
 
-def row_key() -> Column:
-    """What tells a supplier's offers apart: the code, else the name."""
-    named = F.concat(F.lit("name:"), X.name_key(F.col("product_name")))
+def row_key(place: Column | None = None) -> Column:
+    """What tells a supplier's offers apart: the code, else the name, else the place in its list, if that is given."""
+    key = X.name_key(F.col("product_name"))
+    placed = F.concat(F.lit("row:"), place.cast("string")) if place is not None else F.lit("name:")
+    named = F.when(F.coalesce(key, F.lit("")) != "", F.concat(F.lit("name:"), key)).otherwise(placed)
     return F.when(F.coalesce(X.strip(F.col("supplier_code")), F.lit("")) != "", F.concat(F.lit("code:"), X.strip(F.col("supplier_code")))).otherwise(named)
 
 
@@ -69,9 +71,11 @@ def repeated_row_count(offers: DataFrame) -> DataFrame:
 def repeated_id_rows(offers: DataFrame, confirmed: DataFrame) -> DataFrame:
     """The rows of ids that stand for several names, less those confirmed by hand (product_id, name_key): with the number of names and the other names."""
     rows = offers.filter("product_id IS NOT NULL").withColumn("name_key", X.name_key(F.col("product_name"))).join(confirmed, ["product_id", "name_key"], "left_anti")
-    names = rows.groupBy("product_id").agg(F.collect_set("name_key").alias("names"), F.count("*").alias("n_rows")).filter("size(names) > 1")
-    others = F.array_join(F.slice(F.array_sort(F.array_remove("names", F.col("name_key"))), 1, 5), "; ")
-    return rows.join(names, "product_id").select("product_id", "supplier", "supplier_code", "product_name", F.size("names").alias("n_names"), "n_rows", others.alias("others"))
+    # Of an id's names only the first six are gathered: five others are shown beside any of them.
+    per_name = rows.groupBy("product_id", "name_key").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("product_id").orderBy("name_key")))
+    names = per_name.groupBy("product_id").agg(F.count("*").alias("n_names"), F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.when(F.col("k") <= 6, F.col("name_key")))).alias("names")).filter("n_names > 1")
+    others = F.array_join(F.slice(F.array_remove("names", F.col("name_key")), 1, 5), "; ")
+    return rows.join(names, "product_id").select("product_id", "supplier", "supplier_code", "product_name", F.col("n_names").cast("int").alias("n_names"), "n_rows", others.alias("others"))
 
 
 def drop_suppliers_of_repeated_ids(offers: DataFrame, suppliers: Column, by: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from priceloom.functions import pricing
 from priceloom.functions import text as X
-from priceloom.operators.consolidate import keep_lowest
+from priceloom.operators.consolidate import drop_suppliers_of_repeated_ids, keep_lowest
 
 NO_CATEGORY = "Без категории"
 
@@ -47,6 +47,25 @@ def export_rows(offers: DataFrame, rules: ExportRules) -> DataFrame:
     return keep_lowest(rows) if rules.keep_lowest else rows
 
 
+#: The options under which the counts of a page are taken; exports have those of ExportRules.
+COUNTED = ExportRules(include_without_id=False, keep_lowest=True)
+
+
+def export_chain(offers: DataFrame, rules: ExportRules, hidden: DataFrame | None = None, effective: Column | None = None, suppliers_once: tuple[str, ...] = (), pc_only: tuple[str, ...] = (), is_pc: Column | None = None) -> DataFrame:
+    """All steps of an export in their order: visibility (of the category stored and of the effective one), export_rows, offers of
+    the suppliers listed in suppliers_once whose ids stand for several names, then other products than computers of the suppliers in pc_only."""
+    rows = offers
+    if hidden is not None:
+        rows = visible(rows, hidden)
+        if effective is not None:
+            rows = visible(rows.withColumn("_stored", F.col("category")).withColumn("category", effective), hidden).withColumn("category", F.col("_stored")).drop("_stored")
+    rows = export_rows(rows, rules)
+    of = lambda names: F.coalesce(F.lower(X.strip(F.col("supplier"))).isin(*[n.strip().lower() for n in names]), F.lit(False))
+    if suppliers_once:
+        rows = drop_suppliers_of_repeated_ids(rows, of(suppliers_once), X.name_key(F.col("product_name")))
+    return only_matching_for(rows, of(pc_only), F.coalesce(is_pc, F.lit(False))) if pc_only else rows
+
+
 def visible(offers: DataFrame, hidden: DataFrame) -> DataFrame:
     """Without the offers whose category is listed in `hidden` (category), letter case aside."""
     lower = lambda c: F.lower(X.strip(c))
@@ -89,3 +108,43 @@ def quality_summary(offers: DataFrame) -> DataFrame:
 def repeated_names(offers: DataFrame) -> DataFrame:
     rows = offers.groupBy("supplier", X.name_key(F.col("product_name")).alias("name_key"))
     return rows.agg(F.count("*").alias("n"), F.min("price").alias("min_price"), F.max("price").alias("max_price")).filter("n > 1")
+
+
+def quality_report(offers: DataFrame) -> DataFrame:
+    """issue (missing_id, price, duplicate), detail, and the offer (supplier, category, product_name, price, rrp, pos): a row for each fault of an offer."""
+    rows = offers.select("supplier", "category", "product_name", "product_id", "price", "rrp", "pos", X.name_key(F.col("product_name")).alias("key"))
+    # How often a supplier's name is there comes from counts, so that no supplier's rows are gathered.
+    many = rows.filter("key <> ''").groupBy(F.lower(X.strip(F.col("supplier"))).alias("low"), "key").agg(F.count("*").alias("n")).filter("n > 1")
+    own = rows.withColumn("low", F.lower(X.strip(F.col("supplier")))).join(many, ["low", "key"], "left")
+    none = F.lit(None).cast("string")
+    faults = {"missing_id": F.when(F.col("product_id").isNull(), ""), "price": pricing.suspicious(F.col("price"), F.col("rrp")), "duplicate": F.when(F.col("n") > 1, F.concat(F.lit("x"), F.col("n").cast("string")))}
+    listed = F.array(*[F.struct(F.lit(issue).alias("issue"), F.coalesce(detail, none).alias("detail")) for issue, detail in faults.items()])
+    each = own.withColumn("fault", F.explode(F.filter(listed, lambda f: f["detail"].isNotNull())))
+    return each.select("fault.issue", "fault.detail", "supplier", "category", "product_name", "price", "rrp", "pos")
+
+
+def quality_samples(report: DataFrame, most: int = 8) -> DataFrame:
+    """issue, n and the first `most` offers of each issue in the order of pos, as lines."""
+    number = lambda c: F.coalesce(F.round(c, 2).cast("decimal(18,2)").cast("string"), F.lit(""))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    shown = {
+        "missing_id": F.concat(F.lit("["), blank("category"), F.lit("] "), blank("product_name")),
+        "price": F.concat(F.lit("["), blank("category"), F.lit("] "), blank("product_name"), F.lit(" | "), F.col("detail"), F.lit(" | "), number(F.col("price")), F.lit(" / "), number(F.col("rrp"))),
+        "duplicate": F.concat(F.lit("["), blank("supplier"), F.lit("] "), blank("product_name"), F.lit(" ("), F.col("detail"), F.lit(")")),
+    }
+    line = F.coalesce(*[F.when(F.col("issue") == issue, text) for issue, text in shown.items()])
+    counts = report.groupBy("issue").agg(F.count("*").alias("n"))
+    # A few of each issue: every task keeps its own first ones only.
+    first = None
+    for issue in shown:
+        own = report.filter(F.col("issue") == issue).select("issue", "pos", line.alias("line")).orderBy("pos", "line").limit(most)
+        first = own if first is None else first.unionByName(own)
+    lines = first.groupBy("issue").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("samples"))
+    return counts.join(lines, "issue")
+
+
+def write_quality_report(offers: DataFrame, folder: str) -> None:
+    """The report as CSV files with a header in `rows`, and quality_summary as a JSON line in `summary`."""
+    report = quality_report(offers)
+    report.withColumn("pos", F.to_json("pos") if "struct" in dict(report.dtypes)["pos"] else F.col("pos")).write.mode("overwrite").csv(f"{folder}/rows", header=True)
+    quality_summary(offers).write.mode("overwrite").json(f"{folder}/summary")

@@ -155,3 +155,42 @@ def facets(rows: DataFrame, *columns: Column) -> DataFrame:
 def badges(rows: DataFrame, buckets: dict[str, Column]) -> DataFrame:
     """Per supplier its rows without an id, and how many of them fulfil each bucket's test."""
     return rows.filter("product_id IS NULL").groupBy("supplier").agg(F.count("*").alias("n_no_id"), *[F.count_if(t).alias(n) for n, t in buckets.items()])
+
+
+# The badges of a page, and those of one supplier's products by category; what no badge names is misc.
+BADGES = (
+    "cpu board monitor gpu ram ssd psu case hdd cooler printer peripheral usb network ups keyboard mouse headphones audio misc "
+    "ntech-pc iven-pc iven-laptop iven-zakaz-laptop tradex-laptop"
+).split()
+BY_CATEGORY = {
+    "Процессор": "cpu", "Материнская плата": "board", "Монитор": "monitor", "Видеокарта": "gpu", "Оперативная память": "ram", "SSD": "ssd", "Блок питания": "psu", "Корпус": "case",
+    "Жесткий диск": "hdd", "Кулер": "cooler", "Кулеры": "cooler", "Охлаждение": "cooler", "Принтер": "printer", "Принтеры": "printer", "Принтер и МФУ": "printer", "МФУ": "printer", "Картриджи": "printer",
+}
+IVEN, IVEN_ORDERS, TRADEX, NTECH = ("iven", "ивен"), ("iven_zakaz", "ivenzakaz", "ивен_заказ"), ("tradex", "традекс"), ("n_tech", "ntech")
+
+
+def badge(supplier: Column, category: Column, is_pc: Column, is_laptop: Column, further: dict[str, str]) -> Column:
+    """The badge that counts an offer without an id; null if none does. further: badges of more categories."""
+    token = F.regexp_replace(F.regexp_replace(F.lower(X.strip(supplier)), r"[\s-]+", "_"), "^_+|_+$", "")
+    known = BY_CATEGORY | further
+    by_category = F.coalesce(*[F.when(X.strip(category).isin(*[c for c, b in known.items() if b == badge_]), badge_) for badge_ in dict.fromkeys(known.values()) if badge_ in BADGES], F.lit("misc"))
+    return (
+        F.when(token.isin(*IVEN) & is_pc, "iven-pc").when(token.isin(*IVEN) & is_laptop, "iven-laptop").when(token.isin(*IVEN_ORDERS) & is_laptop, "iven-zakaz-laptop")
+        .when(token.isin(*TRADEX) & is_laptop, "tradex-laptop").when(token.isin(*NTECH), F.when(is_pc, "ntech-pc").otherwise(by_category))
+    )
+
+
+def badge_counts(rows: DataFrame, of: Column) -> DataFrame:
+    """badge and n for all BADGES: how many rows without an id each has."""
+    found = rows.filter("product_id IS NULL").groupBy(of.alias("badge")).agg(F.count("*").alias("n"))
+    every = rows.sparkSession.createDataFrame([(b,) for b in BADGES], "badge string")
+    return every.join(found, "badge", "left").select("badge", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def category_preview_counts(rows: DataFrame, old: str, new: str, priced: Column, name: str, most: int = 4) -> DataFrame:
+    """new, n, n_changed, n_priced and examples: what each target category would get; examples are the first `most` names that change, by letter."""
+    changed = ~F.col(old).eqNullSafe(F.col(new))
+    counts = rows.groupBy(new).agg(F.count("*").alias("n"), F.count_if(changed).alias("n_changed"), F.count_if(F.coalesce(priced, F.lit(False))).alias("n_priced"))
+    names = rows.filter(changed).select(new, name).distinct().withColumn("k", F.row_number().over(Window.partitionBy(new).orderBy(name))).filter(F.col("k") <= most)
+    shown = names.groupBy(new).agg(F.array_join(F.array_sort(F.collect_list(name)), "; ").alias("examples"))
+    return counts.join(shown, new, "left").withColumn("examples", F.coalesce("examples", F.lit("")))

@@ -181,15 +181,6 @@ def product_scores(spark, sf_dir):
     return pairs.withColumn("score", I.product_score(F.col("name"), F.lower("name"), F.col("product_name")))
 
 
-_ASSEMBLED = [("Игровой ПК 12345 A-X RTX 4060", "1", "Компьютер 12345 B-X RTX 4060"), ("Игровой ПК 12346 A-X RTX 4060", "2", "Компьютер 12346 A-X RTX 4070"), ("ПК 777 A-X", "3", "ПК 777 A-X")]
-
-
-@query("SELECT * FROM (VALUES ('Игровой ПК 12345 A-X RTX 4060', '1', 1.0::DOUBLE), ('Игровой ПК 12346 A-X RTX 4060', '2', 0.35::DOUBLE)) v(product_name, product_id, score)")
-def assembled_code_join(spark, sf_dir):
-    rows = spark.createDataFrame(_ASSEMBLED, "product_name string, product_id string, name string")
-    return I.code_join(rows, rows)
-
-
 # Ids
 
 _IX = ", ix AS (SELECT lower(name) AS name_key, min_by(product_id, product_id::BIGINT) AS found_id FROM catalog GROUP BY 1)"

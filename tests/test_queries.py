@@ -1,6 +1,6 @@
 import pytest
 
-from priceloom.plans import changes, families, more, registry, search  # noqa: F401
+from priceloom.plans import changes, families, more, registry, reports, search  # noqa: F401
 from tests.conftest import SF
 
 
