@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from priceloom.functions import category_rules as rules
 from priceloom.functions import text as X
 from priceloom.operators import matcher, matching
+from priceloom.sources.tables import stored
 
 #: Reasons of match_names under which a candidate is out of the question.
 HARD_REASONS = (
@@ -83,7 +84,9 @@ PERIPHERALS = ("Клавиатура", "Мышь", "Наушники", "Акус
 
 def peripheral_candidates(names: DataFrame, items: DataFrame, least: float = 0.25, most: int = 5) -> DataFrame:
     """product_name, product_id, score, rank: of the items (product_id, name) that are peripherals by their names, those that share a token with a name and match it by `least` or more; an equal name scores 1, others 0.999 at most."""
-    own = items.select("product_id", "name").distinct().filter(rules.category(F.col("name")).isin(*PERIPHERALS))
+    # Written: the rules are long, and the pairs read the items several times.
+    kinds = stored(items.select("name").distinct().withColumn("kind", rules.category(F.col("name"))))
+    own = stored(items.select("product_id", "name").distinct().join(kinds.filter(F.col("kind").isin(*PERIPHERALS)).select("name"), "name", "left_semi"))
     pairs = matching.token_candidates(names, own).select("product_name", "product_id", "name")
     judged = matcher.match_names(pairs.select("product_name", "name").distinct(), least)
     score = F.when(X.name_key(F.col("product_name")) == X.name_key(F.col("name")), 1.0).otherwise(F.least(F.lit(0.999), F.col("score")))
