@@ -9,6 +9,7 @@ from priceloom.functions import text as X
 from priceloom.operators import categories as G
 from priceloom.operators import ids as I
 from priceloom.operators import index as K
+from priceloom.operators import matcher as M
 from priceloom.operators import postings as O
 from priceloom.operators import similarity as J
 from priceloom.plans.more import _swapped
@@ -118,3 +119,49 @@ SELECT product_name, product_id, name, round(greatest(0.2 * prefix + 0.3 * head
 def id_scores(spark, sf_dir):
     pairs = _swapped(spark, sf_dir).filter("product_id IS NOT NULL").select("product_name", "product_id").distinct().join(catalog(spark, sf_dir).select("product_id", "name"), "product_id")
     return pairs.select("product_name", "product_id", "name", S.id_score(F.col("product_name"), F.col("name")).alias("score"))
+
+
+# The matcher and the resolver where rules decide
+
+_NAMED = """, named AS (SELECT k, k % 3 AS kind, k // 12 AS block, (k // 3) % 2 AS x, (k // 6) % 2 AS y FROM (SELECT p_partkey AS k FROM part))"""
+_VERDICT = """CASE a.kind WHEN 0 THEN CASE WHEN a.x = b.x THEN 'strict_article' ELSE 'strict_article_conflict' END
+  WHEN 1 THEN CASE WHEN a.x <> b.x THEN 'tgpc_code_mismatch' WHEN a.y <> b.y THEN 'tgpc_gpu_mismatch' ELSE 'tgpc_code_exact' END
+  ELSE CASE WHEN a.x <> b.x THEN 'model_variant_conflict' WHEN a.y <> b.y THEN 'motherboard_brand_mismatch' ELSE 'motherboard_model' END END"""
+
+
+def _named(spark, sf_dir, offered):
+    """Names of laptops with an article, of assembled computers and of motherboards, as offered or as listed."""
+    k = F.col("p_partkey")
+    block, x, y = (F.floor(k / 12) + 1000).cast("string"), F.floor(k / 3) % 2, F.floor(k / 6) % 2
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    article = text("90NR.", block, "A", x, ".00", x)
+    laptop = text("Ноутбук ASUS ", article) if offered else text("ASUS laptop (", article, ")")
+    computer = text("Игровой ПК ", block, x, " A-X RTX ", 4060 + y * 10) if offered else text("Компьютер ", block, x, " B-X, RTX ", 4060 + y * 10)
+    maker, chipset = F.when(y == 0, "ASUS").otherwise("MSI"), text("B", 550 + x * 100, "M")
+    board = text("Материнская плата ", maker, " ", chipset, " Plus") if offered else text("MB ", F.lower(maker), " ", chipset, " PLUS, RTL")
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.floor(k / 12).alias("block"), (k % 3).alias("kind"), F.when(k % 3 == 0, laptop).when(k % 3 == 1, computer).otherwise(board).alias("said"))
+
+
+@query(f"""{_NAMED}, p AS (SELECT a.k, b.k AS other, {_VERDICT} AS reason FROM named a JOIN named b ON a.block = b.block AND a.kind = b.kind)
+SELECT k, other, CASE reason WHEN 'strict_article' THEN 1.0 WHEN 'strict_article_conflict' THEN 0.16 WHEN 'tgpc_code_mismatch' THEN 0.04 WHEN 'tgpc_gpu_mismatch' THEN 0.35 WHEN 'tgpc_code_exact' THEN 1.0 WHEN 'model_variant_conflict' THEN 0.14 WHEN 'motherboard_brand_mismatch' THEN 0.04 ELSE 0.996 END::DOUBLE AS score,
+  reason IN ('strict_article', 'tgpc_code_exact', 'motherboard_model') AS match, reason FROM p""")
+def match_scores_by_rules(spark, sf_dir):
+    """Pairs of names that articles, codes and models decide."""
+    a = _named(spark, sf_dir, True).withColumnRenamed("said", "product_name")
+    b = _named(spark, sf_dir, False).select(F.col("k").alias("other"), "block", "kind", F.col("said").alias("name"))
+    judged = M.match_names(a.join(b, ["block", "kind"]).select("k", "other", "product_name", "name"))
+    return judged.select("k", "other", "score", "match", "reason")
+
+
+@query(f"""{_NAMED}, n AS (SELECT block, x, min(k) AS k FROM named WHERE kind = 0 GROUP BY ALL), c AS (SELECT block, x, list(k::VARCHAR ORDER BY length(k::VARCHAR), k::VARCHAR) AS ids FROM named WHERE kind = 0 GROUP BY ALL)
+SELECT k, CASE WHEN k % 9 = 0 THEN ids[2] ELSE ids[1] END AS best_id, CASE WHEN k % 9 = 0 AND len(ids) = 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS score,
+  CASE WHEN k % 9 = 0 THEN CASE len(ids) WHEN 1 THEN 'none' WHEN 2 THEN 'strong' ELSE 'ambiguous' END WHEN len(ids) > 1 THEN 'ambiguous' ELSE 'strong' END AS tier FROM n JOIN c USING (block, x)""")
+def noid_resolver_by_article(spark, sf_dir):
+    """Offers whose names are not in the catalog, but whose articles are: several items with one article are ambiguous, a rejected one doesn't count."""
+    named = _named(spark, sf_dir, True).filter("kind = 0")
+    tasks = named.groupBy("said").agg(F.min("k").alias("k")).select("k", F.lit("S").alias("supplier"), X.name_key(F.col("said")).alias("name_key"), F.col("said").alias("product_name"))
+    tasks = tasks.withColumn("item_key", F.col("k").cast("string"))
+    items = _named(spark, sf_dir, False).filter("kind = 0").select(F.col("k").cast("string").alias("product_id"), F.col("said").alias("name"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("brand"))
+    gone = tasks.filter(F.col("k") % 9 == 0).select("supplier", "name_key", F.col("k").cast("string").alias("product_id"))
+    found = I.resolve(tasks, items, gone)
+    return found.select(F.col("item_key").cast("long").alias("k"), "best_id", "score", "tier")
