@@ -6,8 +6,8 @@ labels, main text or not, weights for the features and for pairs of neighbouring
 It is trained on labelled pages, which `labelled_pages` lays out from a seed in many variants of the usual furniture.
 
 Null and empty pages give an empty text. Scripts, styles, templates, comments, the head, what browsers show instead of scripts
-and frames (noscript, iframe) and the values of form controls (textarea, select) are no text; all other text, that within
-object, video, audio, canvas and svg included, is only left out by the field's verdict. None of these, no image, icon, input
+and frames (noscript, iframe), drawings (svg) and the values of form controls (textarea, select) are no text; all other text,
+that within object, video, audio and canvas included, is only left out by the field's verdict. None of these, no image, icon, input
 or inline element, and no unknown element after text ends a block: only the elements in BLOCK do, and buttons and unknown
 elements that begin one. Classes of the page itself, and of elements that hold most of its text, are features of
 their own, so that a wrapper called has-sidebar does not take the article along.
@@ -36,10 +36,10 @@ from priceloom.llm import words as W
 from priceloom.llm.shared import table
 
 # HTML elements by what they mean for the text.
-BLOCK = frozenset("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td text tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul".split())
 INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data datalist del desc dfn em font i iframe ins kbd label map mark metadata meter noembed noframes noscript object output picture progress q rp rt ruby s samp script select slot small span strike strong style sub sup svg template textarea time title tt u var video".split())
 INLINE |= frozenset("math annotation annotation-xml maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
-SILENT = frozenset("template noscript noframes noembed head title desc metadata annotation annotation-xml iframe textarea select datalist".split())
+SILENT = frozenset("svg template noscript noframes noembed head title desc metadata annotation annotation-xml iframe textarea select datalist".split())
 RAW = frozenset("script style".split())
 #: What a head can hold; elements that hold text only; HTML that ends svg and math, but not within the parts that hold HTML.
 IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
