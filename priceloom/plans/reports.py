@@ -6,6 +6,7 @@ from priceloom.functions import payloads as Y
 from priceloom.functions import text as X
 from priceloom.operators import catalog as C
 from priceloom.operators import consolidate as K
+from priceloom.operators import effective as A
 from priceloom.operators import export as E
 from priceloom.operators import ids as I
 from priceloom.operators import paging as P
@@ -141,3 +142,19 @@ def peripheral_matches(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("Мышь", "Клавиатура", "Наушники", "Монитор"))), (k % 4 + 1).cast("int"))
     items = p.select(k.cast("string").alias("product_id"), F.concat(kind, F.lit(" "), "p_name", F.when(k % 3 == 0, " pro").otherwise("")).alias("name"))
     return W.peripheral_candidates(p.select(F.concat(kind, F.lit(" "), "p_name").alias("product_name")).distinct(), items)
+
+
+# Categories
+
+@query("""SELECT supplier, category, holds, count(*) AS n FROM (SELECT *, CASE WHEN product_id IS NOT NULL AND k % 3 = 0 THEN 'Listed ' || brand WHEN k % 5 = 0 THEN 'Named' WHEN k % 7 = 0 AND k % 2 = 0 THEN 'Chosen'
+  WHEN product_id IS NOT NULL THEN CASE WHEN contains(product_name, 'gear') THEN 'Cogs' ELSE 'Требует сортировки · родитель: ' || category END
+  WHEN contains(product_name, 'bolt') THEN 'Fasteners' WHEN s = 4 THEN 'Over' ELSE 'Требует сортировки · родитель: ' || category END AS holds
+  FROM (SELECT *, split_part(supplier_code, '-', 1)::BIGINT AS k, split_part(supplier_code, '-', 2)::BIGINT AS s FROM offers)) GROUP BY ALL""")
+def category_holds(rows):
+    """The precedence of all that say a category; the tables' own look like a supplier's."""
+    k, name, own = F.col("pos.l_partkey"), F.col("product_name"), lambda test, value: F.when(test, value)
+    holds = A.precedence(
+        F.col("product_id").isNotNull(), own(k % 3 == 0, F.concat(F.lit("Listed "), "brand")), own(k % 5 == 0, "Named"), own(k % 7 == 0, F.when(k % 2 == 0, "Chosen").otherwise("RAW")),
+        own(name.contains("gear"), "Cogs"), own(name.contains("bolt"), "Fasteners"), own(F.col("pos.l_suppkey") == 4, "Over"), F.lit(None).cast("string"), F.col("category"),
+    )
+    return rows.groupBy("supplier", "category", holds.alias("holds")).agg(F.count("*").alias("n"))
