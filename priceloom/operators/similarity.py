@@ -78,7 +78,9 @@ def best_overlaps(names: DataFrame, items: DataFrame, most: int = 5, shortest: i
     left = token_sets(names, "product_name", X.words(F.col("product_name"), shortest))
     right = token_sets(ids, "name", X.words(F.col("name"), shortest))
     held = frequencies(left, right)
-    left, right = stored(by_rarity(left, "product_name", held)), stored(by_rarity(right, "name", held))
+    # The sets are few bytes and much work: written in as many files as a shuffle has partitions, so that many tasks read them.
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = stored(by_rarity(left, "product_name", held).repartition(parts)), stored(by_rarity(right, "name", held).repartition(parts))
     counts = stored(ids.groupBy("name").agg(F.count("*").alias("n")))
     open_, done, used = left, None, [ids, left, right, counts]
     for k, least in enumerate(levels):
@@ -89,7 +91,7 @@ def best_overlaps(names: DataFrame, items: DataFrame, most: int = 5, shortest: i
         else:
             full = found.join(counts, "name").groupBy("product_name").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).select("product_name")
             settled = found.join(full, "product_name", "left_semi")
-            rest = stored(open_.join(full, "product_name", "left_anti"))
+            rest = stored(open_.join(full, "product_name", "left_anti").repartition(parts))
             used.append(rest)
             open_ = rest
         done = settled if done is None else done.unionByName(settled)
