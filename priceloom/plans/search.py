@@ -80,7 +80,7 @@ def coded_similar_names(spark, sf_dir):
     names, items = _coded(spark, sf_dir)
     left, right = J.token_sets(names, "product_name", X.words(F.col("product_name"))), J.token_sets(items, "name", X.words(F.col("name")))
     held = J.frequencies(left, right)
-    return J.overlapping(J.by_rarity(left, "product_name", held), J.by_rarity(right, "name", held), 0.6)
+    return J.overlapping(J.spread(J.by_rarity(left, "product_name", held)), J.spread(J.by_rarity(right, "name", held)), 0.6)
 
 
 @query("""SELECT a.l_orderkey AS "row", b.l_orderkey AS target FROM (SELECT l_orderkey, list(DISTINCT l_partkey % 50) AS keys FROM lineitem GROUP BY 1) a

@@ -129,3 +129,15 @@ def test_scores_of_names(spark, a, b, prefix, head, tokens, whole):
     x, y = F.col("a"), F.col("b")
     row = spark.createDataFrame([(a, b)], "a string, b string").select(scores.prefix_score(x, y), scores.head_score(x, y), scores.token_score(x, y), scores.id_score(x, y)).first()
     assert tuple(row) == pytest.approx((prefix, head, tokens, whole))
+
+
+def test_sets_that_cannot_fit_do_not_meet(spark):
+    """Sets of three with two frequent tokens in common are under 0.6: they don't meet under the second of these, not even to be judged."""
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("id"))
+    left = similarity.spread(rows.select(F.concat(F.lit("a"), "id").alias("product_name"), F.array(F.concat(F.lit("a"), "id"), F.lit("x"), F.lit("y")).alias("tokens")))
+    right = similarity.spread(rows.select(F.concat(F.lit("b"), "id").alias("name"), F.array(F.concat(F.lit("b"), "id"), F.lit("x"), F.lit("y")).alias("tokens")))
+    joined = similarity.met(left, right, 0.6, ("product_name", "name"))
+    assert joined.count() == 0
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    # The join of the sets themselves is on sizes and places too, and has nothing left to judge.
+    assert "b_size" in plan.splitlines()[1] and ">=" not in plan.splitlines()[1]
