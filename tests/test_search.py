@@ -55,6 +55,21 @@ def test_best_overlaps(spark, levels):
     assert {r[:3] for r in rows} == {r[:3] for r in want} and len(rows) == len(want)
 
 
+@pytest.mark.parametrize(("common", "deep"), [(0, 8), (3, 2), (20, 0), (10**6, 8)])
+def test_best_overlaps_by_classes(spark, common, deep):
+    """Rare words, subsets of frequent words and classes of many frequent words give the same."""
+    rng = random.Random(9)
+    made = lambda n: [" ".join({rng.choice("abcdefgh") * rng.randint(2, 4) for _ in range(rng.randint(1, 6))}) for _ in range(n)]
+    names, items = made(40), {(str(k), n) for k, n in enumerate(made(150))}
+    want = set()
+    for n in set(names):
+        a = set(n.split())
+        scored = sorted((-round(len(a & set(m.split())) / len(a | set(m.split())), 4), len(i), i, m) for i, m in items if a & set(m.split()))
+        want |= {(n, i, m, -s, k) for k, (s, _, i, m) in enumerate(scored[:5], 1)}
+    got = similarity.best_overlaps(spark.createDataFrame([(n,) for n in names], "product_name string"), spark.createDataFrame(list(items), "product_id string, name string"), common=common, deep=deep)
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_best_overlaps_compare_few_pairs(spark):
     """Ten thousand names with a word in common: the names found by it alone are not listed."""
     items = spark.range(10_000).select(F.col("id").cast("string").alias("product_id"), F.format_string("brand x%05d y%03d", F.col("id"), F.col("id") % 500).alias("name"))
