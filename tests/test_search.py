@@ -93,6 +93,19 @@ def test_contained_sets(spark):
     assert similarity.containing(frame({}, "row").limit(0), frame(targets, "target")).collect() == []
 
 
+def test_contained_sets_of_all_sizes(spark):
+    """Rows of few, some and many keys are asked for four, two and one key of a target at once."""
+    rng = random.Random(8)
+    rows = {k: sorted(rng.sample([f"k{n}" for n in range(60)], rng.choice([3, 8, 12, 13, 30, 40, 41, 55]))) for k in range(60)}
+    targets = {k: sorted(rng.sample(rng.choice(list(rows.values())), rng.randint(1, 3))) for k in range(40)} | {k: rng.sample(rows[k], min(len(rows[k]), k)) for k in range(40, 60)}
+    frame = lambda d, key: spark.createDataFrame(list(d.items()), f"{key} int, keys array<string>")
+    found = similarity.containing(frame(rows, "row"), frame(targets, "target"))
+    assert sorted(map(tuple, found.collect())) == sorted((r, t) for r, a in rows.items() for t, b in targets.items() if set(b) <= set(a))
+    # Under one key alone all sets with a frequent key would meet; the joins are on arrays of keys.
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (" in line]
+    assert joins and all("asked" in line for line in joins)
+
+
 def test_names_that_hold_a_needle(spark):
     rng = random.Random(6)
     names = ["".join(rng.choice("abAB-1 ") for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["100% wool_a", "İstanbul ß", "漢字かな"]
