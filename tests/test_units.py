@@ -250,3 +250,12 @@ def test_nearest_offers(spark):
     rows = [("a", 100.0, f"s{k:02}") for k in range(12)] + [("a", 99.0, "t"), ("b", 10.0, "x"), ("b", 10.2, "y"), ("b", 10.3, "z"), ("b", None, "n"), ("c", None, "n")]
     got = {r.product_id: [tuple(x) for x in r.near] for r in market.nearest_offers(spark.createDataFrame(rows, "product_id string, price double, supplier string")).collect()}
     assert got == {"a": [(99.0, "t")] + [(100.0, f"s{k:02}") for k in range(7)], "b": [(10.0, "x"), (10.2, "y")]}
+
+
+def test_known_ids_without_a_limit(spark):
+    from priceloom.operators import ids
+
+    first = spark.createDataFrame([("a", 2), ("b", 1), (None, 0)], "product_id string, pos int")
+    second = spark.createDataFrame([("a", 0), ("c", 0)], "product_id string, pos int")
+    assert sorted(map(tuple, ids.known_ids([first, second]).collect())) == [("a", 0), ("b", 0), ("c", 1)]
+    assert [tuple(r) for r in ids.known_ids([first, second], 2).collect()] == [("b", 0), ("a", 0)]
