@@ -169,3 +169,16 @@ def test_sets_that_cannot_fit_do_not_meet(spark):
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     # The join of the sets themselves is on sizes and places too, and has nothing left to judge.
     assert "b_size" in plan.splitlines()[1] and ">=" not in plan.splitlines()[1]
+
+
+def test_names_with_articles_meet_those_with_the_same(spark):
+    from priceloom.operators import ids, matcher, matching
+
+    rows = spark.range(200).select("id", F.format_string("90NR.%04dA0.M0%d", F.col("id"), F.col("id") % 10).alias("article"))
+    names = rows.select(F.concat(F.lit("Ноутбук ASUS "), "article").alias("product_name")).union(spark.createDataFrame([("ASUS laptop black",), ("Мышь",)], "product_name string"))
+    items = rows.select(F.col("id").cast("string").alias("product_id"), F.concat(F.lit("ASUS laptop ("), "article", F.lit(")")).alias("name")).union(spark.createDataFrame([("a", "ASUS laptop"), ("b", None)], "product_id string, name string"))
+    pairs = ids._pairs(names, items, 0.18)
+    assert pairs.count() == 200 + 200 + 201  # same articles; names with an article and the item without; the name without
+    every = matching.token_candidates(names, items).select("product_name", "product_id", "name")
+    likely = lambda p: {tuple(r) for r in matcher.match_names(p, 0.18).select("product_name", "product_id", "name", "score").collect()}
+    assert likely(pairs) == likely(every)
