@@ -48,7 +48,8 @@ def substring_join(spark, sf_dir):
     """The last four characters of every code, wherever they are in the catalog's names."""
     names, items = _coded(spark, sf_dir)
     needles = names.select(F.element_at(F.split("product_name", " x "), 1).alias("code")).select(F.expr("right(code, 4)").alias("needle"))
-    return O.names_with(needles, O.trigram_index(items, 3), 3)
+    # The index is many times its table, by whose size Spark would broadcast it.
+    return O.names_with(needles, O.trigram_index(items, 3).hint("merge"), 3)
 
 
 # A kept index

@@ -182,3 +182,13 @@ def test_names_with_articles_meet_those_with_the_same(spark):
     every = matching.token_candidates(names, items).select("product_name", "product_id", "name")
     likely = lambda p: {tuple(r) for r in matcher.match_names(p, 0.18).select("product_name", "product_id", "name", "score").collect()}
     assert likely(pairs) == likely(every)
+
+
+def test_the_index_of_a_small_table_is_not_broadcast(spark, tmp_path):
+    """A table of few bytes has many grams: they are no broadcast, whatever Spark makes of the table's size."""
+    from priceloom.plans import search
+    from tests.conftest import SF
+
+    plan = search.substring_join(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = next(line for line in plan if "Join" in line)
+    assert "SortMergeJoin" in last and "gram" in last
