@@ -137,7 +137,9 @@ def _named(spark, sf_dir, offered):
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     article = text("90NR.", block, "A", x, ".00", x)
     laptop = text("Ноутбук ASUS ", article) if offered else text("ASUS laptop (", article, ")")
-    computer = text("Игровой ПК ", block, x, " A-X RTX ", 4060 + y * 10) if offered else text("Компьютер ", block, x, " B-X, RTX ", 4060 + y * 10)
+    # Numbers of computers have four to six digits, so those of many blocks come round again.
+    number = text((F.floor(k / 12) % 90_000 + 1000).cast("string"), x)
+    computer = text("Игровой ПК ", number, " A-X RTX ", 4060 + y * 10) if offered else text("Компьютер ", number, " B-X, RTX ", 4060 + y * 10)
     maker, chipset = F.when(y == 0, "ASUS").otherwise("MSI"), text("B", 550 + x * 100, "M")
     board = text("Материнская плата ", maker, " ", chipset, " Plus") if offered else text("MB ", F.lower(maker), " ", chipset, " PLUS, RTL")
     return table(spark, sf_dir, "part").select(k.alias("k"), F.floor(k / 12).alias("block"), (k % 3).alias("kind"), F.when(k % 3 == 0, laptop).when(k % 3 == 1, computer).otherwise(board).alias("said"))

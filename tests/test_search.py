@@ -171,6 +171,16 @@ def test_sets_that_cannot_fit_do_not_meet(spark):
     assert "b_size" in plan.splitlines()[1] and ">=" not in plan.splitlines()[1]
 
 
+def test_the_index_of_a_small_table_is_not_broadcast(spark, tmp_path):
+    """A table of few bytes has many grams: they are no broadcast, whatever Spark makes of the table's size."""
+    from priceloom.plans import search
+    from tests.conftest import SF
+
+    plan = search.substring_join(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = next(line for line in plan if "Join" in line)
+    assert "SortMergeJoin" in last and "gram" in last
+
+
 def test_names_with_articles_meet_those_with_the_same(spark):
     from priceloom.operators import ids, matcher, matching
 
@@ -184,11 +194,11 @@ def test_names_with_articles_meet_those_with_the_same(spark):
     assert likely(pairs) == likely(every)
 
 
-def test_the_index_of_a_small_table_is_not_broadcast(spark, tmp_path):
-    """A table of few bytes has many grams: they are no broadcast, whatever Spark makes of the table's size."""
+def test_numbers_of_computers_stay_numbers(spark, tmp_path):
+    from priceloom.functions import models
     from priceloom.plans import search
-    from tests.conftest import SF
 
-    plan = search.substring_join(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
-    last = next(line for line in plan if "Join" in line)
-    assert "SortMergeJoin" in last and "gram" in last
+    spark.createDataFrame([(k,) for k in (1, 130_000, 1_199_998, 7_199_998)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    for offered in (True, False):
+        named = search._named(spark, str(tmp_path), offered).filter("kind = 1")
+        assert named.count() == 4 and named.filter(models.pc_code(F.col("said")).isNull()).isEmpty()
