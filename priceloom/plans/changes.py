@@ -87,8 +87,9 @@ def batch_of_files(spark, sf_dir):
         "others": {"sku": "code", "товар": "product_name", "Цена с НДС": F.round("price", 2).cast("decimal(18,2)"), "РРЦ": F.round("rrp", 2).cast("decimal(18,2)")},
     }
     for k, (name, columns) in enumerate(kinds.items()):
-        rows.filter(kind == k).select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]).write.csv(f"{folder}/in/{name}", header=True)
-    B.load_batch(spark, f"{folder}/in/*", f"{folder}/table", [("others", "Mine")])
+        # By partitions: a task without rows then writes no file, else the first writes one with a header only, which is no price list.
+        rows.filter(kind == k).select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()], F.lit(name).alias("kind")).write.partitionBy("kind").csv(f"{folder}/in/{name}", header=True)
+    B.load_batch(spark, f"{folder}/in/*/*", f"{folder}/table", [("others", "Mine")])
     coded = (F.coalesce("supplier_code", F.lit("")) != "").alias("coded")
     return B.current(spark, f"{folder}/table").groupBy("supplier", coded, "product_name", "price", "warranty", "product_id", "rrp").agg(F.count("*").alias("n"))
 

@@ -44,7 +44,9 @@ def scan(files: DataFrame, sep: str = ",", width: int = 40) -> DataFrame:
     cells = F.from_csv(text, ", ".join(f"c{k} string" for k in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
     quotes = F.length(F.regexp_replace(text, '[^"]', "")) % 2 == 1
     bad = text.contains("�") | text.contains("\x00") | quotes
-    rows = raw.join(first, ["file", "part"]).withColumn("cells", F.array(*[cells[f"c{k}"] for k in range(width)]))
+    # Read once: of a field of from_csv() itself Spark makes a reader for each field.
+    listed = F.transform(F.array(cells), lambda c: F.array(*[c[f"c{k}"] for k in range(width)]))[0]
+    rows = raw.join(first, ["file", "part"]).withColumn("cells", listed)
     return rows.select("file", F.struct("part", "k").alias("at"), F.when(F.col("part") == 0, F.col("k") - F.col("begin")).alias("line"), "cells", bad.alias("bad"))
 
 
@@ -71,17 +73,18 @@ def read_batch(spark: SparkSession, pattern: str, rules: list[tuple[str, str]] =
     files = spark.read.text(pattern)
     listed = files.inputFiles()
     lines = stored(scan(files, sep))
-    head = stored(headers(lines))
+    supplier = F.coalesce(U.supplier_of_file(F.col("file"), rules), F.lit("Unknown"))
+    # What a file's name says is asked once a file, not once a line.
+    head = stored(headers(lines).withColumn("supplier", supplier))
     columns = F.col("columns")
     value = lambda f: X.strip(F.get("cells", columns[f]))
     kinds = {
         "supplier_code": F.regexp_replace(value("supplier_code"), r"\.0$", ""), "product_name": F.nullif(value("product_name"), F.lit("")), "price": X.money(value("price")),
         "warranty": value("warranty").try_cast("double").cast("int"), "product_id": X.normalize_id(value("product_id")), "rrp": X.money(value("rrp")),
     }
-    supplier = F.coalesce(U.supplier_of_file(F.col("file"), rules), F.lit("Unknown"))
-    rows = lines.join(head, "file").filter(F.col("at") > F.col("header")).select("file", "at", *[kinds[f].alias(f) for f in FIELDS]).filter("product_name IS NOT NULL AND price > 0")
-    coded = rows.filter("supplier_code <> ''").groupBy("file", "supplier_code").agg(F.min_by(F.struct("at", *[f for f in FIELDS if f != "supplier_code"]), "at").alias("row")).select("file", "supplier_code", "row.*")
-    rows = stored(coded.unionByName(rows.filter("supplier_code IS NULL OR supplier_code = ''")).select(supplier.alias("supplier"), *FIELDS, "file", "at"))
+    rows = lines.join(head, "file").filter(F.col("at") > F.col("header")).select("file", "at", "supplier", *[kinds[f].alias(f) for f in FIELDS]).filter("product_name IS NOT NULL AND price > 0")
+    coded = rows.filter("supplier_code <> ''").groupBy("file", "supplier_code").agg(F.min_by(F.struct("at", "supplier", *[f for f in FIELDS if f != "supplier_code"]), "at").alias("row")).select("file", "supplier_code", "row.*")
+    rows = stored(coded.unionByName(rows.filter("supplier_code IS NULL OR supplier_code = ''")).select("supplier", *FIELDS, "file", "at"))
     # Empty files have no lines; they are known from the listing only.
     known = spark.createDataFrame([(_plain(f),) for f in listed], "file string")
     bad = lines.groupBy("file").agg(F.count_if("bad").alias("bad"))

@@ -80,6 +80,23 @@ def test_large_files_are_read_in_parts(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_tasks_without_rows_make_no_files(spark, tmp_path):
+    """Where the table is read in more parts than it has rows for, the batch of the query has no file of a header only."""
+    from priceloom.plans import changes
+    from tests.conftest import SF
+
+    settings = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = changes.batch_of_files(spark, SF).agg(F.sum("n")).first()[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_extendedprice > 0").count()
+
+
 @pytest.mark.parametrize(
     ("path", "rules", "want"),
     [("file:/x/N_Tech june.csv", (), "N-Tech"), ("/a/iven zakaz.csv", (), "IVEN_zakaz"), ("/a/IVEN.csv", (), "IVEN"), ("/a/1030ZpriceBN.csv", (), "BN-1030Z"), ("/a/1030p.csv", (), "BN-1030"), ("/tradex/part-1.csv", (), "Tradex"), ("/a/x.csv", (), None), ("/a/iven.csv", [("", "No"), ("IVEN", "n tech")], "N-Tech"), ("/a/zz.csv", [("zz", "Own")], "Own"), (None, (), None)],
