@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
+from priceloom.operators.similarity import best_overlaps, of_name
+from priceloom.sources.tables import stored
 
 
 def with_catalog(offers: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -114,8 +116,9 @@ def enforce(offers: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def overlap_ids(names: DataFrame, catalog: DataFrame, least: float = 0.55) -> DataFrame:
     """product_name, token, found_id: the id of the first token that only one product has; else that of the product with which a name shares the largest part of its tokens, if that is `least` or more (token null)."""
-    unique = unique_token_ids(names, catalog)
-    rest = names.select("product_name").distinct().join(unique, "product_name", "left_anti").withColumn("tokens", X.words(F.col("product_name"), 4))
-    shared = rest.select("product_name", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(postings(catalog), "token").groupBy("product_name", "product_id").agg((F.count("*") / F.first("n")).alias("part"))
-    best = shared.filter(F.col("part") >= least).groupBy("product_name").agg(F.min_by("product_id", F.struct(-F.col("part"), F.length("product_id"), "product_id")).alias("found_id"))
-    return unique.unionByName(best.select("product_name", F.lit(None).cast("string").alias("token"), "found_id"))
+    unique = stored(unique_token_ids(names, catalog))
+    rest = names.select("product_name").distinct().join(unique, "product_name", "left_anti")
+    # A product of several names has the tokens of all.
+    items = catalog.groupBy("product_id").agg(F.concat_ws(" ", F.collect_set("name")).alias("name"))
+    best = best_overlaps(rest, items, 1, 4, score=of_name).filter(F.col("overlap") >= least)
+    return unique.unionByName(best.select("product_name", F.lit(None).cast("string").alias("token"), F.col("product_id").alias("found_id")))
