@@ -2,7 +2,10 @@
 
 import random
 
-from priceloom.operators import catalog
+from pyspark.sql import functions as F
+
+from priceloom.functions import category_rules
+from priceloom.operators import catalog, matching, review
 
 
 def test_overlap_ids_against_brute_force(spark):
@@ -22,3 +25,27 @@ def test_overlap_ids_against_brute_force(spark):
             want[name] = parts[0][2]
     got = catalog.overlap_ids(spark.createDataFrame([(n,) for n in names], "product_name string"), spark.createDataFrame(items, "product_id string, name string"))
     assert {r.product_name: r.found_id for r in got.filter("token IS NULL").collect()} == want
+
+
+def test_names_are_judged_without_their_ids(spark):
+    """Pairs are of names however many ids a name has, and the best ids are those of all pairs."""
+    items = spark.createDataFrame([(str(k), n) for n in ("red bolt", "blue bolt", "bolt") for k in range(500)] + [("7", "old bolt")], "product_id string, name string")
+    names = spark.createDataFrame([("red bolt",), ("red bolt",), ("bolt x",)], "product_name string")
+    pairs = matching.named_pairs(names, items)
+    assert pairs.count() == 2 * 4
+    assert matching.first_ids(items.union(items), 3).groupBy("name").count().filter("count > 3").isEmpty()
+    every = review.replacements(matching.token_candidates(names, items).withColumnRenamed("overlap", "score"), 5)
+    few = review.replacements(pairs.withColumnRenamed("overlap", "score"), 5, items)
+    assert sorted(map(tuple, few.select(*every.columns).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_peripherals_of_many_ids(spark):
+    items = spark.createDataFrame([(str(k), n) for n in ("Мышь Logitech G102", "Мышь Logitech G103") for k in range(300)], "product_id string, name string")
+    found = review.peripheral_candidates(spark.createDataFrame([("Мышь Logitech G102",)], "product_name string"), items).collect()
+    assert sorted((r["rank"], r.product_id) for r in found) == [(1, "0"), (2, "1"), (3, "10"), (4, "100"), (5, "101")]
+
+
+def test_category_reads_a_name_once(spark):
+    rows = spark.createDataFrame([("[new] Мышь Razer",), ("",), (None,), ("Nothing known",)], "name string").select("name", category_rules.category(F.col("name")).alias("category"))
+    assert {r.name: r.category for r in rows.collect()} == {"[new] Мышь Razer": "Мышь", "": "Без категории", None: "Без категории", "Nothing known": "NOTHING"}
+    assert rows._jdf.queryExecution().analyzed().toString().count("дюйм ") <= 2
