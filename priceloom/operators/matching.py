@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
 from priceloom.operators.matcher import match_names
+from priceloom.sources.tables import stored
 
 
 def search_all(items: DataFrame, words: list[str]) -> DataFrame:
@@ -51,13 +52,27 @@ def search_any(items: DataFrame, words: list[str], most: int = 160) -> DataFrame
 def token_candidates(names: DataFrame, items: DataFrame, shortest: int = 2, most_common: int | None = None) -> DataFrame:
     """product_name, product_id, name, shared, overlap: the pairs that share a token.
 
-    Names are held against the distinct names of items, and the ids are joined back. With most_common a name's pairs share
-    a token which at most most_common items have; a name without such a pair gets all that share any token with it.
-    Overlap (shared tokens over all tokens of both) is taken over all tokens.
+    Names are held against the distinct names of items (named_pairs), and the ids are joined back.
     """
-    left = names.select("product_name").distinct().withColumn("a", X.words(F.col("product_name"), shortest))
     items = items.select("product_id", "name").distinct()
-    right = items.groupBy("name").agg(F.count("*").alias("n")).withColumn("b", X.words(F.col("name"), shortest))
+    return named_pairs(names, items, shortest, most_common).join(items, "name").select("product_name", "product_id", "name", "shared", "overlap")
+
+
+def first_ids(items: DataFrame, most: int) -> DataFrame:
+    """product_id, name: of each name of items the `most` smallest ids. Every task leaves out its own others before they meet."""
+    place = F.dense_rank().over(Window.partitionBy("name").orderBy("product_id"))
+    return items.select("product_id", "name").withColumn("_place", place).filter(F.col("_place") <= most).select("product_id", "name").distinct()
+
+
+def named_pairs(names: DataFrame, items: DataFrame, shortest: int = 2, most_common: int | None = None) -> DataFrame:
+    """product_name, name, shared, overlap: the pairs of distinct names that share a token, whatever ids there are.
+
+    With most_common a name's pairs share a token which at most most_common items have; a name without such a pair gets all
+    that share any token with it. Overlap (shared tokens over all tokens of both) is taken over all tokens.
+    """
+    # Written: names are few beside the offers that give them, and are read several times.
+    left = stored(names.select("product_name").distinct()).withColumn("a", X.words(F.col("product_name"), shortest))
+    right = items.select("product_id", "name").distinct().groupBy("name").agg(F.count("*").alias("n")).withColumn("b", X.words(F.col("name"), shortest))
     words = left.select("product_name", F.explode("a").alias("token"))
     tokens = right.select("name", "n", F.explode("b").alias("token"))
     if most_common is None:
@@ -69,8 +84,7 @@ def token_candidates(names: DataFrame, items: DataFrame, shortest: int = 2, most
         pairs = pairs.union(others.select("product_name", "name"))
     both = pairs.distinct().join(left, "product_name").join(right.drop("n"), "name")
     shared = F.size(F.array_intersect("a", "b"))
-    both = both.select("product_name", "name", shared.alias("shared"), F.round(shared / F.size(F.array_union("a", "b")), 4).alias("overlap"))
-    return both.join(items, "name").select("product_name", "product_id", "name", "shared", "overlap")
+    return both.select("product_name", "name", shared.alias("shared"), F.round(shared / F.size(F.array_union("a", "b")), 4).alias("overlap"))
 
 
 def top_candidates(pairs: DataFrame, score: Column, most: int = 5) -> DataFrame:
