@@ -21,13 +21,22 @@ def _positive(value: Column) -> Column:
 
 def row_price(row: Column) -> Column:
     """The price of a JSON row: the first positive one, promotions first; a price may be a number, a text or an object with an amount."""
+    given = fields(row)
+
     def value(key: str) -> Column:
-        inner = [F.get_json_object(row, f"$.{key}.{a}{rest}") for a in AMOUNTS for rest in (".amount", ".value", "")]
-        return F.coalesce(_positive(F.get_json_object(row, f"$.{key}")), *map(_positive, inner))
+        text = F.try_element_at(given, F.lit(key))
+        # The row is read again only for an object that holds such an amount.
+        inner = [F.when(text.contains(f'"{a}"'), F.coalesce(*[_positive(F.get_json_object(row, f"$.{key}.{a}{rest}")) for rest in (".amount", ".value", "")])) for a in AMOUNTS]
+        return F.coalesce(_positive(text), F.when(text.startswith("{"), F.coalesce(*inner)))
 
     return F.coalesce(*map(value, (*PROMO, *PRICES)))
 
 
+def fields(row: Column) -> Column:
+    """The fields of a JSON object as texts, read at once; null for anything else."""
+    return F.from_json(F.when(row.rlike(r"^\s*\{"), row), "map<string,string>", {"allowNonNumericNumbers": "false"})
+
+
 def nested_prices(payload: Column) -> Column:
     """All positive amounts of a position_price, at any depth, in the order of the text."""
     inner = r'(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*?'
@@ -45,8 +54,10 @@ def listed(payload: Column) -> Column:
 
 def row_id(row: Column) -> Column:
     """The id of a JSON row: the first of IDS that is filled, else the number that its address ends with."""
-    plain = [F.when(F.get_json_object(row, f"$.{k}") != "", F.get_json_object(row, f"$.{k}")) for k in IDS]
-    address = F.coalesce(*[F.get_json_object(row, f"$.{k}") for k in ("url", "href", "link")])
+    given = fields(row)
+    field = lambda k: F.try_element_at(given, F.lit(k))
+    plain = [F.when(field(k) != "", field(k)) for k in IDS]
+    address = F.coalesce(*map(field, ("url", "href", "link")))
     ending = F.regexp_extract(F.trim(address), r"/(\d+)/?$", 1)
     return F.coalesce(*map(F.trim, plain), F.when(ending != "", ending))
 

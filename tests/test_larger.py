@@ -1,11 +1,14 @@
 """What keeps the work of queries in proportion to their tables, and that results stay the same."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
-from priceloom.functions import category_rules
-from priceloom.operators import catalog, matching, review
+from priceloom.functions import category_rules, payloads
+from priceloom.operators import catalog, consolidate, market, matching, review
+from priceloom.sources import nested
+from priceloom.sources.tables import stored
 
 
 def test_overlap_ids_against_brute_force(spark):
@@ -49,3 +52,35 @@ def test_category_reads_a_name_once(spark):
     rows = spark.createDataFrame([("[new] Мышь Razer",), ("",), (None,), ("Nothing known",)], "name string").select("name", category_rules.category(F.col("name")).alias("category"))
     assert {r.name: r.category for r in rows.collect()} == {"[new] Мышь Razer": "Мышь", "": "Без категории", None: "Без категории", "Nothing known": "NOTHING"}
     assert rows._jdf.queryExecution().analyzed().toString().count("дюйм ") <= 2
+
+
+def test_offers_without_id_stay_spread(spark):
+    """A join on the id doesn't bring all rows without one together, and loses none."""
+    rows = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 4 == 0, (F.col("id") % 40).cast("string")).alias("product_id"), F.concat(F.lit("n"), "id").alias("product_name"), F.lit("s").alias("supplier"))
+    stats = spark.createDataFrame([("0", 1.0), ("4", 2.0)], "product_id string, min_price double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (market.enrich(rows, stats), consolidate.drop_suppliers_of_repeated_ids(rows, F.col("product_id") == "0", F.col("product_name"))):
+            assert found.filter("product_id IS NULL").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        found = market.enrich(rows, stats)
+        assert found.count() == 4000 and found.filter("min_price IS NOT NULL").count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_parts_of_payloads_are_written_once_in_some_levels(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(nested, "stored", lambda df: written.append(df.columns) or stored(df))
+    deep = {"a": [{"b": {"c": [{"d": {"position_price": {"amount": "5"}}}, {"position_price": {"amount": "7,5"}}]}}]}
+    rows = nested.amounts(spark.createDataFrame([("1", json.dumps(deep)), ("2", "[]"), ("3", "nonsense")], "product_id string, payload string"))
+    assert sorted(map(tuple, rows.collect())) == [("1", 5.0), ("1", 7.5)]
+    assert sum("node" in columns for columns in written) <= 4
+
+
+def test_json_rows_are_read_at_once(spark):
+    rows = [('{"price":"x","cost":{"byn":{"value":"4"}}}', 4.0, None), ('\t{"id":1.50,"pricePromo":" 3,5"}', 3.5, "1.5"), ('{"price":"{\\"amount\\":5}"}', None, None), ('[{"price":1,"id":2}]', None, None), ('{"price":NaN,"cost":2}', None, None)]
+    given = spark.createDataFrame([(r,) for r, _, _ in rows], "row string")
+    found = given.select("row", payloads.row_price(F.col("row")).alias("price"), payloads.row_id(F.col("row")).alias("id"))
+    assert {tuple(r) for r in found.collect()} == set(rows)
+    assert "get_json_object" not in given.select(payloads.row_id(F.col("row")))._jdf.queryExecution().analyzed().toString()
