@@ -6,6 +6,9 @@ goes on, so the steps are as many as the deepest payload has levels. Payloads th
 are not positive are none. Offers of one payload that agree in seller, price and address are one.
 """
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ SELLERS = ("shop", "seller", "vendor", "merchant", "store")
 NAMES, IDS, URLS = ("title", "name", "full_name"), ("id", "key"), ("html_url", "url")
 ADDRESSES = ("product_url", "html_url", "url")
 NO_NAME = "—"
+#: Levels of a payload that are searched before what lies deeper is written.
+LEVELS = 4
 
 
 def _texts(node: Column, paths) -> Column:
@@ -48,57 +53,69 @@ def _seller(node: Column) -> Column:
 
 
 def _priced(nodes: DataFrame) -> DataFrame:
-    """payload_key and what the nodes that are offers say."""
+    """product_id, payload_key and what the nodes that are offers say."""
     node = F.col("node")
-    rows = nodes.select("payload_key", "node", price_of(node).alias("price")).filter("price > 0")
+    rows = nodes.select("product_id", "payload_key", "node", price_of(node).alias("price")).filter("price > 0")
     return rows.select(
-        "payload_key", "price", _seller(node).alias("seller"), said(node, SELLER_NAMES).alias("said_name"), said(node, ADDRESSES).alias("address"),
+        "product_id", "payload_key", "price", _seller(node).alias("seller"), said(node, SELLER_NAMES).alias("said_name"), said(node, ADDRESSES).alias("address"),
         said(node, ("warranty",)).alias("warranty"), said(node, ("stock_status.text",)).alias("stock"), said(node, ("date_update",)).alias("updated_at"),
     )
 
 
-def every_part(roots: DataFrame, *columns: str) -> DataFrame:
-    """The columns, and as `node` each root and all that it holds at any depth."""
-    level, out = stored(roots.select(*columns, "node")), None
+def every_part(roots: DataFrame, read: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
+    """What `read` finds in the columns and `node`, for each root and all that it holds at any depth.
+
+    Only what it finds is kept. Nodes are written once in LEVELS levels, and only those that hold further ones.
+    """
+    level, found = roots.select(*columns, "node"), []
     used = []
-    while not level.isEmpty():
-        out = level if out is None else out.unionAll(level)
+    while not found or not level.isEmpty():
+        nodes = now = level
+        for _ in range(LEVELS - 1):
+            now = children(now, *columns).select(*columns, "node")
+            nodes = nodes.unionAll(now)
+        found.append(stored(read(nodes)))
+        holds = F.try_variant_get("node", "$", "map<string,variant>").isNotNull() | F.try_variant_get("node", "$", "array<variant>").isNotNull()
+        level = stored(children(now, *columns).select(*columns, "node").filter(holds))
         used.append(level)
-        level = stored(children(level, *columns).select(*columns, "node"))
-    result = stored(out if out is not None else level)
-    discard(level, *used)
-    return result
+    discard(*used)
+    return reduce(DataFrame.unionAll, found)
+
+
+def _listed(node: Column) -> Column:
+    """The entries of a payload's positions, which are one list, or lists by kind."""
+    kinds = F.map_values(F.try_variant_get(node, "$.positions", "map<string,variant>"))
+    lists = F.transform(kinds, lambda x: F.try_variant_get(x, "$", "array<variant>"))
+    return F.coalesce(F.try_variant_get(node, "$.positions", "array<variant>"), F.flatten(F.filter(lists, lambda x: x.isNotNull())), F.array().cast("array<variant>"))
 
 
 def nested_offers(payloads: DataFrame) -> DataFrame:
     """product_id, seller_id, seller, seller_url, price, url, warranty, stock, updated_at from payloads (product_id, payload)."""
-    roots = stored(payloads.select("product_id", "payload").distinct().select("product_id", F.sha2("payload", 256).alias("payload_key"), F.try_parse_json("payload").alias("node")).filter("node IS NOT NULL"))
-    whole = roots.select("payload_key", "node").dropDuplicates(["payload_key"])
-    at = lambda path: whole.select("payload_key", F.try_variant_get("node", path, "variant").alias("node")).filter("node IS NOT NULL")
-    held = children(at("$.positions"), "payload_key")
-    listed = held.filter("key IS NULL").select("payload_key", "node")
-    by_kind = children(held.filter("key IS NOT NULL").select("payload_key", "node"), "payload_key").filter("key IS NULL").select("payload_key", "node")
-    first = stored(_priced(listed.unionAll(by_kind)))
-    rest = whole.join(first.select("payload_key").distinct(), "payload_key", "left_anti")
-    parts = every_part(rest, "payload_key")
-    shops = children(at("$.shops"), "payload_key").filter("key IS NOT NULL")
-    shops = shops.select("payload_key", F.col("key").alias("shop"), said(F.col("node"), NAMES[:2]).alias("shop_name"), said(F.col("node"), URLS).alias("shop_url"))
-    rows = first.unionAll(_priced(parts)).select("*", F.col("seller.id").alias("shop")).join(shops, ["payload_key", "shop"], "left")
+    # Payloads never meet: each has a key of its own, and offers of equal ones become one at the end.
+    roots = stored(payloads.select("product_id", F.monotonically_increasing_id().alias("payload_key"), F.try_parse_json("payload").alias("node")).filter("node IS NOT NULL"))
+    keys = ["product_id", "payload_key"]
+    first = _priced(roots.select(*keys, F.explode(_listed(F.col("node"))).alias("node")))
+    rest = roots.filter(~F.exists(_listed(F.col("node")), lambda x: F.coalesce(price_of(x) > 0, F.lit(False))))
+    parts = every_part(rest, _priced, *keys)
+    shops = roots.select("payload_key", F.explode(F.try_variant_get("node", "$.shops", "map<string,variant>")).alias("shop", "node"))
+    shops = shops.select("payload_key", "shop", said(F.col("node"), NAMES[:2]).alias("shop_name"), said(F.col("node"), URLS).alias("shop_url"))
+    rows = first.unionAll(parts).select("*", F.col("seller.id").alias("shop")).join(shops, ["payload_key", "shop"], "left")
     blank = lambda c: F.coalesce(c, F.lit(""))
     url = F.coalesce("seller.url", "shop_url")
     rows = rows.select(
-        "payload_key", blank(F.col("seller.id")).alias("seller_id"), F.coalesce("seller.name", "shop_name", "said_name", F.lit(NO_NAME)).alias("seller"), blank(url).alias("seller_url"), "price",
+        *keys, blank(F.col("seller.id")).alias("seller_id"), F.coalesce("seller.name", "shop_name", "said_name", F.lit(NO_NAME)).alias("seller"), blank(url).alias("seller_url"), "price",
         blank(F.coalesce("address", url)).alias("url"), *[blank(F.col(c)).alias(c) for c in ("warranty", "stock", "updated_at")],
     )
-    one = rows.groupBy("payload_key", "seller_id", "seller", "price", "url").agg(F.min(F.struct("seller_url", "warranty", "stock", "updated_at")).alias("more"))
-    out = stored(roots.select("product_id", "payload_key").join(one, "payload_key").select("product_id", "seller_id", "seller", "more.seller_url", "price", "url", "more.warranty", "more.stock", "more.updated_at").distinct())
-    discard(roots, first, parts)
+    one = rows.groupBy(*keys, "seller_id", "seller", "price", "url").agg(F.min(F.struct("seller_url", "warranty", "stock", "updated_at")).alias("more"))
+    out = stored(one.select("product_id", "seller_id", "seller", "more.seller_url", "price", "url", "more.warranty", "more.stock", "more.updated_at").distinct())
+    discard(roots)
     return out
 
 
 def amounts(payloads: DataFrame, key: str = "position_price") -> DataFrame:
     """product_id and price: the positive amounts of all objects of that key, at any depth; as many rows as there are such objects."""
-    roots = payloads.select(F.struct("product_id", F.monotonically_increasing_id().alias("k")).alias("of"), F.try_parse_json("payload").alias("node")).filter("node IS NOT NULL")
-    parts = every_part(roots, "of")
-    found = parts.select("of.product_id", X.money(F.try_variant_get("node", f"$.{key}.amount", "string")).alias("price"))
-    return found.filter("price > 0")
+    roots = stored(payloads.select("product_id", F.try_parse_json("payload").alias("node")).filter("node IS NOT NULL"))
+    amount = X.money(F.try_variant_get("node", f"$.{key}.amount", "string"))
+    found = every_part(roots, lambda nodes: nodes.select("product_id", amount.alias("price")).filter("price > 0"), "product_id")
+    discard(roots)
+    return found
