@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
 from priceloom.operators.similarity import best_overlaps, of_name
-from priceloom.sources.tables import stored
+from priceloom.sources.tables import stored, with_known
 
 
 def with_catalog(offers: DataFrame, catalog: DataFrame) -> DataFrame:
     """Offers with catalog_name and catalog_category of their id."""
-    return offers.join(catalog.select("product_id", F.col("name").alias("catalog_name"), F.col("category").alias("catalog_category")), "product_id", "left")
+    return with_known(offers, catalog.select("product_id", F.col("name").alias("catalog_name"), F.col("category").alias("catalog_category")), "product_id")
 
 
 def name_index(catalog: DataFrame) -> DataFrame:

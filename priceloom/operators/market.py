@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions import pricing
+from priceloom.sources.tables import with_known
 
 
 def _by_price(prices: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def market_stats(prices: DataFrame) -> DataFrame:
 def enrich(offers: DataFrame, stats: DataFrame, oldest: int | None = None) -> DataFrame:
     """Offers with the market columns of their id; stats older than `oldest` (epoch seconds) are not used."""
     fresh = stats if oldest is None else stats.filter(F.col("updated_at") >= oldest)
-    return offers.join(fresh, "product_id", "left")
+    return with_known(offers, fresh, "product_id")
 
 
 def apply_markups(offers: DataFrame, config: DataFrame, missing_market: str = "wholesale") -> DataFrame:
