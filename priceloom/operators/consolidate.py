@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
+from priceloom.sources.tables import with_known
 
 
 def row_key(place: Column | None = None) -> Column:
@@ -81,7 +82,7 @@ def repeated_id_rows(offers: DataFrame, confirmed: DataFrame) -> DataFrame:
 def drop_suppliers_of_repeated_ids(offers: DataFrame, suppliers: Column, by: Column) -> DataFrame:
     """Without the offers of the suppliers given whose id goes with two or more values of `by`."""
     many = offers.filter("product_id IS NOT NULL").groupBy("product_id").agg(F.countDistinct(by).alias("n")).filter("n > 1").select("product_id", F.lit(True).alias("many"))
-    return offers.join(many, "product_id", "left").filter(~(suppliers & F.coalesce("many", F.lit(False)))).drop("many")
+    return with_known(offers, many, "product_id").filter(~(suppliers & F.coalesce("many", F.lit(False)))).drop("many")
 
 
 def unmatched(offers: DataFrame) -> DataFrame:
