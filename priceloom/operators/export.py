@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from priceloom.functions import pricing
 from priceloom.functions import text as X
 from priceloom.operators.consolidate import drop_suppliers_of_repeated_ids, keep_lowest
+from priceloom.sources.tables import discard, stored
 
 NO_CATEGORY = "Без категории"
 
@@ -133,14 +134,18 @@ def quality_samples(report: DataFrame, most: int = 8) -> DataFrame:
         "duplicate": F.concat(F.lit("["), blank("supplier"), F.lit("] "), blank("product_name"), F.lit(" ("), F.col("detail"), F.lit(")")),
     }
     line = F.coalesce(*[F.when(F.col("issue") == issue, text) for issue, text in shown.items()])
-    counts = report.groupBy("issue").agg(F.count("*").alias("n"))
+    # Written: the report rests on all offers, and is read once for the counts and once for each issue.
+    rows = stored(report.select("issue", "pos", line.alias("line")))
+    counts = rows.groupBy("issue").agg(F.count("*").alias("n"))
     # A few of each issue: every task keeps its own first ones only.
     first = None
     for issue in shown:
-        own = report.filter(F.col("issue") == issue).select("issue", "pos", line.alias("line")).orderBy("pos", "line").limit(most)
+        own = rows.filter(F.col("issue") == issue).orderBy("pos", "line").limit(most)
         first = own if first is None else first.unionByName(own)
     lines = first.groupBy("issue").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("samples"))
-    return counts.join(lines, "issue")
+    out = stored(counts.join(lines, "issue"))
+    discard(rows)
+    return out
 
 
 def write_quality_report(offers: DataFrame, folder: str) -> None:
