@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from priceloom.functions import category_rules, payloads
-from priceloom.operators import catalog, consolidate, market, matching, review
-from priceloom.sources import nested
+from priceloom.operators import catalog, consolidate, export, market, matching, review
+from priceloom.sources import nested, tables
 from priceloom.sources.tables import stored
 
 
@@ -84,3 +84,17 @@ def test_json_rows_are_read_at_once(spark):
     found = given.select("row", payloads.row_price(F.col("row")).alias("price"), payloads.row_id(F.col("row")).alias("id"))
     assert {tuple(r) for r in found.collect()} == set(rows)
     assert "get_json_object" not in given.select(payloads.row_id(F.col("row")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_report_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("s", "c", f"n{k % 3}", None, float(k), 1.0, k) for k in range(12)], "supplier string, category string, product_name string, product_id string, price double, rrp double, pos long")
+    found = export.quality_samples(export.quality_report(rows), 2)
+    assert {r.issue: r.n for r in found.collect()} == {"missing_id": 12, "price": 12, "duplicate": 12}
+    assert "RDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_positions_are_read_once(spark):
+    payload = {"positions": {"m": [{"shop_id": "1", "position_price": {"amount": "5,5", "converted": {"BYN": {"amount": "x"}}}}, {"shop_id": "1", "position_price": {"amount": "NaN"}}]}, "shops": {"1": {"title": "A"}}}
+    found = tables.market_positions(spark.createDataFrame([("7", json.dumps(payload))], "product_id string, payload string"))
+    assert [tuple(r) for r in found.collect()] == [("7", "A", 5.5)]
+    assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line and "regexp_replace" in line and "price" not in line.split("Filter")[0] and "size(" not in line]
