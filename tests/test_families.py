@@ -79,3 +79,33 @@ def test_psu_candidates(spark):
     got = {(r.product_name, r.product_id): (r.score, r.rank) for r in A.psu_candidates(names, rows, infer=lambda name: F.lit("Блок питания")).collect()}
     # The white ones lose 0.05 against a name that says no colour.
     assert got == {(own, "1"): (0.999, 1), ("deepcool 750 Вт gold", "6"): (0.91, 1), ("deepcool 750 Вт gold", "5"): (0.91, 2), ("deepcool 750 Вт gold", "1"): (0.86, 3)}
+
+
+def test_kind_is_told_of_distinct_names(spark):
+    """The rules of kinds are long: a name that many items have meets them once."""
+    told = spark.sparkContext.accumulator(0)
+
+    def kind(name):
+        told.add(1)
+        return "Блок питания"
+
+    names, rows = frames(spark, ["DeepCool 750W Gold"], [(str(k), f"DeepCool 750W {grade}") for k in range(300) for grade in ("Gold", "Bronze")])
+    found = A.psu_candidates(names, rows, 1 << 30, infer=lambda name: F.udf(kind, "string")(name))
+    assert found.count() == 300
+    assert told.value == 2
+
+
+def test_ranks_of_items_with_common_names(spark):
+    """Items of one name, of several names, of names that differ in letter case only, without an id and in the pool."""
+    gold, same, plain = "DeepCool 750W Gold ATX 3.0", "DEEPCOOL 750w Gold ATX 3.0", "DeepCool 750W"
+    items = [(f"{k:02}", gold) for k in range(0, 20, 2)] + [(f"{k:02}", same) for k in range(1, 20, 2)] + [("30", plain), ("30", gold), ("31", plain), (None, plain), (None, same)]
+    names, rows = frames(spark, ["deepcool 750 Вт (atx 3.0)"], items)
+    pool = spark.createDataFrame([("deepcool 750 Вт (atx 3.0)", "31", 0.98), ("deepcool 750 Вт (atx 3.0)", "05", 0.95)], "product_name string, product_id string, score double")
+    ids = [None, *(f"{k:02}" for k in range(20)), "30"]
+    for given, want in ((None, [*ids, "31"]), (pool, ["31", "05", *(k for k in ids if k != "05")])):
+        for most in (1 << 30, 4):
+            found = sorted(A.psu_candidates(names, rows, most, given, lambda name: F.lit("Блок питания")).collect(), key=lambda r: r["rank"])
+            assert [r.product_id for r in found] == want[:most]
+            assert [r["rank"] for r in found] == list(range(1, len(found) + 1))
+    named = {r.product_id: (r.name, r.score) for r in found}
+    assert named == {"31": (plain, 0.98), "05": (same, 0.965), None: (same, 0.925), "00": (gold, 0.925)}
