@@ -120,6 +120,47 @@ def test_names_that_hold_a_needle(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_long_needles_meet_few_names(spark):
+    """Codes of one kind have their runs of three characters in common with many names, and those of six with few."""
+    items = spark.range(10_000, 13_000).select(F.concat(F.lit("PRO-"), "id", F.lit(" x 7")).alias("name"))
+    asked = items.select(F.lower(F.element_at(F.split("name", " "), 1)).alias("needle"))
+    size = {"longest": postings.LONG}
+    index = postings.trigram_index(items, **size)
+    met = postings.rarest_runs(asked, postings.frequencies(index), **size).join(index, "gram").count()
+    assert postings.names_with(asked, index, **size).count() == 3000
+    assert met == 3000
+
+
+def test_names_that_hold_a_long_needle(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abA1 ") for _ in range(rng.randint(0, 24))) for _ in range(300)]
+    needles = [n[k : k + rng.randint(3, 12)] for n in names for k in [rng.randint(0, 10)]] + ["aaaaaab", "b" * 30, None, ""]
+    frame = lambda values, column: spark.createDataFrame([(v,) for v in values], f"{column} string")
+    got = postings.names_with(frame(needles, "needle"), postings.trigram_index(frame(names, "name"), longest=postings.LONG), longest=postings.LONG)
+    low = {n.lower() for n in needles if n and len(n) >= 3}
+    assert sorted(map(tuple, got.collect())) == sorted((n, m) for n in low for m in set(names) if n in m.lower())
+
+
+def test_ladder_looks_up_long_runs(spark):
+    """What a search of the ladder meets is in proportion to what it finds: read from the rows its joins give."""
+    looked = []
+    holding = postings.holding
+
+    def counted(rarest, index):
+        looked.append(rarest.join(index, "gram").count())
+        return holding(rarest, index)
+
+    items = spark.range(10_000, 13_000).select(F.col("id").cast("string").alias("product_id"), F.concat(F.lit("PRO-"), "id", F.lit(" x 7")).alias("name"))
+    names = spark.range(10_000, 13_000).select(F.concat(F.lit("pro-"), "id", F.lit("rev x 7")).alias("product_name"))
+    postings.holding = counted
+    try:
+        found = postings.ladder(names, items)
+    finally:
+        postings.holding = holding
+    assert found.groupBy("step", "found").count().collect() == [(3, 1, 3000)]
+    assert sum(looked) <= 2 * 3000
+
+
 def test_ladder(spark):
     items = [
         ("1", "Kingston Fury KF556C40 16GB"), ("2", "Kingston Fury KF556C36 32GB"), ("3", "Монитор Samsung LS24A336"), ("4", "Samsung LS27A336 monitor"),
