@@ -103,17 +103,12 @@ def ladder(names: DataFrame, items: DataFrame) -> DataFrame:
         used.extend((rows, rarest, out))
         return out
 
-    def short_of(most: int, asked: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The names asked that have fewer items, and what was found for them."""
-        # Most names have enough, of one item each; only those with few have the items counted.
-        enough = found.groupBy("product_name").agg(F.count("*").alias("n")).filter(F.col("n") >= most)
-        few = similarity.spread(asked.join(enough, "product_name", "left_anti"))
-        pairs = stored(found.join(few, "product_name", "left_semi"))
-        full = pairs.join(ids, "name").groupBy("product_name").agg(F.sum("n").alias("n")).filter(F.col("n") >= most)
-        short = similarity.spread(few.join(full, "product_name", "left_anti"))
-        own_pairs = stored(pairs.join(short, "product_name", "left_semi"))
-        used.extend((few, pairs, short, own_pairs))
-        return short, own_pairs
+    def short_of(most: int, asked: DataFrame, found: DataFrame) -> DataFrame:
+        """The names asked that have fewer items."""
+        enough = found.join(ids, "name").groupBy("product_name").agg(F.sum("n").alias("n")).filter(F.col("n") >= most)
+        out = similarity.spread(asked.join(enough, "product_name", "left_anti"))
+        used.append(out)
+        return out
 
     def added(known: DataFrame, more: DataFrame) -> DataFrame:
         """What the later step finds besides."""
@@ -125,14 +120,20 @@ def ladder(names: DataFrame, items: DataFrame) -> DataFrame:
     word = search_words(name)
     head = F.transform(word, lambda t: F.regexp_extract(t, r"^([a-z]{1,4}-?[0-9]{3,5})", 1))
     found = [exact, search(rest, {2: word, 3: F.array_except(F.filter(head, lambda t: t != ""), word)})]
-    few, known = short_of(FEW, rest, found[-1])
-    fewer, _ = short_of(FEWER, few, known)
+    # Most names have enough candidates; only of the others the items are counted.
+    enough = found[-1].groupBy("product_name").agg(F.count("*").alias("n")).filter(F.col("n") >= FEW)
+    lacking = stored(rest.join(enough, "product_name", "left_anti"))
+    known = stored(found[-1].join(lacking, "product_name", "left_semi"))
+    used.extend((lacking, known))
+    few, fewer = short_of(FEW, lacking, known), short_of(FEWER, lacking, known)
     hints = F.filter(_first(D.model_hints(name), 3), lambda t: F.length(t) >= 4)
     found.append(added(known, search(fewer, {4: hints})))
-    few, known = short_of(FEW, few, known.unionByName(found[-1]))
+    known = known.unionByName(found[-1])
+    few = short_of(FEW, few, known)
     brand = F.when(F.length(D.brand(name)) >= 3, F.lower(D.brand(name)))
     found.append(added(known, search(few, {5: F.array_compact(F.array(brand))})))
-    few, known = short_of(FEW, few, known.unionByName(found[-1]))
+    known = known.unionByName(found[-1])
+    few = short_of(FEW, few, known)
     # Both the brand and a number: candidates of the brand that hold a number, which the search by numbers gives.
     last = stored(few.select("product_name", F.lower(D.brand(name)).alias("brand"), _first(D.found(name, r"\b([0-9]{3,5})\b"), 2).alias("numbers")).filter("brand IS NOT NULL"))
     used.append(last)
