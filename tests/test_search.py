@@ -106,6 +106,23 @@ def test_contained_sets_of_all_sizes(spark):
     assert joins and all("asked" in line for line in joins)
 
 
+def test_equal_sets_meet_as_lists(spark, monkeypatch):
+    """Pairs are made where lists of equal sets have met, and are not brought together again; keys with several sets give a pair once."""
+    monkeypatch.setattr(similarity, "LISTED", 3)
+    rng = random.Random(9)
+    frame = lambda d, key: spark.createDataFrame(d, f"{key} int, keys array<string>")
+    for words in (8, 90):
+        kinds = [sorted({f"k{rng.randrange(words)}" for _ in range(rng.randint(1, 8))}) for _ in range(12)]
+        rows = [(k, rng.choice(kinds)) for k in range(150)]
+        targets = [(k, rng.choice(kinds)[: rng.randint(1, 5)]) for k in range(80)] + [(90, ["k0", "no row has it"])]
+        want = lambda: sorted({(r, t) for r, a in rows for t, b in targets if set(b) <= set(a)})
+        found = similarity.containing(frame(rows, "row"), frame(targets, "target"))
+        assert sorted(map(tuple, found.collect())) == want()
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        rows, targets = [*rows, *((k % 9, kinds[k % 12]) for k in range(30))], [*targets, *((k % 7, kinds[k % 12]) for k in range(20))]
+        assert sorted(map(tuple, similarity.containing(frame(rows, "row"), frame(targets, "target")).collect())) == want()
+
+
 def test_names_that_hold_a_needle(spark):
     rng = random.Random(6)
     names = ["".join(rng.choice("abAB-1 ") for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["100% wool_a", "İstanbul ß", "漢字かな"]
