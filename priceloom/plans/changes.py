@@ -99,14 +99,17 @@ def batch_of_files(spark, sf_dir):
 def _any_form(rows):
     """The offers of a product as a market might give them: by kind, as one list, or deep within other things."""
     rows = rows.filter("product_id IS NOT NULL")
-    price = F.struct(F.round("price", 2).cast("decimal(18,2)").cast("string").alias("amount"))
+    k = F.col("product_id").cast("long") % 3
     shop = F.col("pos.l_suppkey").cast("string")
-    rows = rows.withColumns({"entry": F.struct(shop.alias("shop_id"), price.alias("position_price")), "whole": F.struct(F.struct(shop.alias("id"), F.col("supplier").alias("title")).alias("shop"), F.struct(price.alias("BYN")).alias("x"), price.alias("price"))})
-    shops = F.map_from_entries(F.collect_set(F.struct(shop, F.struct(F.col("supplier").alias("title")))))
-    found = rows.groupBy("product_id").agg(F.collect_list("entry").alias("entries"), F.collect_list("whole").alias("wholes"), shops.alias("shops"))
-    by_kind = F.to_json(F.struct(F.create_map(F.lit("main"), F.col("entries")).alias("positions"), "shops"))
-    one_list = F.to_json(F.struct(F.col("entries").alias("positions"), "shops"))
-    deep = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("wholes").alias("rows"))).alias("blocks")).alias("data")))
+    entry = F.struct(shop.alias("shop"), F.col("supplier").alias("title"), F.round("price", 2).cast("decimal(18,2)").cast("string").alias("amount"))
+    shops = F.map_from_entries(F.collect_set(F.when(k < 2, F.struct(shop, F.struct(F.col("supplier").alias("title"))))))
+    found = rows.groupBy("product_id").agg(F.collect_list(entry).alias("given"), shops.alias("shops"))
+    price = lambda e: F.struct(e["amount"].alias("amount"))
+    entries = F.transform("given", lambda e: F.struct(e["shop"].alias("shop_id"), price(e).alias("position_price")))
+    wholes = F.transform("given", lambda e: F.struct(F.struct(e["shop"].alias("id"), e["title"].alias("title")).alias("shop"), F.struct(price(e).alias("BYN")).alias("x"), price(e).alias("price")))
+    by_kind = F.to_json(F.struct(F.create_map(F.lit("main"), entries).alias("positions"), "shops"))
+    one_list = F.to_json(F.struct(entries.alias("positions"), "shops"))
+    deep = F.to_json(F.struct(F.struct(F.array(F.struct(wholes.alias("rows"))).alias("blocks")).alias("data")))
     k = F.col("product_id").cast("long") % 3
     return found.select("product_id", F.when(k == 0, by_kind).when(k == 1, one_list).otherwise(deep).alias("payload"))
 

@@ -63,3 +63,18 @@ def test_amounts_at_any_depth(spark):
     rows = nested.amounts(spark.createDataFrame([(str(k), json.dumps(t)) for k, t in enumerate(trees)] + [("x", None)], "product_id string, payload string")).collect()
     assert sorted((r.product_id, r.price) for r in rows) == sorted((str(k), float(p)) for k, t in enumerate(trees) for p in walk(t))
     assert len(rows) > 10
+
+
+def test_payloads_stay_one_row(spark, monkeypatch):
+    """Sellers are looked up within the payload and not joined; offers at any depth of one payload that agree are one."""
+    plans = []
+    kept = nested.stored
+    monkeypatch.setattr(nested, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    low = {"price": {"amount": "1 010,50"}, "shop_id": " 7 ", "stock_status": {"text": " in"}}
+    deep = dict(low, warranty=3)
+    for _ in range(2 * nested.LEVELS + 3):
+        deep = {"x": [deep]} if _ % 2 else [deep, [], {}]
+    payloads = [("p", json.dumps({"shops": {"7": {"title": " Seven "}}, "rows": [low, deep, {"price": {"amount": {"y": 1}}, "a": {"price": 3}}]})), ("p", "[]"), ("q", json.dumps({"positions": [{"price": [1]}, {"price": "{5}"}], "b": {"price": 2}}))]
+    assert found(spark, payloads) == [("p", "", "—", "", 3.0, "", "", ""), ("p", "7", "Seven", "", 1010.5, "", "", "in"), ("q", "", "—", "", 2.0, "", "", "")]
+    assert len(plans) > 2 and not any("Join" in p for p in plans)
+    assert sum(p.count("Aggregate [") for p in plans) == 1
