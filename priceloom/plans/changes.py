@@ -79,7 +79,8 @@ _NUMBERED = """, numbered AS (SELECT split_part(supplier_code, '-', 2)::BIGINT %
 def batch_of_files(spark, sf_dir):
     """The offers as CSV files of three kinds, under headings of their own, loaded as one batch."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    rows = offers(spark, sf_dir).filter("price > 0").withColumn("code", F.concat(F.lit("c"), F.monotonically_increasing_id()))
+    rows = offers(spark, sf_dir).filter("price > 0")
+    code = F.concat(F.lit("c"), F.monotonically_increasing_id())
     kind = F.col("pos.l_suppkey") % 3
     kinds = {
         "tradex": {"Код": "code", "Наименование": "product_name", "Цена": F.round("price", 2).cast("decimal(18,2)"), "Гарантия": "warranty"},
@@ -88,7 +89,8 @@ def batch_of_files(spark, sf_dir):
     }
     for k, (name, columns) in enumerate(kinds.items()):
         # By partitions: a task without rows then writes no file, else the first writes one with a header only, which is no price list.
-        rows.filter(kind == k).select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()], F.lit(name).alias("kind")).write.partitionBy("kind").csv(f"{folder}/in/{name}", header=True)
+        # Numbered after the choice, which else waits until all kinds are joined.
+        rows.filter(kind == k).withColumn("code", code).select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()], F.lit(name).alias("kind")).write.partitionBy("kind").csv(f"{folder}/in/{name}", header=True)
     B.load_batch(spark, f"{folder}/in/*/*", f"{folder}/table", [("others", "Mine")])
     coded = (F.coalesce("supplier_code", F.lit("")) != "").alias("coded")
     return B.current(spark, f"{folder}/table").groupBy("supplier", coded, "product_name", "price", "warranty", "product_id", "rrp").agg(F.count("*").alias("n"))

@@ -13,7 +13,8 @@ import re
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
@@ -35,19 +36,27 @@ class Batch:
     report: DataFrame
 
 
-def scan(files: DataFrame, sep: str = ",", width: int = 40) -> DataFrame:
-    """file, at, line, cells, bad: the lines of all files (read as text). at (part of the file, place) orders a file's lines; line counts those of its first part from 0."""
-    raw = files.select("value", F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), "[+]", "%2B")).alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("k"))
-    raw = stored(raw)  # the numbers hold for these parts of the files only
-    first = raw.groupBy("file", "part").agg(F.min("k").alias("begin"))
-    text = F.regexp_replace(raw["value"], "^\\uFEFF|\\r$", "")
-    cells = F.from_csv(text, ", ".join(f"c{k} string" for k in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
-    quotes = F.length(F.regexp_replace(text, '[^"]', "")) % 2 == 1
-    bad = text.contains("�") | text.contains("\x00") | quotes
+def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the lines (value, path, part, k) and the parts (path, part, begin, nth, file, bad) of all files (read as text).
+
+    A part of a file is known by its place and is the file's nth; k - begin counts its lines from 0; bad counts its lines that are no text of that form.
+    """
+    clean = F.regexp_replace("value", "^\\uFEFF|\\r$", "").alias("value")
+    raw = stored(files.select(clean, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("k")))  # the numbers hold for these parts of the files only
+    text = F.col("value")
+    bad = text.contains("�") | text.contains("\x00") | ((F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1)
+    parts = raw.groupBy("path", "part").agg(F.min("k").alias("begin"), F.count_if(bad).alias("bad"))
+    # What a path says is read once a part, not once a line.
+    file = F.url_decode(F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "[+]", "%2B"))
+    return raw, stored(parts.select("path", "part", "begin", "bad", F.row_number().over(Window.partitionBy("path").orderBy("part")).cast("long").alias("nth"), file.alias("file")))
+
+
+def cells_of(value: Column, sep: str, width: int = 40) -> Column:
+    """The cells of a line. Without a quote it is only split; the parser, to which a line with another number of cells than `width` is an error to be dealt with, reads the others."""
+    cells = F.from_csv(value, ", ".join(f"c{k} string" for k in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
     # Read once: of a field of from_csv() itself Spark makes a reader for each field.
-    listed = F.transform(F.array(cells), lambda c: F.array(*[c[f"c{k}"] for k in range(width)]))[0]
-    rows = raw.join(first, ["file", "part"]).withColumn("cells", listed)
-    return rows.select("file", F.struct("part", "k").alias("at"), F.when(F.col("part") == 0, F.col("k") - F.col("begin")).alias("line"), "cells", bad.alias("bad"))
+    read = F.transform(F.array(cells), lambda c: F.array(*[c[f"c{k}"] for k in range(width)]))[0]
+    return F.when(value.contains('"'), read).otherwise(F.slice(F.split(value, re.escape(sep)), 1, width))
 
 
 def _plain(path: str) -> str:
@@ -72,26 +81,36 @@ def read_batch(spark: SparkSession, pattern: str, rules: list[tuple[str, str]] =
     """
     files = spark.read.text(pattern)
     listed = files.inputFiles()
-    lines = stored(scan(files, sep))
+    lines, parts = scan(files)
+    first = lines.join(parts.filter("part = 0").select("path", "part", "begin", "nth", "file"), ["path", "part"]).filter(F.col("k") - F.col("begin") < HEADER_ROWS)
+    at = (F.col("k") - F.col("begin") + F.shiftleft("nth", 33)).alias("at")
     supplier = F.coalesce(U.supplier_of_file(F.col("file"), rules), F.lit("Unknown"))
     # What a file's name says is asked once a file, not once a line.
-    head = stored(headers(lines).withColumn("supplier", supplier))
+    head = stored(headers(first.select("file", at, (F.col("k") - F.col("begin")).alias("line"), cells_of(F.col("value"), sep).alias("cells"))).withColumn("supplier", supplier))
+    known = stored(parts.drop("bad").join(head, "file"))
     columns = F.col("columns")
-    value = lambda f: X.strip(F.get("cells", columns[f]))
+    cell = lambda f: F.get("cells", columns[f])
+    # A blank cell of the parser is null, if it has no quotes.
+    value = lambda f: F.when((cell(f) != "") | F.col("quoted"), X.strip(cell(f)))
     kinds = {
         "supplier_code": F.regexp_replace(value("supplier_code"), r"\.0$", ""), "product_name": F.nullif(value("product_name"), F.lit("")), "price": X.money(value("price")),
         "warranty": value("warranty").try_cast("double").cast("int"), "product_id": X.normalize_id(value("product_id")), "rrp": X.money(value("rrp")),
     }
-    rows = lines.join(head, "file").filter(F.col("at") > F.col("header")).select("file", "at", "supplier", *[kinds[f].alias(f) for f in FIELDS]).filter("product_name IS NOT NULL AND price > 0")
-    coded = rows.filter("supplier_code <> ''").groupBy("file", "supplier_code").agg(F.min_by(F.struct("at", "supplier", *[f for f in FIELDS if f != "supplier_code"]), "at").alias("row")).select("file", "supplier_code", "row.*")
-    rows = stored(coded.unionByName(rows.filter("supplier_code IS NULL OR supplier_code = ''")).select("supplier", *FIELDS, "file", "at"))
+    rows = lines.join(known, ["path", "part"]).select("file", at, "header", "supplier", "columns", F.col("value").contains('"').alias("quoted"), cells_of(F.col("value"), sep).alias("cells")).filter(F.col("at") > F.col("header"))
+    rows = stored(rows.select("file", "at", "supplier", *[kinds[f].alias(f) for f in FIELDS]).filter("product_name IS NOT NULL AND price > 0").select("supplier", *FIELDS, "file", "at"))
+    # Only the codes that come again are looked up; the rows themselves stay where they are while those are few.
+    again = stored(rows.filter("supplier_code <> ''").groupBy("file", "supplier_code").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    used = [lines, parts, head, known, again]
+    if not again.isEmpty():
+        used.append(rows)
+        rows = stored(rows.join(again, ["file", "supplier_code"], "left").filter("first IS NULL OR at = first").select(*rows.columns))
     # Empty files have no lines; they are known from the listing only.
-    known = spark.createDataFrame([(_plain(f),) for f in listed], "file string")
-    bad = lines.groupBy("file").agg(F.count_if("bad").alias("bad"))
+    known = spark.createDataFrame(pa.table({"file": pa.array([_plain(f) for f in listed], pa.string())}))
+    bad = parts.groupBy("file").agg(F.sum("bad").alias("bad"))
     report = known.join(bad, "file", "left").join(head.select("file", F.lit(True).alias("headed")), "file", "left").join(rows.groupBy("file").agg(F.count("*").alias("rows")), "file", "left")
     error = F.when(F.col("bad") > 0, "corrupt lines").when(F.col("headed").isNull(), "no header").when(F.col("rows").isNull(), "no rows with a name and a price")
     report = stored(report.select("file", supplier.alias("supplier"), F.coalesce("rows", F.lit(0)).alias("rows"), error.alias("error")))
-    discard(lines, head)
+    discard(*used)
     return Batch(rows, report)
 
 

@@ -1,5 +1,7 @@
 """Batches of files: headers, places, bad files, versions; snapshots there and back."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,36 @@ def test_tasks_without_rows_make_no_files(spark, tmp_path):
     assert got == spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_extendedprice > 0").count()
 
 
+def test_lines_without_quotes_are_split(spark):
+    """Splitting gives what the parser gives, null for a blank cell apart."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ab ,,\\;#\t'ж") for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["x" + "," * 60, '"a,b",c', ' "a" ,""']
+    parsed = F.from_csv("value", ", ".join(f"c{k} string" for k in range(40)), {"sep": ",", "mode": "PERMISSIVE"})
+    given = spark.createDataFrame([(t,) for t in lines], "value string").select("value", B.cells_of(F.col("value"), ",").alias("cells"), parsed.alias("parsed"))
+    for r in given.collect():
+        cells = [*r.cells, *[None] * (40 - len(r.cells))]
+        assert [c or None for c in cells] == [c or None for c in r.parsed], r.value
+
+
+def test_rows_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """Codes that come again are looked up by themselves; the first row of each stays, also in another part of the file."""
+    plans = []
+    kept = B.stored
+    monkeypatch.setattr(B, "stored", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df))
+    text = "intro\ncode,name,price\n" + "".join(f'{k % 4000}{".0" if k % 3 else ""},{chr(34)}thing, {k}{chr(34)},{k + 1}\n' if k % 2 else f"{k % 4000},thing {k},{k + 1}\n" for k in range(9000)) + ",no code,5\n,no code,5\n"
+    write(tmp_path / "in", {"tradex.csv": text, "iven.csv": "код,товар,цена\n1,a,1\n1,b,2\n2,,3\n"})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got = B.read_batch(spark, str(tmp_path / "in" / "*.csv")).offers.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [("Tradex", str(k), f"thing, {k}" if k % 2 else f"thing {k}", k + 1.0) for k in range(4000)] + [("Tradex", None, "no code", 5.0)] * 2 + [("IVEN", "1", "a", 1.0)]
+    assert sorted((r.supplier, r.supplier_code, r.product_name, r.price) for r in got if r.supplier_code) == sorted(w for w in want if w[1]) and len(got) == len(want)
+    mine = [plan for columns, plan in plans if "rrp" in columns and "at" in columns]
+    assert mine and not any("Aggregate" in p for p in mine)
+
+
 @pytest.mark.parametrize(
     ("path", "rules", "want"),
     [("file:/x/N_Tech june.csv", (), "N-Tech"), ("/a/iven zakaz.csv", (), "IVEN_zakaz"), ("/a/IVEN.csv", (), "IVEN"), ("/a/1030ZpriceBN.csv", (), "BN-1030Z"), ("/a/1030p.csv", (), "BN-1030"), ("/tradex/part-1.csv", (), "Tradex"), ("/a/x.csv", (), None), ("/a/iven.csv", [("", "No"), ("IVEN", "n tech")], "N-Tech"), ("/a/zz.csv", [("zz", "Own")], "Own"), (None, (), None)],
